@@ -6,7 +6,16 @@ import importlib
 
 #: Modules with a query, by the query's name.
 MODULES = {
+    "op1_nn_descent": "nndescent",
+    "op2_license_scan": "licenses",
+    "op3_hilbert_sharding": "hilbert",
+    "op4_language_id": "langid",
+    "op5_minhash_tensored": "minhash",
     "op6_best_fit_packing": "packing",
+    "op7_decontamination": "tiling",
+    "op8_ngram_trie_scores": "ngram",
+    "op9_line_spread": "line_dedup",
+    "op10_toxicity_neighbours": "toxicity",
 }
 
 
