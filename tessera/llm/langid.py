@@ -160,9 +160,13 @@ def _lowest(ranked: DataFrame, most: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "doc_id")
 
 
-def classify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Label and score of every whole text."""
+def classify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
+    """Label and score of every whole text; with ``keep``, the text and these columns too.
+
+    What is sent to the tasks is the model, whose size the sample bounds.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = ["text", *keep] if keep is not None else []
 
     def run(batches):
         m = shared.value
@@ -180,10 +184,17 @@ def classify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     share = share[np.arange(n), best] / np.maximum(share.sum(1), 1e-12)
                     pred[letters] = np.array(m.labels, object)[best[letters]]
                     score[letters] = np.clip(share[letters], 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, SCHEMA)
+                own = [part, *[batch.column(3 + k).slice(at, n) for k in range(len(carried) - 1)]] if carried else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(pred, pa.string()), pa.array(score), *own], ["doc_id", "held_out", "lang_pred", "score", *carried])
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        *(keep or []),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([SCHEMA, *[f"`{c}` {kinds[c]}" for c in carried]]))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

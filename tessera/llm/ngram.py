@@ -40,7 +40,7 @@ from .langid import held_out
 from .storage import kept
 from .textcore import BLANK_WORDS, Words, mix64, slices
 
-MU = 200.0
+MU = 100.0
 #: Tokens that a task should hold.
 SHARE = 2_500_000
 LEAST_SHARES = 12

@@ -34,6 +34,10 @@ K = 15
 EXAMPLES = 4000
 #: Chi-square, one degree of freedom, at about 1 in 10 million.
 CHI2 = 28.4
+#: Least share of label 1 that must have a learned term.
+MIN_SHARE = 0.02
+#: Times as frequent with label 1 as with label 0 that a learned term must be.
+LIFT = 4.0
 BLOCK = 64
 PREFIX = 5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
@@ -155,7 +159,8 @@ def learned_terms(column: pa.Array, label: np.ndarray, chi2: float) -> tuple[np.
     c, d = n1 - a, n - n1 - b
     below = (a + b) * (c + d) * (a + c) * (b + d)
     value = np.where(below > 0, n * np.maximum(np.abs(a * d - b * c) - n / 2, 0) ** 2 / np.maximum(below, 1), 0.0)
-    keep = (value >= chi2) & (a * (n - n1) > b * n1)  # terms that speak for label 1
+    # Terms that speak for label 1, and not only by way of a few copies of one text.
+    keep = (value >= chi2) & (a * (n - n1) > LIFT * b * n1) & (a >= max(3.0, MIN_SHARE * n1))
     return h[keep], np.log((n + 1.0) / (df[keep] + 1.0)) + 1.0
 
 
