@@ -42,7 +42,7 @@ from .textcore import BLANK_WORDS, Words, mix64, slices
 
 MU = 100.0
 #: Tokens that a task should hold.
-SHARE = 2_500_000
+SHARE = 1_500_000
 LEAST_SHARES = 12
 END = np.uint64(0x1D8E4E27C47D124F)
 START = np.uint64(0x5851F42D4C957F2D)
@@ -312,7 +312,7 @@ def _routed(docs: DataFrame, corpus: Corpus) -> DataFrame:
         c, number = shared.value, 0
         partition = TaskContext.get().partitionId()
         for batch in batches:
-            for at, part in slices(batch.column(1), 8 << 20):
+            for at, part in slices(batch.column(1), 4 << 20):
                 name, n = f"{partition}.{number}", len(part)
                 number += 1
                 train = ~batch.column(2).slice(at, n).to_numpy(zero_copy_only=False)
@@ -322,7 +322,7 @@ def _routed(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 token, before = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
                 doc = np.concatenate([d + f for (_, _, d), f in zip(pieces, first)]).astype(np.uint32)
                 share = _share_of(token, before, c.shares, c.hot, c.ways)
-                order = np.argsort(share.astype(np.int32), kind="stable")
+                order = np.argsort(share.astype(np.uint16 if c.shares < 1 << 16 else np.int64), kind="stable")
                 token, doc = token[order], doc[order].astype(np.uint16 if n < 1 << 16 else np.uint32)
                 context = (mix64(before[order]) >> np.uint64(64 - CONTEXT_BITS))
                 cuts = np.searchsorted(share[order], np.arange(c.shares + 1))
