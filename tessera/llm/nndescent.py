@@ -138,7 +138,9 @@ def _descend(lists: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFra
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     large = sizes.where(F.col("c") > GROUP)
     members = members.join(large, "g", "left").withColumn("s", F.when(F.col("c").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("m", "g"), F.ceil(F.col("c") / F.lit(GROUP)).cast("long")))).drop("c")
-    carried = vectors.join(lists.select(F.col("p").alias("m"), "floor"), "m", "left").select("m", "x", F.coalesce("floor", F.lit(-2.0)).cast("float").alias("floor"))
+    # A list that is shorter than k, as after an enlargement, takes any neighbour.
+    floor = F.when(F.size("near") >= k, F.col("floor")).otherwise(F.lit(-2.0)).alias("floor")
+    carried = vectors.join(lists.select(F.col("p").alias("m"), floor), "m", "left").select("m", "x", F.coalesce("floor", F.lit(-2.0)).cast("float").alias("floor"))
     rows = members.join(carried, "m").repartition("g", "s").sortWithinPartitions("g", "s")
 
     def compare(batches):
