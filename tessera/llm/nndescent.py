@@ -130,6 +130,10 @@ def _lists(edges: DataFrame, k: int) -> DataFrame:
     return lists.withColumn("floor", F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float"))
 
 
+def _entries(lists: DataFrame) -> DataFrame:
+    return lists.select("p", F.explode("near").alias("e")).select("p", F.col("e.q").alias("q"), F.col("e.sim").alias("sim"))
+
+
 def _descend(lists: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
     """Edges that improve a list, from comparing every vector's neighbours with each other."""
     edges = lists.select("p", F.explode("near").alias("e")).select("p", F.col("e.q").alias("q"))
@@ -253,18 +257,19 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K,
 
     vectors32 = kept(units.select("m", "unit").mapInArrow(single, "m long, x binary"), "singles")
     n = units.count()
-    edges = _seed_edges(vectors32, dims, 0, k)
-    for t in range(1, SEEDS):
-        edges = edges.unionByName(_seed_edges(vectors32, dims, t, k))
-    lists = kept(_lists(edges, k), "lists")
-    labels = None
+    lists, labels, table = None, None, 0
     while True:
+        # Fresh seeds at every size of the lists: descent alone cannot leave a part of the graph.
+        edges = None if lists is None else _entries(lists)
+        for table in range(table + 1, table + 1 + SEEDS):
+            seeds = _seed_edges(vectors32, dims, table, k)
+            edges = seeds if edges is None else edges.unionByName(seeds)
+        lists = kept(_lists(edges, k), "lists")
         for _ in range(rounds):
             better = kept(_descend(lists, vectors32, dims, k), "better")
             gained = better.count()
             if gained:
-                old = lists.select("p", F.explode("near").alias("e")).select("p", F.col("e.q").alias("q"), F.col("e.sim").alias("sim"))
-                lists = kept(_lists(old.unionByName(better), k), "lists")
+                lists = kept(_lists(_entries(lists).unionByName(better), k), "lists")
             if gained <= 0.02 * n * k:
                 break
         strong = _threshold_edges(lists, units, dims, threshold)
