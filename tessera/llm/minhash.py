@@ -13,9 +13,11 @@ cost one member):
    key, which keeps the other classes out of the tables altogether.
 3. Buckets of the tables.  In every bucket one member, the hub, is compared with
    the members of other components; links merge components, and buckets whose
-   members are all of one component are finished.  Hubs change from round to round.
-4. What is left after ``hub_rounds`` is compared pair by pair across components, so
-   that no link between components stays untested.
+   members are all of one component are finished.  The hub is the member that shares
+   buckets with most others, which finds nearly all links of a group of copies.
+4. What is left after ``hub_rounds`` is compared across components inside tasks, so
+   that no link between components stays untested; only pairs that an exact bound
+   cannot rule out leave the task.
 
 A pair is confirmed on its full sets: 100 * shared >= 75 * united.
 
@@ -39,7 +41,11 @@ WIDTH = 5
 PERCENT = 75
 SIZE = 8
 ROWS = 2
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 1024
+#: Ranges of hashes in which runs are counted; the top eight bits tell the range.
+PARTS = 256
 SIGNATURE = "id long, n_shingles long, hi long, lo long, left array<long>, right array<long>"
 
 _STEP = 0x9E3779B97F4A7C15
@@ -94,15 +100,16 @@ def signature_table(docs: DataFrame, width: int = WIDTH, size: int = SIZE, rows:
 
 
 def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, runs): the sorted run hashes of each text as bytes."""
+    """(id, runs, parts): the sorted run hashes of each text as bytes, and how many fall in each of ``PARTS`` ranges."""
 
     def run(batches):
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 sets = distinct_sets(Words(part, BLANK_WORDS), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "runs"])
+                parts = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype(np.uint16).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary())], ["id", "runs", "parts"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, runs binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, runs binary, parts binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,6 +131,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "ca", "cb", "ra", "rb").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
+def _bucket_pairs(members: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of members of a bucket that are of different components and can be similar enough.
+
+    members: (key, c, rep, n, component, left, right, parts), c the bucket's size.  Buckets are
+    compared in blocks of about ``BLOCK`` members, inside tasks.  A pair comes out only
+
+    * in the first table that it shares, which its keys tell, so that it comes out once;
+    * if the shared part can be large enough: two sets share no more than the sum over ranges of
+      hashes of the smaller count.  Both tests are exact: no pair is lost.
+    """
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
+    dealt = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    keyed = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("nb", "other", "c")
+    ordered = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def groups(table: pa.Table, cuts):
+        col = {n: table.column(n).combine_chunks() if table.column(n).num_chunks != 1 else table.column(n).chunk(0) for n in table.column_names}
+        rep, n, comp, own, i, j = (col[x].to_numpy() for x in ("rep", "n", "component", "own", "i", "j"))
+        sides = [col[k].flatten().to_numpy().reshape(-1, size) for k in ("left", "right")]
+        parts = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in col["parts"]), np.uint16).reshape(-1, PARTS)
+        place = col["place"].to_numpy()
+        out = []
+        edges = [0, *cuts, table.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a < 2:
+                continue
+            p, q = np.nonzero(np.triu(comp[a:b, None] != comp[None, a:b], 1))
+            if i[a] != j[a]:
+                split = own[a:b][p] != own[a:b][q]
+                p, q = p[split], q[split]
+            p, q = p + a, q + a
+            few, many = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+            fits = 100 * few >= percent * many
+            p, q = p[fits], q[fits]
+            for at in range(0, len(p), 1 << 15):
+                x, y = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
+                first = [(s[x] == s[y]).argmax(1) for s in sides]
+                mine = first[0] * size + first[1] == place[a]
+                x, y = x[mine], y[mine]
+                most = np.minimum(parts[x], parts[y]).sum(1, dtype=np.int64)
+                able = 100 * most >= percent * (n[x] + n[y] - most)
+                x, y = x[able], y[able]
+                swap = rep[x] > rep[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                out.append((rep[x], rep[y], comp[x], comp[y]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "ca", "cb"])
+
+    def compare(batches):
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            table = pa.Table.from_batches([*left, batch])
+            marks = np.stack([table.column(x).to_numpy() for x in ("key", "i", "j")])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1
+            done = int(cuts[-1]) if len(cuts) else 0
+            if done:
+                yield from groups(table.slice(0, done), cuts[:-1])
+            left = table.slice(done).to_batches()
+        if left:
+            yield from groups(pa.Table.from_batches(left), np.zeros(0, int))
+
+    names = ["key", "i", "j", "own", "place", "rep", "n", "component", "left", "right", "parts"]
+    return ordered.select(names).mapInArrow(compare, "a long, b long, ca long, cb long")
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size: int = SIZE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """(id, n_shingles, component) for every row of ``docs`` (id, text); component is its smallest id."""
     sigs = kept(signature_table(docs, width, size, rows), "signatures")
@@ -135,32 +208,30 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     alive = lefts.join(shared, ["i", "k"]).select("rep").distinct()
     some = classes.join(alive, "rep", "left_semi")
     keys = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i * F.lit(size) + j))))
-    tables = kept(some.select("rep", F.col("n_shingles").alias("n"), F.explode(keys).alias("key")), "tables")
-    full = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
-    buckets = kept(tables.join(full, "key", "left_semi"), "buckets")
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = kept(set_table(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
-    labels = wanted.select(F.col("id").alias("rep"), F.col("id").alias("component"))
-    tested = None
+    tables = kept(some.select("rep", F.col("n_shingles").alias("n"), F.posexplode(keys).alias("place", "key")), "tables")
+    full = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    buckets = kept(tables.join(full, "key"), "buckets")
+    # A member that shares buckets with many is likely near the middle of its group: the best of hubs.
+    wanted = kept(buckets.groupBy("rep").agg(F.sum("c").alias("fame")), "wanted")
+    texts = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
+    sets = kept(set_table(texts, width).dropDuplicates(["id"]), "sets")
+    labels = wanted.select("rep", F.col("rep").alias("component"))
     for turn in range(hub_rounds + 1):
         state = buckets.join(labels, "rep")
-        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("rep"), F.col("component").alias("component"), F.col("n").alias("n"))
-        open_ = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("hub")).where(F.col("lo") != F.col("hi"))
+        spread = (F.min("component").alias("lo"), F.max("component").alias("hi"))
         if turn < hub_rounds:
-            hub = open_.select("key", F.col("hub.rep").alias("o"), F.col("hub.component").alias("oc"), F.col("hub.n").alias("on"))
+            order = F.struct("fame", (-F.col("rep")).alias("rank"), F.col("component").alias("oc"), F.col("n").alias("on"))
+            hubs = state.join(wanted, "rep").groupBy("key").agg(*spread, F.max(order).alias("hub")).where(F.col("lo") != F.col("hi"))
+            hub = hubs.select("key", (-F.col("hub.rank")).alias("o"), F.col("hub.oc").alias("oc"), F.col("hub.on").alias("on"))
+            fits = F.lit(100) * F.least("n", "on") >= F.lit(percent) * F.greatest("n", "on")
+            met = state.join(hub, "key").where((F.col("component") != F.col("oc")) & fits)
+            low = F.col("rep") < F.col("o")
+            pairs = met.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"), F.when(low, F.col("component")).otherwise(F.col("oc")).alias("ca"), F.when(low, F.col("oc")).otherwise(F.col("component")).alias("cb")).distinct()
         else:
-            hub = state.join(open_.select("key"), "key").select("key", F.col("rep").alias("o"), F.col("component").alias("oc"), F.col("n").alias("on"))
-        fits = F.lit(100) * F.least("n", "on") >= F.lit(percent) * F.greatest("n", "on")
-        pairs = state.join(hub, "key").where((F.col("component") != F.col("oc")) & fits & ((F.col("rep") < F.col("o")) if turn == hub_rounds else F.lit(True)))
-        low = F.col("rep") < F.col("o")
-        pairs = pairs.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"), F.when(low, F.col("component")).otherwise(F.col("oc")).alias("ca"), F.when(low, F.col("oc")).otherwise(F.col("component")).alias("cb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = _confirmed(pairs, sets, percent)
+            open_ = state.groupBy("key").agg(*spread).where(F.col("lo") != F.col("hi")).select("key")
+            marks = classes.select("rep", "left", "right").join(sets.select(F.col("id").alias("rep"), "parts"), "rep")
+            pairs = _bucket_pairs(state.join(open_, "key").join(marks, "rep"), percent, size)
+        links = _confirmed(kept(pairs, "pairs"), sets, percent)
         merged = components(links.select("ca", "cb"), "ca", "cb")
         merged = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
         labels = kept(labels.join(merged, "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "labels")
