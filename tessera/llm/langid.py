@@ -118,7 +118,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     solid = value > value.max() * 1e-9
     to_features = vector[:, solid] / np.sqrt(value[solid])  # Nystroem: K(x, L) K(L, L)^(-1/2)
     table = model.table()
-    kernel = np.concatenate([model.kernel(c, table) for _, c in slices(pa.array(texts, pa.string()))])
+    kernel = np.concatenate([model.kernel(c, table) for _, c in slices(pa.array(texts, pa.string()), rows=256)])
     features = kernel @ to_features
     mean = features.mean(0)
     target = np.where(np.array(langs)[:, None] == np.array(labels)[None, :], 1.0, 0.0)
@@ -172,7 +172,7 @@ def classify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | Non
         m = shared.value
         table = m.table() if m else None
         for batch in batches:
-            for at, part in slices(batch.column(1), 1 << 18):
+            for at, part in slices(batch.column(1), 1 << 18, 256):
                 texts = part.fill_null("")
                 letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
                 n = len(part)

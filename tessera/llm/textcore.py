@@ -138,13 +138,13 @@ def distinct_by_doc(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.nd
     return hashes, np.searchsorted(docs, np.arange(n + 1))
 
 
-def slices(column: pa.Array, most: int = 1 << 19):
-    """(first row, Array) pieces of a string column with about ``most`` bytes each; one long text is one piece."""
+def slices(column: pa.Array, most: int = 1 << 19, rows: int = 1 << 20):
+    """(first row, Array) pieces of a string column with about ``most`` bytes and at most ``rows`` rows each; one long text is one piece."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     _, offsets = utf8(column)
     n, at = len(column), 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield at, column.slice(at, end - at)
         at = end
