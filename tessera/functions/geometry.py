@@ -19,6 +19,11 @@ def _c(v: Column | str) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distance_sq(a, b) -> Column:
     a, b = _c(a), _c(b)
     dx, dy = a["x"] - b["x"], a["y"] - b["y"]

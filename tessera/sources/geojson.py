@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.geometry import derive
+from ..functions.geometry import derive, let
 from ..schema import LINE, POINT, POLYGON, InvalidArgument, ParseError
 
 _ROOT = "type string, features array<string>, geometry string"
-_FEATURE = "type string, id string, geometry string, properties string"
+_FEATURE = "type string, id variant, geometry string, properties string"
 _GEOMETRY = "type string, coordinates string"
 
 
@@ -32,19 +32,31 @@ def _good_points(coords: Column) -> Column:
     return F.filter(F.transform(F.coalesce(coords, F.array().cast("array<array<double>>")), _point), lambda p: p.isNotNull())
 
 
+def _shape(g: Column) -> Column:
+    """A parsed geometry (type, coordinates) as a struct; coordinates are read once, as its type says."""
+    typed = F.struct(
+        F.when(g["type"] == "Point", F.from_json(g["coordinates"], "array<double>")).alias("flat"),
+        F.when(g["type"] == "LineString", F.from_json(g["coordinates"], "array<array<double>>")).alias("path"),
+        F.when(g["type"] == "Polygon", F.from_json(g["coordinates"], "array<array<array<double>>>")).alias("rings"),
+    )
+
+    def build(c: Column) -> Column:
+        rings = c["rings"]
+        holes = F.transform(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), _good_points)
+        parts = F.struct(
+            _point(c["flat"]).cast(POINT).alias("point"),
+            _strict_points(c["path"]).cast(LINE).alias("line"),
+            F.when(F.size(rings) >= 1, let(_strict_points(F.get(rings, F.lit(0))), lambda e: F.when(e.isNotNull(), F.struct(e.alias("exterior"), holes.alias("holes"))))).cast(POLYGON).alias("polygon"),
+        )
+        kind = lambda p: F.when(p["point"].isNotNull(), "POINT").when(p["line"].isNotNull(), "LINESTRING").when(p["polygon"].isNotNull(), "POLYGON")
+        return let(parts, lambda p: F.struct(kind(p).alias("geom_type"), p["point"].alias("point"), p["line"].alias("line"), p["polygon"].alias("polygon")))
+
+    return let(typed, build)
+
+
 def geometry_from_geojson(text: Column) -> Column:
     """Struct geom_type, point, line, polygon of one geometry; all null if it is not supported or malformed."""
-    g = F.from_json(text, _GEOMETRY)
-    flat = F.from_json(g["coordinates"], "array<double>")
-    path = F.from_json(g["coordinates"], "array<array<double>>")
-    rings = F.from_json(g["coordinates"], "array<array<array<double>>>")
-    point = F.when(g["type"] == "Point", _point(flat)).cast(POINT)
-    line = F.when(g["type"] == "LineString", _strict_points(path)).cast(LINE)
-    exterior = _strict_points(F.get(rings, F.lit(0)))
-    holes = F.transform(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), _good_points)
-    polygon = F.when((g["type"] == "Polygon") & (F.size(rings) >= 1) & exterior.isNotNull(), F.struct(exterior.alias("exterior"), holes.alias("holes"))).cast(POLYGON)
-    kind = F.when(point.isNotNull(), "POINT").when(line.isNotNull(), "LINESTRING").when(polygon.isNotNull(), "POLYGON")
-    return F.struct(kind.alias("geom_type"), point.alias("point"), line.alias("line"), polygon.alias("polygon"))
+    return let(F.from_json(text, _GEOMETRY), _shape)
 
 
 def geojson_type(text: Column) -> Column:
@@ -78,17 +90,25 @@ def parse_features(rows: DataFrame, feature: str = "feature", mode: str = "PERMI
     """
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise InvalidArgument(f"unknown mode {mode!r}")
-    f = F.from_json(F.col(feature), _FEATURE)
-    text_id = F.expr(f"schema_of_variant(try_variant_get(try_parse_json({feature}), '$.id', 'variant'))")
-    numeric = F.coalesce(~text_id.isin("STRING", "VOID", "BOOLEAN"), F.lit(False)) & ~F.coalesce(text_id.startswith("OBJECT") | text_id.startswith("ARRAY"), F.lit(False))
-    parsed = rows.select("*", f.alias("f"), numeric.alias("_num")).select("*", geometry_from_geojson(F.col("f.geometry")).alias("g"))
+    def read(f: Column) -> Column:
+        kind = F.schema_of_variant(f["id"])
+        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        return F.struct(
+            F.coalesce(numeric, F.lit(False)).alias("num"),
+            F.when(f["id"].isNotNull() & (kind != "VOID"), F.variant_get(f["id"], "$", "string")).alias("id"),
+            f["properties"].alias("properties"),
+            geometry_from_geojson(f["geometry"]).alias("g"),
+        )
+
+    # The generator keeps filters above from repeating the parse below.
+    parsed = rows.select("*", F.explode(F.array(let(F.from_json(F.col(feature), _FEATURE), read))).alias("f")).select("*", F.col("f.g").alias("g"))
     bad = F.col("g.geom_type").isNull()
     if mode == "FAILFAST":
         fail = F.raise_error(F.concat(F.lit("bad GeoJSON feature: "), F.coalesce(F.substring(feature, 1, 200), F.lit("null"))))
         parsed = parsed.withColumn("_ok", F.when(bad, fail.cast("boolean")).otherwise(F.lit(True))).where("_ok")
     elif not keep_corrupt:
         parsed = parsed.where(~bad)
-    known = F.col("_num")
+    known = F.col("f.num")
     out = parsed.select(
         F.when(known, F.coalesce(F.expr("try_cast(f.id AS bigint)"), F.expr("try_cast(try_cast(f.id AS double) AS bigint)"))).alias("id"),
         F.when(~known, F.col("f.id")).alias("id_str"),
