@@ -108,7 +108,7 @@ def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of every run of ``width`` words; a shorter non-empty text is one run."""
     n, h = len(words.hash), words.hash
     rolled = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         part = h[k:] * np.uint64(pow(_STEP, 2 * k + 1, 1 << 64))
         rolled[: n - k] += mix64(part + np.uint64(k + 1))
     place = np.arange(n) - words.first[words.doc]
