@@ -9,8 +9,10 @@ Vectors are scaled to length one and exact copies collapsed.  Then:
    keep the best ``k``.  Rounds end when few lists change.
 3. Threshold edges of the lists are confirmed in double precision; they make components.
 4. A list whose ``k`` entries all reach the threshold is saturated: it may lack links.
-   Saturated lists are enlarged to the vector's whole component, block by block, so
-   that links are counted exactly inside components.  No pair leaves a task.
+   Inside a component links are counted over all its pairs, block by block.  Links that
+   leave it are looked for exactly: saturated vectors go out in bounded chunks and
+   are compared with all vectors of other components, whole blocks of them ruled out by
+   their centre and radius.  A link found joins its components; no other pair leaves a task.
 5. Audit: a bounded set of vectors is compared with all vectors.  If too few of
    their links lie inside components, ``k`` is doubled and the descent goes on.
 
@@ -34,6 +36,11 @@ K = 6
 SEEDS = 3
 WINDOW = 24
 BLOCK = 512
+#: Saturated vectors that are sent to all tasks at a time, and those of a block that shares a centre.
+CHUNK = 8192
+CELL = 64
+#: Rows of a batch that are compared with a chunk at once.
+STEP = 2048
 #: Members of a comparison group; larger neighbourhoods are split by a hash.
 GROUP = 48
 AUDIT = 512
@@ -188,6 +195,76 @@ def _threshold_edges(lists: DataFrame, units: DataFrame, dims: int, threshold: f
     return both.select("u", "v", "ux", "vx").mapInArrow(confirm, "u long, v long")
 
 
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(m): vectors whose ``k`` entries all reach the threshold, give or take single precision."""
+    return lists.where((F.size("near") >= k) & (F.col("floor") >= threshold - 1e-4)).select(F.col("p").alias("m"))
+
+
+def _cells(ids: np.ndarray, own: np.ndarray, x: np.ndarray, threshold: float) -> tuple:
+    """Blocks of at most ``CELL`` rows of one component: first rows, components, centres, and the least cosine to the centre of a vector that may link."""
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    cuts = np.concatenate([np.arange(a, b, CELL) for a, b in zip(start, np.append(start[1:], len(own)))])
+    centres = np.add.reduceat(x, cuts, axis=0)
+    norm = np.sqrt((centres * centres).sum(1, keepdims=True))
+    centres = np.where(norm > 1e-9, centres / np.maximum(norm, 1e-9), x[cuts])
+    sizes = np.diff(np.append(cuts, len(own)))
+    nearest = np.minimum.reduceat((x * np.repeat(centres, sizes, axis=0)).sum(1), cuts)
+    # By the triangle inequality of angles.
+    angle = np.arccos(np.clip(nearest, -1, 1)) + np.arccos(min(max(threshold, -1.0), 1.0)) + 1e-6
+    return np.append(cuts, len(own)), own[cuts], centres, np.where(angle >= np.pi, -2.0, np.cos(np.minimum(angle, np.pi)))
+
+
+def _crossing(placed: DataFrame, saturated: DataFrame, dims: int, threshold: float) -> DataFrame | None:
+    """(u, v): for every vector and every block of saturated ones of another component, a link if there is any.
+
+    placed: (m, c, unit) of all vectors, c the component.
+    """
+    n = saturated.count()
+    if not n:
+        return None
+    spark = placed.sparkSession
+    asked = placed.join(saturated, "m").repartitionByRange(-(-n // CHUNK), "c", "m").sortWithinPartitions("c", "m").select("m", "c", "unit")
+
+    def links(rows: list) -> DataFrame:
+        ids, own = np.array([r.m for r in rows]), np.array([r.c for r in rows])
+        x = np.frombuffer(b"".join(bytes(r.unit) for r in rows), np.float64).reshape(-1, dims)
+        order = np.lexsort((ids, own))
+        ids, own, x = ids[order], own[order], x[order]
+        shared = spark.sparkContext.broadcast((ids, x, *_cells(ids, own, x, threshold)))
+
+        def run(batches):
+            ids, x, cuts, of, centres, least = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, STEP):
+                    part = batch.slice(at, STEP)
+                    m, c, y = part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), dims, np.float64)
+                    may = (y @ centres.T >= least) & (c[:, None] != of)
+                    u, v = [], []
+                    for b in np.flatnonzero(may.any(0)):
+                        rows = np.flatnonzero(may[:, b])
+                        near = y[rows] @ x[cuts[b] : cuts[b + 1]].T >= threshold
+                        hit = near.any(1)
+                        u.append(m[rows[hit]])
+                        v.append(ids[cuts[b] + near[hit].argmax(1)])
+                    if u:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        found = kept(placed.select("m", "c", "unit").mapInArrow(run, "u long, v long"), "crossing")
+        shared.unpersist()
+        return found
+
+    found, rows = None, []
+    for row in asked.toLocalIterator():
+        rows.append(row)
+        if len(rows) == CHUNK:
+            more, rows = links(rows), []
+            found = more if found is None else found.unionByName(more)
+    if rows:
+        more = links(rows)
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
 def _links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(m, links): vectors of the same component within the threshold, the vector itself among them, copies counted.
 
@@ -273,7 +350,13 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K,
             if gained <= 0.02 * n * k:
                 break
         strong = _threshold_edges(lists, units, dims, threshold)
+        strong = kept(strong, "strong")
         labels = kept(components(strong).select(F.col("id").alias("m"), "component"), "labels")
+        saturated = kept(_saturated(lists, k, threshold), "saturated")
+        placed = units.join(labels, "m", "left").select("m", F.coalesce("component", "m").alias("c"), "unit")
+        crossing = _crossing(placed, saturated, dims, threshold)
+        if crossing is not None:
+            labels = kept(components(strong.unionByName(crossing)).select(F.col("id").alias("m"), "component"), "labels")
         if k >= n or audit(units, labels, dims, threshold) >= recall:
             break
         k *= 2

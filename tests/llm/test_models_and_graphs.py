@@ -149,6 +149,26 @@ def test_audit_doubles_lists(spark):
     assert sum(r.component == label[r.id] for r in got) / 60 >= 0.9
 
 
+def tight_groups(rng, cosines, size, dims=64):
+    """Groups of near copies (cosine about 0.998) around centres of the given cosines to the first."""
+    base = np.linalg.qr(rng.normal(size=(dims, len(cosines) + 1)))[0].T
+    centres = [c * base[0] + math.sqrt(1 - c * c) * base[i + 1] for i, c in enumerate(cosines)]
+    return [(c + 0.004 * rng.normal(size=dims)).tolist() for c in centres for _ in range(size)]
+
+
+def test_saturated_groups_find_each_other(spark, monkeypatch):
+    """Two tight groups that link only with each other, found without the audit's help."""
+    monkeypatch.setattr(nndescent, "CHUNK", 50)
+    rng = np.random.default_rng(8)
+    rows = tight_groups(rng, [1.0, 0.965, 0.3], 60) + rng.normal(size=(100, 64)).tolist()
+    n_links, label = links_by_force(rows, 0.95)
+    assert len({*label[:120]}) == 1 and min(n_links[:120]) > 60 and label[120] == 120
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, vector array<double>")
+    got = {r.id: r for r in nndescent.vector_groups(df, recall=0.0).collect()}
+    assert [got[i].component for i in range(len(rows))] == label
+    assert [got[i].n_links for i in range(len(rows))] == n_links
+
+
 # The pipeline -----------------------------------------------------------------------------------
 
 
