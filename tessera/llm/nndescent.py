@@ -13,8 +13,9 @@ Vectors are scaled to length one and exact copies collapsed.  Then:
    leave it are looked for exactly: saturated vectors go out in bounded chunks and
    are compared with all vectors of other components, whole blocks of them ruled out by
    their centre and radius.  A link found joins its components; no other pair leaves a task.
-5. Audit: a bounded set of vectors is compared with all vectors.  If too few of
-   their links lie inside components, ``k`` is doubled and the descent goes on.
+5. Audit: vectors that are not saturated are drawn and compared with all vectors, until
+   ``LINKED`` with true links have been seen or all have been drawn.  If too few of those
+   seen have all their links inside components, ``k`` is doubled and the descent goes on.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components,
 and vectors of another length than the commonest (the longest of several), link with
@@ -43,7 +44,9 @@ CELL = 64
 STEP = 2048
 #: Members of a comparison group; larger neighbourhoods are split by a hash.
 GROUP = 48
+#: Vectors of the audit's first draw (each draw is as large as all before it) and those with true links that it must see.
 AUDIT = 512
+LINKED = 200
 RECALL = 0.98
 ROUNDS = 5
 
@@ -295,26 +298,54 @@ def _links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     return pairs.select("ids", "x", "other", "other_copies").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("links"))
 
 
-def audit(units: DataFrame, labels: DataFrame, dims: int, threshold: float, most: int = AUDIT) -> float:
-    """Share of the true links of a bounded set of vectors, by brute force, that lie inside components."""
-    asked = units.orderBy(F.xxhash64("m", F.lit(5)), "m").limit(most).join(labels, "m", "left").select("m", "unit", F.coalesce("component", "m").alias("c")).collect()
-    if not asked:
-        return 1.0
-    ids, own = np.array([r.m for r in asked]), np.array([r.c for r in asked])
-    x = np.frombuffer(b"".join(bytes(r.unit) for r in asked), np.float64).reshape(-1, dims)
-    shared = units.sparkSession.sparkContext.broadcast((ids, own, x))
+def audit(units: DataFrame, labels: DataFrame, dims: int, threshold: float, most: int = AUDIT, linked: int = LINKED, exact: DataFrame | None = None) -> float:
+    """Share of drawn vectors with true links, by brute force, all of whose links lie inside components.
 
-    def run(batches):
-        ids, own, x = shared.value
-        for batch in batches:
-            near = x @ _matrix(batch.column(2), dims, np.float64).T >= threshold
-            near &= ids[:, None] != batch.column(0).to_numpy()[None, :]
-            same = own[:, None] == batch.column(1).to_numpy()[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array([int(near.sum())]), pa.array([int((near & same).sum())])], ["links", "found"])
+    Each vector counts once, however many links it has.  Vectors are drawn in the order of a hash,
+    ``most`` at first and then as many as before, until ``linked`` with true links
+    have been seen or none is left; those in ``exact`` (m), whose links are known, are not drawn.
+    """
+    spark = units.sparkSession
+    all_ = kept(units.join(labels, "m", "left").select("m", F.coalesce("component", "m").alias("c"), "unit"), "audited")
+    pool = all_ if exact is None else all_.join(exact, "m", "left_anti")
+    pool = kept(pool.withColumn("h", F.xxhash64("m", F.lit(5))), "pool")
+    left = pool.count()
+    lowest, drawn, seen, whole = None, 0, 0, 0
+
+    def compare(asked: list) -> tuple[int, int]:
+        own = np.array([r.c for r in asked])
+        x = np.frombuffer(b"".join(bytes(r.unit) for r in asked), np.float64).reshape(-1, dims)
+        shared = spark.sparkContext.broadcast((np.array([r.m for r in asked]), own, x))
 
-    all_ = units.join(labels, "m", "left").select("m", F.coalesce("component", "m").alias("c"), "unit")
-    r = all_.mapInArrow(run, "links long, found long").agg(F.sum("links").alias("n"), F.sum("found").alias("f")).first()
-    return 1.0 if not r.n else r.f / r.n
+        def run(batches):
+            ids, own, x = shared.value
+            for batch in batches:
+                links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                for at in range(0, batch.num_rows, STEP):
+                    part = batch.slice(at, STEP)
+                    near = x @ _matrix(part.column(2), dims, np.float64).T >= threshold
+                    near &= ids[:, None] != part.column(0).to_numpy()[None, :]
+                    links += near.sum(1)
+                    found += (near & (own[:, None] == part.column(1).to_numpy()[None, :])).sum(1)
+                some = links > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some] - found[some])], ["m", "lost"])
+
+        each = all_.select("m", "c", "unit").mapInArrow(run, "m long, lost long").groupBy("m").agg(F.sum("lost").alias("lost"))
+        r = each.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("lost") == 0).alias("whole")).first()
+        shared.unpersist()
+        return r.seen, r.whole
+
+    while drawn < left and seen < linked:
+        # At most CHUNK go out at a time; the last hash and id tell where the next draw begins.
+        size = min(max(most, drawn), CHUNK)
+        rest = pool if lowest is None else pool.where((F.col("h") > lowest[0]) | ((F.col("h") == lowest[0]) & (F.col("m") > lowest[1])))
+        asked = rest.orderBy("h", "m").limit(size).collect()
+        if not asked:
+            break
+        lowest, drawn = (asked[-1].h, asked[-1].m), drawn + len(asked)
+        more = compare(asked)
+        seen, whole = seen + more[0], whole + more[1]
+    return whole / seen if seen else 1.0
 
 
 def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
@@ -357,7 +388,7 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K,
         crossing = _crossing(placed, saturated, dims, threshold)
         if crossing is not None:
             labels = kept(components(strong.unionByName(crossing)).select(F.col("id").alias("m"), "component"), "labels")
-        if k >= n or audit(units, labels, dims, threshold) >= recall:
+        if k >= n or audit(units, labels, dims, threshold, exact=saturated) >= recall:
             break
         k *= 2
     members = units.join(labels, "m").select("component", "m", "copies", "unit")

@@ -169,6 +169,21 @@ def test_saturated_groups_find_each_other(spark, monkeypatch):
     assert [got[i].n_links for i in range(len(rows))] == n_links
 
 
+def test_audit_counts_vectors_and_never_passes_unseen(spark):
+    """A large whole group beside isolated pairs that were missed; few of many vectors have links."""
+    rng = np.random.default_rng(9)
+    x = np.array(tight_groups(rng, [1.0], 150) + [v for _ in range(20) for v in tight_groups(rng, [1.0], 2)] + rng.normal(size=(400, 64)).tolist())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "m long, unit binary")
+    labels = spark.createDataFrame([(i, 0) for i in range(150)], "m long, component long")
+    assert nndescent.audit(units, labels, 64, 0.95) == pytest.approx(150 / 190)
+    assert nndescent.audit(units, labels, 64, 0.95, exact=labels.select("m")) == 0.0
+    pairs = units.where("m >= 150")
+    first = [r.m for r in pairs.orderBy(F.xxhash64("m", F.lit(5)), "m").collect()]
+    most = next(i for i, m in enumerate(first) if m < 190)  # the first draw sees no link
+    assert nndescent.audit(pairs, labels, 64, 0.95, most=max(1, most)) == 0.0
+
+
 # The pipeline -----------------------------------------------------------------------------------
 
 
