@@ -135,6 +135,20 @@ def test_knn_join_agrees_with_all_pairs(spark, small):
     assert got == sorted(want)
 
 
+def test_knn_join_of_outlying_queries(spark):
+    """Queries many extents away from all features keep their neighbours on the grid path."""
+    rng = random.Random(6)
+    p = [(i, rng.random(), rng.random()) for i in range(80)]
+    q = [(0, 0.5, 0.5), (1, 100.0, 100.0), (2, -3000.0, 0.2), (3, 7.0, -1e7)]
+    asked = spark.createDataFrame(q, "query_id long, x double, y double")
+    got = sorted((r.query_id, r["rank"], r.id) for r in join.knn_join(asked, pts(spark, p), 3, small=0).collect())
+    want = []
+    for i, x, y in q:
+        near = sorted(p, key=lambda t: ((t[1] - x) ** 2 + (t[2] - y) ** 2, t[0]))[:3]
+        want += [(i, k + 1, t[0]) for k, t in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_stats_of_an_empty_table(spark):
     none = pts(spark, [(1, 1, 1)]).limit(0)
     assert stats.bounds(none).first().bounds is None and stats.count_objects(none).first()[0] == 0
