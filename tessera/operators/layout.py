@@ -5,8 +5,10 @@ next level by y, and so on; the median itself is a split point, which does not c
 the bounds of a block but is stored with the first block to its right.  The number of
 levels follows from the row count alone, so no level needs an action.
 
-Above ``exact_rows`` the first splits use approximate medians, found by aggregation, so
-no window ever holds the whole table.
+Nodes of more than ``exact_rows`` features find the same medians by counting: bins over
+the coordinate, then over the id, narrow down the place of the median until a window may
+hold the rest, so no window ever holds the whole table and results do not depend on the size.
+Ids are taken to be unique.
 """
 
 from __future__ import annotations
@@ -35,15 +37,63 @@ def _axis(level: int) -> Column:
     return F.col("centroid")["x" if level % 2 == 0 else "y"]
 
 
-def _coarse(points: DataFrame, n: int, exact_rows: int) -> tuple[DataFrame, int]:
-    """First levels by approximate medians, one small aggregate each."""
+#: Bins that a node's features are counted in at a time.
+BINS = 4096
+
+_RANGE = ("v0", "v1", "i0", "i1")
+
+
+def _medians(points: DataFrame, level: int, config: SpatialConfig) -> list[tuple]:
+    """(node, coordinate, id) of the split point of every node to split, by counting in bins."""
+    spark = points.sparkSession
+    own = points.where(~F.col("pivot")).select("node", _axis(level).alias("v"), "id")
+    bounds = [F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("id").alias("i0"), F.max("id").alias("i1")]
+    # One row per node, at most 2 n / exact_rows of them.
+    nodes = {r.node: r.asDict() | {"rank": r.c // 2} for r in own.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *bounds).collect() if r.c > config.block_size}
+    kind = own.schema["id"].dataType.simpleString()
+
+    def within(names) -> DataFrame:
+        rows = [(x, *[nodes[x][c] for c in _RANGE], nodes[x]["rank"]) for x in names]
+        found = own.join(F.broadcast(spark.createDataFrame(rows, f"node string, v0 double, v1 double, i0 {kind}, i1 {kind}, rank long")), "node")
+        return found.where(F.col("v").between(F.col("v0"), F.col("v1")) & F.col("id").between(F.col("i0"), F.col("i1")))
+
+    def share(v: str, lo: str, hi: str) -> Column:
+        at, lo, hi = (F.col(c).cast("double") for c in (v, lo, hi))
+        return F.coalesce(F.least(F.lit(BINS - 1), F.floor(F.try_divide(at - lo, hi - lo) * BINS)), F.lit(0))
+
+    open_ = [x for x, r in nodes.items() if r["c"] > config.exact_rows]
+    while open_:
+        number = F.when(F.col("v0") < F.col("v1"), share("v", "v0", "v1")).otherwise(share("id", "i0", "i1"))
+        bins = within(open_).withColumn("bin", number).groupBy("node", "rank", "bin").agg(F.count(F.lit(1)).alias("c"), *bounds)
+        before = F.sum("c").over(Window.partitionBy("node").orderBy("bin")) - F.col("c")
+        chosen = bins.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c"))).collect()
+        open_ = []
+        for r in chosen:
+            narrowed = {c: r[c] for c in (*_RANGE, "c")}
+            if narrowed["c"] > config.exact_rows and any(nodes[r.node][c] != narrowed[c] for c in _RANGE):
+                open_.append(r.node)
+            nodes[r.node] |= narrowed | {"rank": r["rank"] - r["before"]}
+    if not nodes:
+        return []
+    place = F.row_number().over(Window.partitionBy("node").orderBy("v", "id")) - 1
+    return [(r.node, r.v, r.id) for r in within(nodes).withColumn("place", place).where(F.col("place") == F.col("rank")).collect()]
+
+
+def _counted(points: DataFrame, n: int, config: SpatialConfig) -> tuple[DataFrame, int, int]:
+    """First levels of nodes that no window should hold; also their number, and the most features of a node that is left."""
     level = 0
-    while n > exact_rows:
-        cut = points.groupBy("node").agg(F.percentile_approx(_axis(level), F.lit(0.5), F.lit(10000)).alias("cut"))
-        # One row per node, at most n / exact_rows of them.
-        points = points.join(F.broadcast(cut), "node").withColumn("node", F.concat("node", F.when(_axis(level) < F.col("cut"), "0").otherwise("1"))).drop("cut")
-        n, level = -(-n // 2), level + 1
-    return points, level
+    kind = points.schema["id"].dataType.simpleString()
+    while n > max(config.exact_rows, config.block_size):
+        cuts = points.sparkSession.createDataFrame(_medians(points, level, config), f"node string, _v double, _i {kind}")
+        v = _axis(level)
+        below = (v < F.col("_v")) | ((v == F.col("_v")) & (F.col("id") < F.col("_i")))
+        here = F.coalesce((v == F.col("_v")) & (F.col("id") == F.col("_i")), F.lit(False))
+        side = F.when(F.col("pivot") | below, "0").otherwise("1")
+        points = points.join(F.broadcast(cuts), "node", "left")
+        points = points.withColumn("_side", F.when(F.col("_v").isNotNull(), side).otherwise("")).withColumn("pivot", F.col("pivot") | here)
+        points = points.withColumn("node", F.concat("node", "_side")).drop("_v", "_i", "_side")
+        n, level = n // 2, level + 1
+    return points, level, n
 
 
 def kd_nodes(features: DataFrame, config: SpatialConfig, n: int | None = None) -> DataFrame:
@@ -51,8 +101,7 @@ def kd_nodes(features: DataFrame, config: SpatialConfig, n: int | None = None) -
     points = features.where("is_valid").withColumn("node", F.lit("")).withColumn("pivot", F.lit(False))
     if n is None:
         n = features.where("is_valid").count()
-    points, start = _coarse(points, n, config.exact_rows)
-    left = -(-n // (1 << start)) + (n // 50 if start else 0)  # approximate halves may be a little larger
+    points, start, left = _counted(points, n, config)
     for level in range(start, start + levels_needed(left, config.block_size)):
         order = Window.partitionBy("node").orderBy("pivot", _axis(level), "id")
         rank = F.row_number().over(order) - 1

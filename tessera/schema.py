@@ -45,9 +45,9 @@ class SpatialConfig:
     """How features are laid out.
 
     block_size: most features of a block, beside split points; page_capacity: most
-    features of a page; pages_per_track: pages that share a track; exact_rows: above
-    this many rows the first splits use approximate medians, so that no window
-    holds the whole table; strategy: order of pages in a block (zorder or sequential).
+    features of a page; pages_per_track: pages that share a track; exact_rows: nodes of
+    more rows find their median by counting, so that no window holds the whole
+    table; strategy: order of pages in a block (zorder or sequential).
     """
 
     block_size: int = 1024

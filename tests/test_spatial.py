@@ -97,6 +97,22 @@ def test_coarse_splits_hold_all_rows(spark):
     assert laid.count() == 4000 and max(b.object_count for b in blocks.collect()) <= 300
 
 
+def test_layout_does_not_depend_on_exact_rows(spark):
+    """Medians by counting are those of windows, also with a third of the rows at one x and split points stored."""
+    rng = random.Random(7)
+    rows = [(i, 5.0 if i % 3 == 0 else rng.random() * 9, rng.choice([1.0, rng.random()])) for i in range(900)]
+    f = pts(spark, rows).persist()
+    found = []
+    for exact_rows in (4_000_000, 200):
+        config = SpatialConfig(block_size=100, page_capacity=16, exact_rows=exact_rows)
+        laid, blocks = layout.layout(f, config)
+        assert max(b.object_count for b in blocks.collect()) <= 100
+        found.append((sorted((r.id, r.block_id, r.page_id, r.track_id, r.slot) for r in laid.collect()), sorted(map(repr, blocks.collect()))))
+    assert found[0] == found[1]
+    nodes = [{r.id: (r.node, r.pivot) for r in layout.kd_nodes(f, SpatialConfig(block_size=100, exact_rows=n)).collect()} for n in (4_000_000, 20)]
+    assert nodes[0] == nodes[1]
+
+
 def test_seeks(spark):
     pages = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 2)], "page_id int, track_id int")
     assert tuple(adjacency.estimate_seeks(pages).first()) == (4, 1)
