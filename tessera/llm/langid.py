@@ -11,7 +11,7 @@ Learning uses a bounded sample of labelled rows: per language the
 text is scored whole.
 
 Defined results: a null text or one without letters is ``und`` with score 0; other
-texts get a learned label; ties go to the label that sorts first; repeated rows are
+texts, very long ones too, get a learned label; ties go to the label that sorts first; repeated rows are
 answered each; an empty table gives no rows; without training rows all is ``und``;
 extra columns are ignored.
 """
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .textcore import LOWER, slices, utf8
 
@@ -53,26 +52,20 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nd
     return code[same] + np.int32(_BASE[order]), doc[:n][same]
 
 
-def presence(column: pa.Array, table: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Presence matrix over the known n-grams, and each text's number of distinct n-grams."""
+def distinct_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Text and code of every distinct n-gram of each text, by text, and the number of texts."""
     raw, offsets = utf8(column)
-    data, n = LOWER[raw], len(offsets) - 1
-    held = np.zeros((n, width + 1), np.float32)
-    distinct = np.zeros(n, np.float64)
-    for order in ORDERS:
-        code, doc = gram_codes(data, offsets, order)
-        held[doc, table[code]] = 1.0  # column ``width`` takes unknown n-grams
-        distinct += _distinct(code, doc, n)
-    return held[:, :width], distinct
-
-
-def _distinct(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    if not len(code):
-        return np.zeros(n)
+    data = LOWER[raw]
+    code, doc = (np.concatenate(x) for x in zip(*(gram_codes(data, offsets, o) for o in ORDERS)))
     key = np.sort((doc.astype(np.int64) << 32) | code)
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
-    return np.bincount((key[first] >> 32).astype(np.int64), minlength=n).astype(np.float64)
+    key = key[first]
+    return key >> 32, key & 0xFFFFFFFF, len(offsets) - 1
+
+
+#: Rows of the landmark matrix that are summed at once.
+GATHER = 1 << 15
 
 
 @dataclass
@@ -90,8 +83,16 @@ class LanguageModel:
         return table
 
     def kernel(self, column: pa.Array, table: np.ndarray) -> np.ndarray:
-        held, distinct = presence(column, table, len(self.codes))
-        return (held @ self.landmark) / np.sqrt(np.maximum(distinct, 1.0))[:, None]
+        doc, code, n = distinct_grams(column)
+        distinct = np.bincount(doc, minlength=n)
+        at = table[code]
+        doc, at = doc[at < len(self.codes)], at[at < len(self.codes)]
+        shared = np.zeros((n, self.landmark.shape[1]))
+        for a in range(0, len(at), GATHER):  # a sparse product: rows of the landmark matrix summed by text
+            d = doc[a : a + GATHER]
+            start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            shared[d[start]] += np.add.reduceat(self.landmark[at[a : a + GATHER]], start)
+        return shared / np.sqrt(np.maximum(distinct, 1.0))[:, None]
 
     def scores(self, column: pa.Array, table: np.ndarray) -> np.ndarray:
         k = self.kernel(column, table)
@@ -111,7 +112,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     codes = np.unique(code)
     held = np.zeros((len(chosen), len(codes)), np.float32)
     held[doc, np.searchsorted(codes, code)] = 1.0
-    landmark = (held / np.sqrt(np.maximum(held.sum(1, keepdims=True), 1.0))).T.copy()
+    landmark = np.ascontiguousarray((held / np.sqrt(np.maximum(held.sum(1, keepdims=True), 1.0))).T)
     model = LanguageModel(labels, codes, landmark, np.zeros((len(chosen) + 1, len(labels))))
     among = (landmark.T @ landmark).astype(np.float64)
     value, vector = np.linalg.eigh(among)
@@ -137,27 +138,38 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel |
     """Fits on the ``per_language`` training rows of each language whose ids hash lowest.
 
     Two passes: the first finds ids without touching texts, the second reads the
-    few texts; both are bounded by the parameter.
+    few texts; both are bounded by the parameter.  Rows of the same id count as one, that of the
+    greatest language and text.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = usable.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h"))
-    # A heap of the lowest hashes per language merges by aggregation, so a hot language costs no more than another.
-    ids = [r.doc_id for r in _lowest(ranked, per_language).collect()]
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)
-    rows = [r for r in rows if any(x.isalpha() for x in r.text)]
-    return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None
-
-
-def _lowest(ranked: DataFrame, most: int) -> DataFrame:
-    """Rows of the ``most`` lowest hashes of each language, through a threshold on the hash."""
-    counts = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    # The hash is uniform, so four times the expected share holds ``most`` rows of a language with room to spare.
-    share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("rows"))
-    limit = (F.lit(-9.223372036854775e18) + share * F.lit(1.8446744073709550e19)).alias("limit")
-    near = ranked.join(F.broadcast(counts.select("lang", limit)), "lang").where(F.col("h").cast("double") <= F.col("limit"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "doc_id")
+    chosen, _ = lowest(usable.select("lang", "doc_id"), "lang", per_language, 17)
+    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").collect()
+    once: dict = {}
+    for r in rows:
+        once[r.doc_id] = max(once.get(r.doc_id, ("", "")), (r.lang, r.text))
+    found = [once[i] for i in sorted(once) if any(x.isalpha() for x in once[i][1])]
+    return fit([t for _, t in found], [x for x, _ in found]) if found else None
+
+
+def lowest(rows: DataFrame, label: str, most: int, seed: int) -> tuple[DataFrame, dict]:
+    """The ``most`` rows (label, doc_id) of each label whose ids hash lowest, and the rows of each label.
+
+    A threshold on the hash leaves about four times as many; these few are ranked.  Only bounded
+    numbers of rows are moved, so a label with nearly all rows costs no more than another.
+    """
+    hashed = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)))
+    counts = {r[0]: r[1] for r in hashed.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    parts = []
+    for value, n in sorted(counts.items()):
+        own = hashed.where(F.col(label) == F.lit(value))
+        # The hash is uniform: the share below the threshold holds four times ``most`` rows, give or take a few in a hundred.
+        if n > 4 * most:
+            own = own.where(F.col("h") <= F.lit(int(-(2.0**63) + 2.0**64 * 4.0 * most / n)))
+        parts.append(own.orderBy("h", "doc_id").limit(most).select(label, "doc_id"))
+    found = parts[0] if parts else rows.select(label, "doc_id").limit(0)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found, counts
 
 
 def classify(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:

@@ -1,60 +1,58 @@
 """Toxicity by nearest labelled examples.
 
-Labelled training texts are examples.  A text's vector holds TF-IDF weights of the
-terms whose presence among the training rows depends on the label (a chi-square
-test, no fixed number of terms); terms are words and five-letter word beginnings.
-The ``k`` most similar examples by exact cosine are found in a block-max inverted
-index, vote with weights that fall with distance, and a logistic fit on the training
-rows' leave-one-out votes turns the vote into a calibrated score.
+Labelled training texts are examples.  A text's vector holds TF-IDF weights of all its
+words that stand in some example, of either label.  A word's inverse document
+frequency is multiplied by how unevenly the labels share the word, a number that is never
+zero, so that no word is left out and words that tell nothing weigh little.  The ``k`` most
+similar examples by exact cosine are found in a block-max inverted index, vote with weights
+that fall with distance, and a logistic fit on the examples' leave-one-out
+votes, weighted to the labels' true shares, turns the vote into a calibrated score.
+The examples of label 1 among the neighbours are the evidence.
+
+The index keeps its examples in blocks of ``BLOCK`` that are alike, each with inverted lists
+of its own, and for every word and block the greatest weight.  A block whose bound (the query's
+weights times these) is below the k-th best cosine so far cannot change the result and is left out;
+no other example is.
 
 Learning uses at most ``examples`` labelled rows per label, those whose ids hash
 lowest: a documented bound.  Every text is scored whole.
 
-Defined results: null and empty texts, and texts without any learned term, get the
-score of a vote of zero; ties of similarity go to the lower example; labels that are
-null are not learned from; repeated rows are answered each; empty tables give no
-rows; without both labels every score is the known label's share, or 0; extra columns
-are ignored.
+Defined results: null and empty texts, and texts without any known word, have no neighbours
+and get the score of a vote of zero; a very long text is one query like any other; ties of
+similarity go to the example of lower id; of labelled rows with equal ids the one of
+greatest label and text is learned from; labels that are null or neither 0 nor 1 are not learned from; repeated
+rows are answered each; empty tables give no rows; without both labels every score is the
+known label's share, or 0; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from .langid import held_out
-from .textcore import ALNUM_WORDS, Words, mix64, slices, span_hashes
+from .langid import held_out, lowest
+from .textcore import ALNUM_WORDS, Words, slices
 
 K = 15
-EXAMPLES = 4000
-#: Chi-square, one degree of freedom, at about 1 in 10 million.
-CHI2 = 28.4
-#: Least share of label 1 that must have a learned term.
-MIN_SHARE = 0.02
-#: Times as frequent with label 1 as with label 0 that a learned term must be.
-LIFT = 4.0
+EXAMPLES = 2000
 BLOCK = 64
-PREFIX = 5
+#: Rows counted beside each label's own when a word's shares are compared, so that rare words tell little.
+PRIOR = 4.0
+#: Weight of a word that both labels share evenly, against 1 for one that is e times as frequent with one of them.
+EVEN = 0.05
+#: Texts that are compared at once.
+BATCH = 128
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and word beginnings, and the text of each."""
+def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, word hash) of a column with counts, by text and hash."""
     w = Words(column, ALNUM_WORDS)
-    long = w.end - w.start >= PREFIX
-    begin = span_hashes(w.data, w.start[long], w.start[long] + PREFIX, seed=99)
-    return np.concatenate([w.hash, mix64(begin)]), np.concatenate([w.doc, w.doc[long]])
-
-
-def counted(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, term) with counts, by doc."""
-    order = np.lexsort((hashes, docs))
-    hashes, docs = hashes[order], docs[order]
+    order = np.lexsort((w.hash, w.doc))
+    hashes, docs = w.hash[order], w.doc[order]
     first = np.ones(len(hashes), bool)
     first[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(first)
@@ -62,130 +60,235 @@ def counted(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 @dataclass
-class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of examples with each block's greatest weight."""
+class Vectors:
+    """Unit vectors, one after another: those of row i lie in begin[i]:begin[i + 1], words ascending."""
+
+    begin: np.ndarray
+    word: np.ndarray
+    weight: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
 
-    n: int
-    lists: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by term: blocks of (example, weight)
-    most: np.ndarray | None = None  # terms x blocks
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.begin))
+
+    def take(self, order: np.ndarray) -> Vectors:
+        size = np.diff(self.begin)[order]
+        begin = np.append(0, np.cumsum(size))
+        at = np.repeat(self.begin[:-1][order] - begin[:-1], size) + np.arange(begin[-1])
+        return Vectors(begin, self.word[at], self.weight[at])
+
+    @classmethod
+    def of(cls, column: pa.Array, known: np.ndarray, scale: np.ndarray) -> Vectors:
+        """Vectors of texts over the known words (sorted hashes), whose scales multiply 1 + log(count)."""
+        h, d, c = counted(column)
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+        word, doc = at[hit], d[hit]
+        weight = (1.0 + np.log(c[hit])) * scale[word]
+        n = len(column)
+        norm = np.sqrt(np.bincount(doc, weight * weight, n))
+        return cls(np.searchsorted(doc, np.arange(n + 1)), word, weight / norm[doc])
 
     @classmethod
-    def build(cls, n: int, n_terms: int, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> BlockMaxIndex:
-        blocks = -(-n // BLOCK) or 1
-        index = cls(n, [[] for _ in range(n_terms)], np.zeros((n_terms, blocks)))
-        order = np.lexsort((example, term))
-        example, term, weight = example[order], term[order], weight[order]
-        for t in range(n_terms):
-            lo, hi = np.searchsorted(term, [t, t + 1])
-            e, w = example[lo:hi], weight[lo:hi]
-            cuts = np.searchsorted(e, np.arange(blocks + 1) * BLOCK)
-            index.lists[t] = [(e[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            np.maximum.at(index.most[t], e // BLOCK, w)
-        return index
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine and these, exactly; ties to the lower example.
-
-        Blocks are visited by falling bound; the search ends once the bound is below the k-th best.
+    def joined(cls, parts: list[Vectors]) -> Vectors:
+        if not parts:
+            return cls(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        ends = np.cumsum([0, *[p.begin[-1] for p in parts]])
+        begin = np.concatenate([[0], *[p.begin[1:] + e for p, e in zip(parts, ends)]])
+        return cls(begin, np.concatenate([p.word for p in parts]), np.concatenate([p.weight for p in parts]))
+
+
+def alike(vectors: Vectors, n_words: int, size: int, dims: int = 96, seed: int = 3) -> np.ndarray:
+    """An order of the vectors in which those of a run of ``size`` are alike: halves along the widest direction, again and again.
+
+    Directions are sought among random projections; they decide only how tight the bounds are.
+    """
+    sketch = np.zeros((len(vectors), dims))
+    planes = np.random.default_rng(seed).normal(size=(n_words, dims)).astype(np.float32)
+    rows = vectors.rows()
+    for at in range(0, len(rows), 1 << 16):
+        own = slice(at, at + (1 << 16))
+        np.add.at(sketch, rows[own], planes[vectors.word[own]] * vectors.weight[own, None])
+    done, todo = [], [np.arange(len(vectors))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= size:
+            done.append(part)
+            continue
+        x = sketch[part] - sketch[part].mean(0)
+        v = x[np.argmax((x * x).sum(1))]
+        for _ in range(8):
+            v = x.T @ (x @ v)
+            v = v / max(np.sqrt(v @ v), 1e-300)
+        half = -(-len(part) // (2 * size)) * size
+        order = part[np.argsort(x @ v, kind="stable")]
+        todo += [order[half:], order[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
+class BlockMaxIndex:
+    """Inverted lists of unit vectors by block of alike examples, with each list's greatest weight."""
+
+    def __init__(self, vectors: Vectors, n_words: int):
+        self.n, self.order = len(vectors), alike(vectors, n_words, BLOCK)
+        v = vectors.take(self.order)
+        place = v.rows()
+        self.blocks = -(-self.n // BLOCK)
+        self.most = np.zeros((n_words, self.blocks), np.float32)
+        self.words, self.begin, self.place, self.weight = [], [], [], []
+        for b in range(self.blocks):
+            own = slice(v.begin[b * BLOCK], v.begin[min(self.n, (b + 1) * BLOCK)])
+            by = np.argsort(v.word[own], kind="stable")
+            word, weight = v.word[own][by], v.weight[own][by]
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            self.words.append(word[start])
+            self.begin.append(np.append(start, len(word)))
+            self.place.append((place[own][by] - b * BLOCK).astype(np.int8))
+            self.weight.append(weight)
+            # Rounded up, so that a bound in single precision is never too low.
+            if len(word):
+                self.most[word[start], b] = np.nextafter(np.maximum.reduceat(weight, start).astype(np.float32), np.float32(2))
+
+    def nearest(self, queries: Vectors, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For every query the k examples of greatest positive cosine (-1 where there are fewer) and these, exactly.
+
+        Ties go to the lower example.  ``skip`` names an example per query that is not an answer.
+        Queries with the same first block are compared together, as they leave out much the same blocks.
         """
-        if not len(term):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight @ self.most[term]
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bound)), -bound)):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                e, x = self.lists[t][b]
-                sums[e - b * BLOCK] += w * x
-            for j in np.flatnonzero(sums > 0):
-                if b * BLOCK + j != skip:
-                    best.append((-round(float(sums[j]), 12), int(b * BLOCK + j)))
-            best = sorted(best)[:k]
-        return np.array([e for _, e in best], np.int64), np.array([-s for s, _ in best])
+        n = len(queries)
+        best, near = np.zeros((n, k)), np.full((n, k), self.n, np.int64)
+        bound = self.bounds(queries)
+        order = np.argsort(bound.argmax(1), kind="stable") if n else np.zeros(0, np.int64)
+        for at in range(0, n, BATCH):
+            own = order[at : at + BATCH]
+            best[own], near[own] = self._nearest(queries.take(own), bound[own], k, None if skip is None else skip[own])
+        return np.where(near == self.n, -1, near), best
+
+    def bounds(self, queries: Vectors) -> np.ndarray:
+        """For every query and block a number that no cosine with an example of the block exceeds."""
+        bound = np.zeros((len(queries), self.blocks))
+        for at in range(0, len(queries), BATCH):
+            part = queries.take(np.arange(at, min(len(queries), at + BATCH)))
+            some = np.flatnonzero(np.diff(part.begin))
+            if len(some):
+                bound[at + some] = np.add.reduceat(self.most[part.word] * part.weight[:, None], part.begin[some]) + 1e-9
+        return bound
+
+    def _nearest(self, queries: Vectors, bound: np.ndarray, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        best, near = np.zeros((len(queries), k)), np.full((len(queries), k), self.n, np.int64)
+        words, inverse = np.unique(queries.word, return_inverse=True)
+        if not len(words):
+            return best, near
+        dense = np.zeros((len(queries), len(words)))
+        dense[queries.rows(), inverse] = queries.weight
+        place = np.full(int(words[-1]) + 1, -1, np.int32)
+        place[words] = np.arange(len(words), dtype=np.int32)
+
+        def visit(b: int, rows: np.ndarray) -> None:
+            own = self.words[b]
+            at = place[own[: np.searchsorted(own, words[-1], "right")]]
+            both = np.flatnonzero(at >= 0)
+            begin, size = self.begin[b][both], np.diff(self.begin[b])[both]
+            entry = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            lists = np.zeros((len(both), BLOCK))
+            lists[np.repeat(np.arange(len(both)), size), self.place[b][entry]] = self.weight[b][entry]
+            mine = dense[:, at[both]] if len(rows) == len(dense) else dense[np.ix_(rows, at[both])]
+            cosine = np.round(mine @ lists, 12)
+            ids = self.order[b * BLOCK : (b + 1) * BLOCK]
+            cosine = cosine[:, : len(ids)]
+            if skip is not None:
+                cosine[ids[None, :] == skip[rows, None]] = 0.0
+            better = np.flatnonzero((cosine >= best[rows, -1:]).any(1) & (cosine.max(1) > 0))
+            if len(better):
+                r = rows[better]
+                value = np.hstack([best[r], cosine[better]])
+                who = np.hstack([near[r], np.broadcast_to(ids, (len(r), len(ids)))])
+                who[value <= 0] = self.n
+                top = np.lexsort((who, -value), axis=-1)[:, : best.shape[1]]
+                best[r], near[r] = np.take_along_axis(value, top, 1), np.take_along_axis(who, top, 1)
+
+        first = bound.argmax(1)
+        for b in np.unique(first):
+            visit(b, np.flatnonzero(first == b))
+        for b in np.argsort(-bound.max(0), kind="stable"):
+            rows = np.flatnonzero((bound[:, b] >= best[:, -1]) & (first != b) & (bound[:, b] > 1e-9))
+            if len(rows):
+                visit(b, rows)
+        return best, near
 
 
 @dataclass
 class ToxicityModel:
-    terms: np.ndarray  # sorted hashes of learned terms
-    idf: np.ndarray
-    index: BlockMaxIndex
+    words: np.ndarray  # sorted hashes of the examples' words
+    scale: np.ndarray
+    vectors: Vectors
     label: np.ndarray
     ids: np.ndarray
     k: int
     slope: float
     shift: float
+    index: BlockMaxIndex | None = None
+
+    def indexed(self) -> ToxicityModel:
+        """The index is made where it is used, as its lists are larger than the vectors."""
+        if self.index is None:
+            self.index = BlockMaxIndex(self.vectors, len(self.words))
+        return self
+
+    def votes(self, near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the neighbours, each weighted by its nearness; 0 without neighbours."""
+        weight = np.where(near >= 0, 1.0 / (1.05 - np.minimum(cosine, 1.0)), 0.0)
+        return (weight * self.label[near]).sum(1) / np.maximum(weight.sum(1), 1e-12)
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-(self.slope * votes + self.shift)))
+
+    def scored(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, neighbours and cosines of texts."""
+        if not len(self.words):
+            return self.calibrated(np.zeros(len(column))), np.full((len(column), self.k), -1), np.zeros((len(column), self.k))
+        near, cosine = self.index.nearest(Vectors.of(column, self.words, self.scale), self.k)
+        return self.calibrated(self.votes(near, cosine)), near, cosine
+
+
+def scales(seen: np.ndarray, ones: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Inverse document frequency of words times how unevenly the labels share them."""
+    n, n1 = len(label), float(label.sum())
+    idf = np.log((n + 1.0) / (seen + 1.0)) + 1.0
+    uneven = np.abs(np.log((ones + PRIOR) / (n1 + 2 * PRIOR)) - np.log((seen - ones + PRIOR) / (n - n1 + 2 * PRIOR)))
+    return idf * (EVEN + uneven)
+
 
-    def vectors(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Unit vectors over the learned terms."""
-        return unit_vectors(*terms(column), len(column), self.terms, self.idf)
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Distance-weighted share of label 1, in log odds-like units around 0; 0 without neighbours."""
-        if not len(near):
-            return 0.0
-        w = 1.0 / (1.0 - np.minimum(cosine, 1.0) + 0.05)
-        return float((w * self.label[near]).sum() / w.sum() * min(1.0, cosine.max() * 2))
-
-    def calibrated(self, vote: float) -> float:
-        return float(1.0 / (1.0 + np.exp(-(self.slope * vote + self.shift))))
-
-
-def unit_vectors(hashes, docs, n: int, known: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    at = np.searchsorted(known, hashes)
-    at[at == len(known)] = 0
-    hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-    h, d, c = counted(hashes[hit], docs[hit])
-    t = np.searchsorted(known, h)
-    w = (1.0 + np.log(c)) * idf[t]
-    norm = np.sqrt(np.bincount(d, w * w, n))
-    cuts = np.searchsorted(d, np.arange(n + 1))
-    return [(t[a:b], w[a:b] / norm[i]) if b > a else (t[:0], w[:0]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
-
-
-def learned_terms(column: pa.Array, label: np.ndarray, chi2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Terms more present with label 1 or 0 than chance allows, and their inverse document frequencies."""
-    n, n1 = len(label), int(label.sum())
-    seen, ones = [], []
-    for at, part in slices(column):
-        h, d, _ = counted(*terms(part))
-        seen.append(h)
-        ones.append(label[at + d])
-    h, inverse = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_inverse=True)
-    df = np.bincount(inverse, minlength=len(h)).astype(float)
-    a = np.bincount(inverse, np.concatenate(ones) if ones else [], len(h))
-    b = df - a
-    c, d = n1 - a, n - n1 - b
-    below = (a + b) * (c + d) * (a + c) * (b + d)
-    value = np.where(below > 0, n * np.maximum(np.abs(a * d - b * c) - n / 2, 0) ** 2 / np.maximum(below, 1), 0.0)
-    # Terms that speak for label 1, and not only by way of a few copies of one text.
-    keep = (value >= chi2) & (a * (n - n1) > LIFT * b * n1) & (a >= max(3.0, MIN_SHARE * n1))
-    return h[keep], np.log((n + 1.0) / (df[keep] + 1.0)) + 1.0
-
-
-def fit(texts: list[str], labels: list[int], ids: list[int], k: int = K, chi2: float = CHI2) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], ids: list[int], share: float | None = None, k: int = K) -> ToxicityModel:
+    """A model of examples in the order of their ids; ``share`` is that of label 1 among all labelled rows, if it differs from theirs."""
     label = np.array(labels, float)
-    column = pa.array(texts, pa.string())
-    known, idf = learned_terms(column, label, chi2) if 0 < label.sum() < len(label) else (np.zeros(0, np.uint64), np.zeros(0))
-    vectors = [v for _, part in slices(column) for v in unit_vectors(*terms(part), len(part), known, idf)]
-    example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-    flat = lambda i, kind: np.concatenate([v[i] for v in vectors]) if vectors else np.zeros(0, kind)
-    index = BlockMaxIndex.build(len(texts), len(known), example, flat(0, np.int64), flat(1, float))
-    share = float(label.mean()) if len(label) else 0.0
-    model = ToxicityModel(known, idf, index, label, np.array(ids, np.int64), k, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    if len(known):
-        votes = np.array([model.vote(*index.nearest(t, w, k, skip=i)) for i, (t, w) in enumerate(vectors)])
-        model.slope, model.shift = logistic(votes, label)
+    own = float(label.mean()) if len(label) else 0.0
+    share = own if share is None else share
+    none = np.zeros(0)
+    model = ToxicityModel(none.astype(np.uint64), none, Vectors.joined([]), label, np.array(ids, np.int64), k, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    if not 0 < label.sum() < len(label):
+        return model
+    parts = list(slices(pa.array(texts, pa.string())))
+    terms = [counted(part) for _, part in parts]
+    model.words, inverse = np.unique(np.concatenate([h for h, _, _ in terms]), return_inverse=True)
+    doc = np.concatenate([at + d for (at, _), (_, d, _) in zip(parts, terms)])
+    model.scale = scales(np.bincount(inverse, minlength=len(model.words)), np.bincount(inverse, label[doc], len(model.words)), label)
+    model.vectors = Vectors.joined([Vectors.of(part, model.words, model.scale) for _, part in parts])
+    near, cosine = model.indexed().index.nearest(model.vectors, k, np.arange(len(label)))
+    model.slope, model.shift = logistic(model.votes(near, cosine), label, np.where(label == 1, share / own, (1 - share) / (1 - own)))
+    model.index = None
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and shift by Newton steps with a light ridge."""
     design, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-design @ beta))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * beta)
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), design.T @ (weight * (y - p)) - 1e-3 * beta)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
@@ -194,19 +297,19 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> ToxicityModel:
     """Fits on the ``examples`` labelled training rows of each label whose ids hash lowest."""
-    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(23)).alias("h"))
-    counts = own.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * examples) / F.col("rows"))
-    limit = (F.lit(-9.223372036854775e18) + share * F.lit(1.8446744073709550e19)).alias("limit")
-    near = own.join(F.broadcast(counts.select("toxic", limit)), "toxic").where(F.col("h").cast("double") <= F.col("limit"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= examples).select("doc_id", "toxic")
+    toxic = F.col("toxic").cast("int")
+    own = labels.where(toxic.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), toxic.alias("toxic"))
+    chosen, counts = lowest(own, "toxic", examples, 23)
     # At most 2 * examples ids: small enough to send to every task.
-    pairs = {r.doc_id: r.toxic for r in chosen.collect()}
-    found = docs.where(F.col("doc_id").isin(list(pairs))).select(F.col("doc_id").cast("long").alias("doc_id"), "text").collect() if pairs else []
-    rows = sorted({r.doc_id: r for r in found if r.text}.values(), key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [pairs[r.doc_id] for r in rows], [r.doc_id for r in rows])
+    few = F.broadcast(chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    rows = texts.join(few, "doc_id").collect()
+    once: dict[int, tuple] = {}
+    for r in rows:
+        once[r.doc_id] = max(once.get(r.doc_id, (-1, "")), (r.toxic, r.text))
+    ids = sorted(once)
+    total = sum(counts.values())
+    return fit([once[i][1] for i in ids], [once[i][0] for i in ids], ids, counts.get(1, 0) / total if total else None)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -214,16 +317,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
+        m = shared.value.indexed()
         for batch in batches:
-            for at, part in slices(batch.column(1)):
-                scores, evidence = [], []
-                for t, w in m.vectors(part):
-                    near, cosine = m.index.nearest(t, w, m.k)
-                    scores.append(m.calibrated(m.vote(near, cosine)))
-                    evidence.append(m.ids[near[m.label[near] == 1]].tolist())
-                s = np.array(scores)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            for at, part in slices(batch.column(1), 1 << 20):
+                s, near, _ = m.scored(part)
+                toxic = (near >= 0) & (m.label[near] == 1) if len(m.label) else near >= 0
+                ends = np.append(0, np.cumsum(toxic.sum(1)))
+                evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(m.ids[near[toxic]] if len(m.ids) else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), evidence], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, SCHEMA)
