@@ -13,7 +13,9 @@ Three steps, none of which gathers more than a bounded number of pieces:
    groups of their own and packed again, so the waste of a group's last bins
    is not paid once per group.
 
-Defined results: a null or empty text is the end token alone; repeated rows are
+Defined results: a null or empty text is the end token alone; a very long text is
+tokenised whole and makes as many full pieces as it fills; a text that spells an added token gets
+that token's id, as the library has it; repeated rows are
 packed as rows of their own; ties of length are broken by (doc_id, piece); an
 empty table gives no pieces; extra columns are ignored.
 """
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 CAPACITY = 2048
 GROUP_SIZE = 6000
+#: Underfull bins that are searched together.
+SCAN = 400
 #: Entries that a worker's cache of encoded words holds before it starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -54,22 +58,26 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def fast_encoder(path: str):
-    """A function from text to ids, the same as the tokenizer file's.
-
-    For a byte-level BPE whose merges make tokens in the order of their ids, merging by
-    the lowest id is the same as merging by rank, and a faster engine does that.  Any other
-    file goes through its own library.
-    """
+def own_encoder(path: str):
+    """The library's function from text to ids, and the file's content."""
     import json
 
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, spec
+
+
+def fast_encoder(path: str):
+    """A function from text to ids, the same as the tokenizer file's.
+
+    For a byte-level BPE whose merges make tokens in the order of their ids, merging by
+    the lowest id is the same as merging by rank, and a faster engine does that.  Any other
+    file goes through its own library, and so does every text that holds an added token.
+    """
+    plain, spec = own_encoder(path)
     model, cutter = spec["model"], spec.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or spec.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
         return plain
@@ -90,11 +98,15 @@ class WordEncoder(dict):
 
     A byte-level BPE never merges across pre-tokens, so ids of a text are those
     of its parts put together.  The cache only saves time: it is cleared when full.
+    Added tokens may stand anywhere, inside a word too; a text that holds one goes to the library whole.
     """
 
     def __init__(self, path: str, most: int = CACHE_ENTRIES):
         super().__init__()
         self.encode, self.most = fast_encoder(path), most
+        self.plain, spec = own_encoder(path)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(added)) if added else None
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encode(part)
@@ -106,6 +118,9 @@ class WordEncoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            ids = self.plain(text)
+            return struct.pack(f"<{len(ids)}I", *ids)
         if _ODD_SPACE.search(text):
             parts = _CUT.split(text)
         else:
@@ -170,17 +185,19 @@ def best_fit(lengths, capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths, capacity: int, rounds: int = 12) -> list[list[int]]:
+def swap_search(bins: list[list[int]], lengths, capacity: int) -> list[list[int]]:
     """Local search over underfull bins; every step raises the sum of squared fills.
 
     For two bins with the fuller one first, any change that moves a net amount into
     the fuller bin without overfilling it raises that sum.  Tried in this order:
     move a document over, exchange one for one, two for one.  Bins that come out
-    empty are dropped.  Stops at a round without a change.
+    empty are dropped.  Stops at a round without a change, which comes, as the sum rises with
+    every change and is bounded.
     """
     bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    changed = True
+    while changed:
         under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
         changed = False
         for low in reversed(under):  # try to empty the least filled bin into fuller ones
@@ -196,8 +213,6 @@ def swap_search(bins: list[list[int]], lengths, capacity: int, rounds: int = 12)
                     bins[high] = [i for i in bins[high] if i not in out] + list(into)
                     bins[low] = [i for i in bins[low] if i not in into] + list(out)
                     fill[high], fill[low], changed = fill[high] + gain, fill[low] - gain, True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -232,13 +247,26 @@ def _better(high: list[int], low: list[int], lengths, room: int):
     return found
 
 
-def pack_group(lengths, capacity: int, scan: int = 400) -> list[list[int]]:
-    """Best fit, then the local search over the ``scan`` least filled bins (full ones have nothing to gain)."""
+def pack_group(lengths, capacity: int, scan: int = SCAN) -> list[list[int]]:
+    """Best fit, then the local search over underfull bins (full ones have nothing to gain).
+
+    Underfull bins are searched in sets of ``scan``, the least filled first, and sets are made
+    anew while they lose bins.  The search ends early only where there can be no fewer bins.
+    """
     bins = best_fit(lengths, capacity)
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    under = sorted((b for b in range(len(bins)) if fills[b] < capacity), key=lambda b: fills[b])[:scan]
-    chosen = set(under)
-    return [bins[b] for b in range(len(bins)) if b not in chosen] + swap_search([bins[b] for b in under], lengths, capacity)
+    least = -(-sum(lengths) // capacity)
+    while len(bins) > least:
+        fills = [sum(lengths[i] for i in b) for b in bins]
+        under = sorted((b for b in range(len(bins)) if fills[b] < capacity), key=lambda b: fills[b])
+        found = [bins[b] for b in range(len(bins)) if fills[b] == capacity]
+        for at in range(0, len(under), scan):
+            part = [bins[b] for b in under[at : at + scan]]
+            enough = len(found) + len(under) - at <= least
+            found += part if enough else swap_search(part, lengths, capacity)
+        if len(found) == len(bins):
+            return found
+        bins = found
+    return bins
 
 
 def _pack_level(pieces: DataFrame, groups: int, level: int, capacity: int, last: bool) -> DataFrame:
@@ -259,7 +287,8 @@ def _pack_level(pieces: DataFrame, groups: int, level: int, capacity: int, last:
         return pa.table({**{c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": number, "offset": offset, "done": done})
 
     schema = PACKED + ", done boolean"
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
+    # The row's place in the written table is hashed too, so that many equal rows do not make one group.
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(pack, schema)
 
 
