@@ -23,10 +23,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, left: str = "u", right: str = "v", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, left: str = "u", right: str = "v", rounds: int = 1000) -> DataFrame:
     """(id, component) of every vertex that has an edge; component is its least vertex.
 
-    The loop ends when a round changes nothing, which a checksum over the edges tells.
+    The loop ends when a round changes nothing, which a checksum over the edges tells.  It needs
+    about the logarithm of the longest path; should ``rounds`` not do, that is an error.
     """
     now = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where(F.col("u") != F.col("v")).distinct()
     now, seen = kept(now, "edges"), None
@@ -36,5 +37,7 @@ def components(edges: DataFrame, left: str = "u", right: str = "v", rounds: int
             break
         seen = state
         now = kept(_star(_star(now, True), False), "edges")
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(roots)

@@ -22,8 +22,10 @@ cost one member):
 A pair is confirmed on its full sets: 100 * shared >= 75 * united.
 
 Defined results: null or empty texts and texts without words have an empty set and
-link with nothing; texts of fewer words than five have one run, all of them; repeated
-rows share a class; an empty table gives no rows; extra columns are ignored, or kept by
+link with nothing; texts of fewer words than five have one run, all of them; very long texts
+have all their runs, counted in 32 bits a range; ties of fame go to the class of lower number; repeated
+rows share a class; rows with equal ids and different texts are compared each, and an id goes by
+``keep_one`` if any of its rows does; an empty table gives no rows; extra columns are ignored, or kept by
 ``keep_one``.
 """
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .storage import kept
+from .storage import kept, without
 from .textcore import BLANK_WORDS, Words, mix64, shingle_hashes, slices
 
 WIDTH = 5
@@ -44,8 +46,8 @@ ROWS = 2
 HUB_ROUNDS = 1
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
-#: Ranges of hashes in which runs are counted; the top eight bits tell the range.
-PARTS = 256
+#: Runs are counted in ranges of hashes, which the top eight bits tell.
+RANGE_BITS = 8
 SIGNATURE = "id long, n_shingles long, hi long, lo long, left array<long>, right array<long>"
 
 _STEP = 0x9E3779B97F4A7C15
@@ -74,6 +76,17 @@ def signatures(sets: list[np.ndarray], size: int, rows: int) -> tuple[np.ndarray
     return keys[:size].T, keys[size:].T
 
 
+def checksums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, which tell sets apart; 0 for empty ones."""
+    hi, lo = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    full = np.flatnonzero([len(s) for s in sets])
+    if len(full):
+        own = [sets[i] for i in full]
+        flat, begin = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
+        hi[full], lo[full] = np.add.reduceat(mix64(flat + np.uint64(11)), begin), np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), begin)
+    return hi.view(np.int64), lo.view(np.int64)
+
+
 def signature_table(docs: DataFrame, width: int = WIDTH, size: int = SIZE, rows: int = ROWS) -> DataFrame:
     """Signature of every row of ``docs`` (id, text); an empty set has n_shingles 0 and no keys."""
 
@@ -83,33 +96,32 @@ def signature_table(docs: DataFrame, width: int = WIDTH, size: int = SIZE, rows:
                 sets = distinct_sets(Words(part, BLANK_WORDS), width)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
-                hi, lo = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+                hi, lo = checksums(sets)
                 left = right = [[]] * len(sets)
                 if len(full):
-                    own = [sets[i] for i in full]
-                    flat, begin = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
-                    hi[full], lo[full] = np.add.reduceat(mix64(flat + np.uint64(11)), begin), np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                    a, b = signatures(own, size, rows)
+                    a, b = signatures([sets[i] for i in full], size, rows)
                     left, right = list(left), list(right)
                     for k, i in enumerate(full):
                         left[i], right[i] = a[k].view(np.int64), b[k].view(np.int64)
                 kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(left, kind), pa.array(right, kind)], ["id", "n_shingles", "hi", "lo", "left", "right"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n), pa.array(hi), pa.array(lo), pa.array(left, kind), pa.array(right, kind)], ["id", "n_shingles", "hi", "lo", "left", "right"])
 
     return docs.select("id", "text").mapInArrow(run, SIGNATURE)
 
 
 def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, runs, parts): the sorted run hashes of each text as bytes, and how many fall in each of ``PARTS`` ranges."""
+    """(n_shingles, hi, lo, runs, parts): the sorted run hashes of each text as bytes, and how many fall in each range."""
 
     def run(batches):
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 sets = distinct_sets(Words(part, BLANK_WORDS), width)
-                parts = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype(np.uint16).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary())], ["id", "runs", "parts"])
+                parts = [np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.uint32).tobytes() for s in sets]
+                hi, lo = checksums(sets)
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([n, pa.array(hi), pa.array(lo), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary())], ["n_shingles", "hi", "lo", "runs", "parts"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, runs binary, parts binary")
+    return docs.select("id", "text").mapInArrow(run, "n_shingles long, hi long, lo long, runs binary, parts binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +163,7 @@ def _bucket_pairs(members: DataFrame, percent: int, size: int) -> DataFrame:
         col = {n: table.column(n).combine_chunks() if table.column(n).num_chunks != 1 else table.column(n).chunk(0) for n in table.column_names}
         rep, n, comp, own, i, j = (col[x].to_numpy() for x in ("rep", "n", "component", "own", "i", "j"))
         sides = [col[k].flatten().to_numpy().reshape(-1, size) for k in ("left", "right")]
-        parts = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in col["parts"]), np.uint16).reshape(-1, PARTS)
+        parts = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in col["parts"]), np.uint32).reshape(-1, 1 << RANGE_BITS)
         place = col["place"].to_numpy()
         out = []
         edges = [0, *cuts, table.num_rows]
@@ -201,7 +213,9 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """(id, n_shingles, component) for every row of ``docs`` (id, text); component is its smallest id."""
     sigs = kept(signature_table(docs, width, size, rows), "signatures")
     same = ["n_shingles", "hi", "lo"]
-    classes = kept(sigs.where(F.col("n_shingles") > 0).groupBy(*same).agg(F.min("id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
+    # Classes have numbers of their own, as rows with equal ids may have different texts.
+    grouped = sigs.where(F.col("n_shingles") > 0).groupBy(*same).agg(F.min("id").alias("least"), F.first("left").alias("left"), F.first("right").alias("right"))
+    classes = kept(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # A class that shares no left key can share no table's key.
     lefts = classes.select("rep", F.posexplode("left").alias("i", "k"))
     shared = lefts.groupBy("i", "k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
@@ -213,8 +227,10 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     buckets = kept(tables.join(full, "key"), "buckets")
     # A member that shares buckets with many is likely near the middle of its group: the best of hubs.
     wanted = kept(buckets.groupBy("rep").agg(F.sum("c").alias("fame")), "wanted")
-    texts = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
-    sets = kept(set_table(texts, width).dropDuplicates(["id"]), "sets")
+    compared = classes.join(wanted, "rep", "left_semi").select("rep", "least", *same)
+    texts = docs.join(compared.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    # A class's set is that of a text with its checksums, whatever other texts have the same id.
+    sets = kept(set_table(texts, width).join(compared.select("rep", *same), same).select(F.col("rep").alias("id"), "runs", "parts").dropDuplicates(["id"]), "sets")
     labels = wanted.select("rep", F.col("rep").alias("component"))
     for turn in range(hub_rounds + 1):
         state = buckets.join(labels, "rep")
@@ -235,7 +251,9 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         merged = components(links.select("ca", "cb"), "ca", "cb")
         merged = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
         labels = kept(labels.join(merged, "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "labels")
-    classed = classes.select(*same, "rep").join(labels, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    placed = classes.select(*same, "rep", "least").join(labels, "rep", "left").select(*same, "least", F.coalesce("component", "rep").alias("c"))
+    named = placed.groupBy("c").agg(F.min("least").alias("component"))
+    classed = placed.join(named, "c").select(*same, "component")
     return sigs.select("id", *same).join(classed, same, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
@@ -245,9 +263,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Documents without an id are kept, as they cannot be told apart.
     """
     found = near_components(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text"), **options)
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    return rest.select(docs.columns)
+    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id"))
+    return without(docs, gone, "doc_id").select(docs.columns)
 
 
 def op5_minhash_tensored(spark, sf_dir: str) -> DataFrame:
