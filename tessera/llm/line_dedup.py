@@ -3,17 +3,20 @@
 The spread of a line is the number of distinct sites (sources) whose documents have
 it.  Each line's sites are sketched with HyperLogLog and the sketches merge by
 aggregation; lines whose estimate lies within ``margin`` of the threshold get an
-exact distinct count, so the decision is that of exact counting.  A line spread over
+exact distinct count.  Beyond the band the sketch decides and its estimate is the line's ``sites``: its error
+is a fourth of the band, and sketches of few sites are exact, so a wrong decision is about as
+likely as an error of four deviations.  A line spread over
 ``min_sites`` sites or more is boilerplate and goes from all documents but the one of
 smallest id, so that text is never lost altogether.
 
-Only DataFrame operations are used.  Lines travel as hashes; texts meet the
-decision only in one join on the document, and only where a document loses lines.
+Only DataFrame operations are used.  Lines travel as hashes.  The spread lines, whose number is
+checked, are looked up in every document where it is, and texts are not shuffled.
 
 Defined results: lines are cut at line feeds and compared without outer blanks;
 blank lines are never counted or removed; a null text stays null with 0 lines; an
-empty one has one line; null sites count as one site of their own; repeated rows are
-treated alike; an empty table gives no rows; extra columns are kept.
+empty one has one line; very long texts and lines are taken whole; null sites count as one site of their own;
+documents without an id lose no line, as they cannot be told apart, but count for its sites; repeated rows are
+treated alike, so all rows of the smallest id keep a line; an empty table gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ MIN_SITES = 10
 #: Sketches of 2**11 buckets err by about 2.3 percent; four times that is sure enough.
 LG_BUCKETS = 11
 MARGIN = 0.1
+#: Spread lines that are sent to every task at most: some 10 MB.
+FEW_LINES = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -69,25 +74,49 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MA
     return kept(sure.select("line", F.col("estimate").alias("sites"), "keeper").unionByName(counted), "spread")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
-    """``docs`` with lines removed from ``text``, and n_lines, n_removed.  Needs doc_id, text and source."""
+def _slots(spread: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row ``slots``: an array in whose place hash modulo its size stand the spread lines (line, keeper) of that hash."""
+    size = 1 << max(4, n.bit_length())
+    slot = F.pmod("line", F.lit(size)).cast("int")
+    filled = spread.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("line", "keeper")).alias("held"))
+    every = spread.sparkSession.range(size).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("slot", "held")))
+    return every.agg(F.transform(in_order, lambda x: x["held"]).alias("slots")), size
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, few: int = FEW_LINES) -> DataFrame:
+    """``docs`` with lines removed from ``text``, and n_lines, n_removed.  Needs doc_id, text and source.
+
+    Up to ``few`` spread lines, counted first, go to every task, and texts stay where they are; beyond that
+    the hits of each document are gathered and joined to it.
+    """
     spread = spread_lines(docs, min_sites, margin)
-    hit = (
-        line_table(docs)
-        .join(spread, "line")
-        .where(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
-        .groupBy("id")
-        .agg(F.collect_set("line").alias("__drop"))
-    )
-    joined = docs.join(hit.withColumnRenamed("id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    n = spread.count()
     lines = _lines(F.col("text"))
+    if not n:
+        return _counted(docs.withColumn("__stay", F.lit(None).cast("array<string>")))
+    if n <= few:
+        slots, size = _slots(spread, n)
+        hashed = F.transform(lines, lambda x: F.struct(x.alias("line"), _line_hash(x).alias("h")))
+        mine = lambda x: F.exists(F.get(F.col("__slots"), F.pmod(x["h"], F.lit(size)).cast("int")), lambda s: (s["line"] == x["h"]) & (s["keeper"] != F.col("doc_id")))
+        stay = F.transform(F.filter(hashed, lambda x: ~F.coalesce(mine(x), F.lit(False))), lambda x: x["line"])
+        # One array for all rows, which the optimizer puts where it is used rather than into the rows.
+        return _counted(docs.withColumn("__slots", slots.scalar()).withColumn("__stay", stay).drop("__slots"))
+    hit = line_table(docs).join(spread, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias("__drop"))
+    joined = docs.join(hit.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left")
     stay = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__drop"), _line_hash(x)), F.lit(True)))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    cleaned = joined.withColumn("n_lines", n).withColumn("__stay", F.when(F.col("__drop").isNotNull(), stay))
+    return _counted(joined.withColumn("__stay", F.when(F.col("__drop").isNotNull(), stay)).drop("__drop", "__id"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """Takes the lines that stay (null: all) for the text and counts both."""
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("text"))))
+    gone = F.coalesce(n - F.size("__stay"), F.lit(0))
     return (
-        cleaned.withColumn("n_removed", F.when(F.col("__stay").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__stay")))
-        .withColumn("text", F.when(F.col("__stay").isNull(), F.col("text")).otherwise(F.array_join("__stay", "\n")))
-        .drop("__drop", "__stay", "__id")
+        df.withColumn("n_lines", n)
+        .withColumn("n_removed", F.when(F.col("__stay").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(gone))
+        .withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("__stay", "\n")).otherwise(F.col("text")))
+        .drop("__stay")
     )
 
 
