@@ -14,10 +14,12 @@ A document is contaminated if some item is covered to ``threshold`` or more.  It
 with fewer than ``width`` words are matched whole, as one tile.
 
 The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text, so what
-is broadcast has a bound however long the benchmark is; each block is compared with
+is broadcast has a bound however long the benchmark is (an item longer than that is a block of its
+own); the benchmark is read once, each block is compared with
 all documents and the best item of any block counts.
 
-Defined results: null and empty documents are clean with coverage 0; null and empty
+Defined results: null and empty documents are clean with coverage 0; a very long document
+is one text like any other, tiled in memory that its seeds bound; null and empty
 items match nothing; equal coverages go to the smaller item_id; repeated rows are
 answered each; empty tables give no rows (documents) or clean ones (benchmark);
 extra columns are ignored, or kept by ``remove_contaminated``.
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import kept, without
 from .textcore import BLANK_WORDS, Words, shingle_hashes, slices
 
 WIDTH = 5
@@ -197,21 +200,21 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: coverage, item_id, tiles and the decision ``contaminated``."""
-    parts = [_scan(docs, ids, texts, width) for ids, texts in benchmark_blocks(benchmark, block_bytes)]
-    if not parts:
-        parts = [_scan(docs, [], [], width)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:  # rows are told apart by a number that is the same in every block's scan
-        from .storage import kept
-
-        numbered = kept(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-        scans = [_scan(numbered.select(F.col("row").alias("doc_id"), "text"), ids, texts, width) for ids, texts in benchmark_blocks(benchmark, block_bytes)]
-        together = scans[0]
-        for x in scans[1:]:
-            together = together.unionByName(x)
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        found = _scan(docs, *first, width)
+    else:  # rows are told apart by a number that is the same in every block's scan; only rows with a tile are moved
+        numbered = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+        together = None
+        for ids, texts in (first, second, *blocks):
+            scan = kept(_scan(numbered.select(F.col("row").alias("doc_id"), "text"), ids, texts, width).where(F.col("n_tiles") > 0), "tiles")
+            together = scan if together is None else together.unionByName(scan)
         best = together.withColumn("key", F.struct("coverage", (-F.col("item_id")).alias("low"))).groupBy(F.col("doc_id").alias("row")).agg(F.max_by(F.struct("coverage", "item_id", "n_tiles", "tiles"), "key").alias("b"))
-        found = numbered.select("row", "doc_id").join(best, "row").select("doc_id", "b.*")
+        none = F.array().cast("array<struct<item_start:int,doc_start:int,words:int>>")
+        found = numbered.select("row", "doc_id").join(best, "row", "left").select(
+            "doc_id", F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), "b.item_id", F.coalesce("b.n_tiles", F.lit(0)).alias("n_tiles"), F.coalesce("b.tiles", none).alias("tiles")
+        )
     return found.withColumn("contaminated", F.col("coverage") >= threshold)
 
 
@@ -223,8 +226,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = docs.select(key.alias("doc_id"), "text")
-    bad = contamination(keyed, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").drop("__key")
+    bad = contamination(keyed, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__key"))
+    return without(docs.withColumn("__key", key), bad, "__key").drop("__key")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
