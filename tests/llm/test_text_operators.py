@@ -211,6 +211,25 @@ def test_near_components_of_a_chain(spark):
     assert want == [0] * 12 and [got[i] for i in range(12)] == want
 
 
+def test_near_components_of_equal_ids(spark):
+    """Rows of one id and different texts are compared each."""
+    rng = random.Random(12)
+    a, b = (" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, "z")], "id long, text string")
+    assert sorted((r.id, r.component) for r in minhash.near_components(df).collect()) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
+def test_very_long_texts_have_all_their_runs(spark, monkeypatch):
+    """More runs in a range of hashes than 16 bits count."""
+    monkeypatch.setattr(minhash, "RANGE_BITS", 1)
+    words = [f"w{i}" for i in range(150_000)]
+    texts = [" ".join(words), " ".join(words[:140_000]), " ".join(words[60_000:])]
+    df = docs(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    parts = [np.frombuffer(r.parts, np.uint32) for r in minhash.set_table(df).collect()]
+    assert all(p.max() > 1 << 16 for p in parts[:2]) and [p.sum() for p in parts] == [149_996, 139_996, 89_996]
+    assert [r.component for r in minhash.near_components(df, hub_rounds=0).orderBy("id").collect()] == [0, 0, 2]
+
+
 def test_keep_one(spark):
     df = docs(spark, ["a b c d e f", None, "a b c d e f", "z", ""], [(None, "a b c d e f", None, None, None), (3, "z", "en", "x", 1)]).withColumn("component", F.lit("own"))
     got = minhash.keep_one(df)
@@ -240,9 +259,10 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(5)
-    texts = [None, "", " a  b \n\n c <|endoftext|>", "x", "x", "é 中 it's 's\t\n  1234 ..  ", LONG] + ["".join(rng.choice("ab c \n1.'sé") for _ in range(rng.randrange(80))) for _ in range(150)]
+    end = "<|endoftext|>"
+    texts = [end, f"in{end}side", f"{end}{end}", f" {end} ", f"a\n{end}\tb  {end}", f"hi {end} there", f"<|endoftext <|endoftext|", end * 3000]
+    texts += [None, "", " a  b \n\n c <|endoftext|>", "x", "x", "é 中 it's 's\t\n  1234 ..  ", LONG] + ["".join(rng.choice("ab c \n1.'sé") for _ in range(rng.randrange(80))) for _ in range(150)]
     df = docs(spark, texts).withColumn("offset", F.lit(0))
     rows = packing.pack(packing.token_pieces(df, path)).collect()
     by = defaultdict(list)
@@ -271,6 +291,10 @@ def test_swap_search_never_loses_and_helps():
         assert len(out) <= len(start)
         fit = packing.pack_group(lengths, 100)
         assert sorted(i for b in fit for i in b) == list(range(len(lengths))) and len(fit) <= len(packing.best_fit(lengths, 100))
+    # Sets of underfull bins that do not fit in one search are searched too.
+    lengths = [rng.randrange(300, 900) for _ in range(900)]
+    fit = packing.pack_group(lengths, 2048, scan=40)
+    assert sorted(i for b in fit for i in b) == list(range(900)) and max(sum(lengths[i] for i in b) for b in fit) <= 2048 and len(fit) <= len(packing.best_fit(lengths, 2048))
     # Best fit leaves three bins where exchanges need two.
     lengths = [6, 5, 5, 4, 4, 4, 2]
     assert len(packing.swap_search([[0, 3], [1, 2], [4, 5, 6]], lengths, 15)) == 2
@@ -360,6 +384,13 @@ def test_line_dedup(spark):
         assert all(r.n_removed == (0 if r.text is None else r.n_lines - r.text.count("\n") - 1 if r.text or r.n_removed < r.n_lines else r.n_lines) for r in got.values())
     assert got[200].n_lines == 0 and got[201].n_lines == 1 and {"line", "id"} <= set(line_dedup.dedup_lines(df).columns)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    sent, joined = (sorted(map(str, line_dedup.dedup_lines(df, 3, few=few).collect())) for few in (10**6, 0))
+    assert sent == joined
+    # Rows without an id keep their lines, however many there are.
+    nobody = spark.createDataFrame([(None, "common\nx", f"s{i}") for i in range(12)] + [(4, "common", "t"), (5, "common\ny", "u"), (5, "common", "u")], "doc_id long, text string, source string")
+    for few in (10**6, 0):
+        got = line_dedup.dedup_lines(nobody, 10, few=few).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "common\nx")] * 12 + [(4, "common"), (5, ""), (5, "y")]
 
 
 def test_op9_matches_sql(spark, duck, sf_dir):
@@ -370,46 +401,108 @@ def test_op9_matches_sql(spark, duck, sf_dir):
 # Toxicity --------------------------------------------------------------------------------------
 
 
+def as_vectors(dense):
+    row, word = np.nonzero(dense)
+    return toxicity.Vectors(np.searchsorted(row, np.arange(len(dense) + 1)), word, dense[row, word])
+
+
 def test_nearest_agrees_with_all_cosines():
     rng = np.random.default_rng(1)
     dense = rng.random((300, 12)) * (rng.random((300, 12)) < 0.3)
     dense[50:60] = dense[40:50]  # ties
+    dense[:, :5] *= (np.arange(300) < 150)[:, None]
+    dense[:, 5:] *= (np.arange(300) >= 140)[:, None]
     norm = np.linalg.norm(dense, axis=1, keepdims=True)
     dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
-    e, t = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex.build(300, 12, e, t, dense[e, t])
-    for i in range(40):
-        term = np.flatnonzero(dense[i])
-        near, cosine = index.nearest(term, dense[i][term], 7)
-        s = np.round(dense @ dense[i], 12)
-        want = [j for j in np.lexsort((np.arange(300), -s)) if s[j] > 0][:7] if len(term) else []
-        assert near.tolist() == want and np.allclose(cosine, s[want])
-
-
-def test_toxicity(spark, sf_dir):
+    index = toxicity.BlockMaxIndex(as_vectors(dense), 12)
+    assert sorted(index.order) == list(range(300)) and index.blocks == 5
+    bounds = index.bounds(as_vectors(dense))
+    for skip in (None, np.arange(300)):
+        near, cosine = index.nearest(as_vectors(dense), 7, skip)
+        for i in range(300):
+            s = np.round(dense @ dense[i], 12)
+            if skip is not None:
+                s[i] = 0
+            want = [j for j in np.lexsort((np.arange(300), -s)) if s[j] > 0][:7]
+            assert near[i].tolist() == want + [-1] * (7 - len(want)) and np.allclose(cosine[i][: len(want)], s[want])
+            assert all(bounds[i][k // 64] >= s[j] for k, j in enumerate(index.order))
+    assert index.nearest(as_vectors(dense[:0]), 7)[0].shape == (0, 7)
+
+
+def toxic_by_force(texts, examples, share, k=toxicity.K):
+    """Scores and evidence of texts, from (id, text, label) in the order of ids."""
+    split = lambda t: Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    bags, y = [split(t) for _, t, _ in examples], np.array([x for _, _, x in examples])
+    words = sorted({w for b in bags for w in b})
+    n, n1, scale = len(y), y.sum(), {}
+    for w in words:
+        seen, ones = sum(w in b for b in bags), sum(w in b for b, x in zip(bags, y) if x)
+        uneven = abs(np.log((ones + toxicity.PRIOR) / (n1 + 2 * toxicity.PRIOR)) - np.log((seen - ones + toxicity.PRIOR) / (n - n1 + 2 * toxicity.PRIOR)))
+        scale[w] = (np.log((n + 1) / (seen + 1)) + 1) * (toxicity.EVEN + uneven)
+
+    def vector(bag):
+        v = np.array([(1 + np.log(bag[w])) * scale[w] if w in bag else 0.0 for w in words])
+        return v / max(np.sqrt(v @ v), 1e-300)
+
+    x = np.array([vector(b) for b in bags])
+
+    def vote(v, skip=None):
+        s = np.round(x @ v, 12)
+        if skip is not None:
+            s[skip] = 0
+        near = [j for j in np.lexsort((np.arange(n), -s)) if s[j] > 0][:k]
+        w = 1 / (1.05 - np.minimum(s[near], 1))
+        return ((w * y[near]).sum() / w.sum() if near else 0.0), [examples[j][0] for j in near if y[j]]
+
+    slope, shift = toxicity.logistic(np.array([vote(v, i)[0] for i, v in enumerate(x)]), y.astype(float), np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
+    found = [vote(vector(split(t))) for t in texts]
+    return [1 / (1 + np.exp(-(slope * v + shift))) for v, _ in found], [e for _, e in found]
+
+
+def test_toxicity(spark):
     rng = random.Random(2)
     filler = [f"w{i}" for i in range(400)]
 
     def text(bad):
         w = [rng.choice(filler) for _ in range(40)]
         if bad:
-            w[rng.randrange(40)] = rng.choice(["scum,", "IDIOT", "trash!"])
+            w[rng.randrange(40)] = rng.choice(["scum,", "IDIOT", "trash!", "wörst", *[f"rare{rng.randrange(30)}"]])
         return " ".join(w)
 
     flags = [int(rng.random() < 0.3) for _ in range(500)]
-    df = docs(spark, [text(b) for b in flags] + [None, "", LONG])
-    labels = spark.createDataFrame([(i, None, b if i % 50 else None) for i, b in enumerate(flags)] + [(9999, 1, 1)], "doc_id long, quality int, toxic int")
+    texts = [text(b) for b in flags] + [None, "", LONG + " idiot", "unheard of", " ".join(filler) + " x" * 50]
+    df = docs(spark, texts, [(None, texts[3], None, None, None)])
+    rows = [(i, None, b if i % 50 else None) for i, b in enumerate(flags)] + [(9999, 1, 1), (2, 0, 7), (3, 1, flags[3])]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    train = {i: b for i, _, b in rows if b in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    counted = [b for i, _, b in rows if b in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    examples = [(i, texts[i], b) for i, b in sorted(train.items()) if i < 500]
     model = toxicity.train(df, labels)
-    rows = {r.doc_id: r for r in toxicity.score(df.withColumn("score", F.lit("x")), model).collect()}
-    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows.values())
-    right = [rows[i].predicted == b for i, b in enumerate(flags) if rows[i].held_out]
-    assert np.mean(right) > 0.95 and all(rows[i].predicted == 0 for i in (500, 501, 502))
-    assert all(rows[i].evidence for i in rows if rows[i].predicted)
+    assert model.ids.tolist() == [i for i, _, _ in examples] and model.label.tolist() == [b for _, _, b in examples]
+    got = {r.doc_id: r for r in toxicity.score(df.withColumn("score", F.lit("x")), model).collect()}
+    score, evidence = toxic_by_force(texts, examples, float(np.mean(counted)))
+    for i in range(len(texts)):
+        assert got[i].score == pytest.approx(score[i], abs=1e-6) and got[i].evidence == evidence[i] and got[i].predicted == int(got[i].score >= 0.5)
+    held = [i for i in range(500) if got[i].held_out]
+    assert np.mean([got[i].predicted == flags[i] for i in held]) > 0.85 and len({round(r.score, 9) for r in got.values()}) > 20
+    assert got[None].score == got[3].score and got[None].held_out is False and got[500].score == got[501].score == got[503].score
     assert toxicity.score(df.limit(0), model).count() == 0
+    few = toxicity.train(df, labels, examples=20)
+    assert few.label.sum() == 20 and len(few.label) == 40
     none = toxicity.train(df, labels.limit(0))
     assert {r.predicted for r in toxicity.score(df, none).collect()} == {0}
+    assert {r.predicted for r in toxicity.score(df, toxicity.train(df, labels.where("toxic = 1"))).collect()} == {1}
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Calibration and decisions on rows that were not learned from."""
+    sf = "/root/testdata/sf0.01"
+    true = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in toxicity.op10_toxicity_neighbours(spark, sf).collect() if r.held_out and r.doc_id in true]
+    assert np.mean([r.predicted == true[r.doc_id] for r in rows]) > 0.9
+    assert np.mean([(r.score - true[r.doc_id]) ** 2 for r in rows]) < 0.08
 
 
-def test_counts_of_terms():
-    h, d, c = toxicity.counted(np.array([5, 5, 7, 5], np.uint64), np.array([0, 0, 0, 1]))
-    assert list(zip(d, h, c)) == [(0, 5, 2), (0, 7, 1), (1, 5, 1)] and Counter(d.tolist())[0] == 2
+def test_counts_of_words():
+    h, d, c = toxicity.counted(pa.array(["b a B", None, "a", ""]))
+    assert sorted(zip(d.tolist(), c.tolist())) == [(0, 1), (0, 2), (2, 1)] and len(set(h.tolist())) == 2
