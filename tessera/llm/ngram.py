@@ -1,61 +1,83 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a word pair model with Dirichlet-smoothed interpolation,
-
-    P(w | h) = (c(h w) + MU * P1(w)) / (c(h) + MU),   P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),
-
-where h is the word before w, or the start of the text.  Its logarithm splits in
-two: the numerator depends on w and the pairs that end in w, the denominator on c(h)
-alone, and each h is itself some token.  So if all tokens w of the corpus with
-their h are dealt out by w, every task can score its share of all texts by itself,
-and a text's score is the sum over tasks.
-
-A task stores its share as a trie in reverse order: level 1 has the words, level 2
-under each word the contexts before it.  Contexts ascend under a word and are made
-monotone by adding the word's rank times the universe, so the whole level is one Elias-Fano
-sequence; a query is a successor search between the pointers of its word, relative
-to the word's base.  Pointers are an Elias-Fano sequence too.  Numerators are
-quantised to 16 bits on a logarithmic scale.  ``EliasFano`` and ``Trie`` write
-themselves as flat buffers, which ``Trie.open`` maps from a file.
-
-Words whose tokens would overfill a task are dealt out by their context as well;
-their counts come from the unigram pass, so no task holds more than its share.
-
-Defined results: a null text is empty and has the end token alone; repeated rows are
-scored each and train the model each; an empty table gives no rows; without training
+The model is a three-word model with Dirichlet-smoothed interpolation,
+
+    P1(w)       = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    P2(w | h)   = (c(h w) + MU[0] * P1(w)) / (c(h) + MU[0])
+    P3(w | g h) = (c(g h w) + MU[1] * P2(w | h)) / (c(g h) + MU[1])
+
+where h is the word before w and g the one before that, or the start of the text, which is
+followed once by each text.  The model is made in three passes and asked in one:
+
+1. Words: their counts make level 0, the sorted word hashes as one Elias-Fano sequence in
+   shares of the hash range.  A word's place in it is its id.
+2. N-grams: every task counts those of its texts and sends, for every word, its
+   contexts; they meet in shares dealt out by word.  Words with very many tokens are dealt out by
+   h as well, and pairs with very many by g, so that no share grows with a word.
+3. Trie: a share has its words (level 1), under each the h before it (level 2), under each
+   pair the g (level 3).  Contexts ascend under their parent and are made monotone by adding the parent's
+   place times the universe, so a level is one Elias-Fano sequence; pointers from level to level are
+   sequences too.  Level 2 has log P2 and the log of c(h w) + MU[1], level 3 the log of P3's numerator, each quantised
+   to 16 bits.  All shares of a level are put end to end in one file of the shared folder.
+4. Scores: every task maps the files and looks up the n-grams of its texts, each once
+   a chunk and in ascending order: a successor search for the context, relative to its parent's base and between its parent's
+   pointers.  A trigram's denominator is in the pair that the word before it made, so texts are
+   scored where they are, and nothing of them is shuffled.
+
+The levels are memory-mapped, so ``spark.checkpoint.dir`` must be a mounted folder (``file:``).
+
+Defined results: a null text is empty and has the end token alone; very long texts are scored
+whole, in chunks of tokens that know the words before them; repeated rows are
+scored each and train the model each; ties do not arise; an empty table gives no rows; without training
 rows all counts are 0 and P1 is 1 for the end; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .langid import held_out
-from .storage import kept
+from .storage import kept, shared_folder
 from .textcore import BLANK_WORDS, Words, mix64, slices
 
-MU = 100.0
-#: Tokens that a task should hold.
-SHARE = 1_500_000
+MU = (1000.0, 1.0)
+#: Tokens that a share should hold, and words of a share of level 0.
+SHARE = 2_000_000
+VOCABULARY = 1 << 20
 LEAST_SHARES = 12
+#: Text and tokens that are counted or looked up at once.
+CHUNK_BYTES = 8 << 20
+CHUNK = 2_000_000
+#: A pair is sought among those with one in so many tokens of a chunk; there are at most as many hot ones.
+PAIRS = 20_000
 END = np.uint64(0x1D8E4E27C47D124F)
-START = np.uint64(0x5851F42D4C957F2D)
-#: Bits of a context's hash within its word's list; equal ones are taken for the same word.
-CONTEXT_BITS = 40
 STEPS = 65535
+#: Range of hits within which a search looks at elements at once, without narrowing it by their high bits.
+NEAR = 4
 
 
 class EliasFano:
-    """A monotone sequence of n integers below ``top`` in about 2 + log2(top / n) bits each."""
+    """Monotone sequences, one a share, end to end: n integers below ``top`` in about 2 + log2(top / n) bits each.
+
+    Elements count through all shares: those of share s are begin[s] to begin[s + 1] - 1.
+    ``low`` has the low bits, ``high`` the others in unary; ``ranks`` and ``zeros`` are the ones and
+    zeros before each of its words.
+    """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
+    def __init__(self, begin, low_bits, low_at, high_at, low, high, ranks, zeros):
+        self.begin, self.low_bits, self.low_at, self.high_at = begin, low_bits, low_at, high_at
+        self.low, self.high, self.ranks, self.zeros = low, high, ranks, zeros
+
+    @property
+    def n(self) -> int:
+        return int(self.begin[-1])
 
     @classmethod
     def build(cls, values: np.ndarray, top: int) -> EliasFano:
@@ -68,37 +90,65 @@ class EliasFano:
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[place] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        return cls(n, low_bits, low, high, _ranks(high))
+        ranks = _ranks(high)
+        one = np.zeros(1, np.int64)
+        return cls(np.array([0, n]), np.array([low_bits]), one, one, low, high, ranks, 64 * np.arange(len(high)) - ranks)
 
-    def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ranks]
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"low": self.low, "high": self.high, "ranks": self.ranks, "zeros": self.zeros}
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """Bit position of the i-th one (from 0)."""
         word = np.searchsorted(self.ranks, i, "right") - 1
-        left = (i - self.ranks[word]).astype(np.int64)
-        return word * 64 + _select_in_word(self.high[word], left)
+        return word * 64 + _select_in_word(self.high[word], i - self.ranks[word])
+
+    def select_zero(self, i: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.zeros, i, "right") - 1
+        return word * 64 + _select_in_word(~self.high[word], i - self.zeros[word])
 
-    def get(self, i: np.ndarray) -> np.ndarray:
+    def get(self, i: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        high = (self.select(i) - i).astype(np.uint64)
-        return (high << np.uint64(self.low_bits)) | _unpack(self.low, i, self.low_bits)
+        share = np.zeros(len(i), np.int64) if share is None else share
+        own = i - self.begin[share]
+        bits = self.low_bits[share]
+        high = (self.select(i) - self.high_at[share] - own).astype(np.uint64)
+        return (high << bits.astype(np.uint64)) | _unpack(self.low, self.low_at[share] + own * bits, bits)
 
-    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
         """Least index in [lo, hi) whose element is at least ``value``; hi if there is none.
 
-        All queries descend together: a range halves in each round.
+        A long range is first narrowed to the elements with the same high bits, which lie between two zeros;
+        then all queries descend together: a range halves in each round.
         """
         lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
+        share = np.zeros(len(lo), np.int64) if share is None else share
+        far = np.flatnonzero(hi - lo > NEAR)
+        if len(far):
+            s = share[far]
+            k = (value[far] >> self.low_bits[s].astype(np.uint64)).astype(np.int64)
+            zero = self.high_at[s] - self.begin[s] + k  # that ends the run of elements whose high part is k
+            first = np.where(k > 0, self.select_zero(np.maximum(zero - 1, 0)) - (zero - 1), lo[far])
+            last = self.select_zero(zero) - zero
+            lo[far], hi[far] = np.clip(first, lo[far], hi[far]), np.clip(last, lo[far], hi[far])
         active = np.flatnonzero(lo < hi)
         while len(active):
             mid = (lo[active] + hi[active]) >> 1
-            less = self.get(mid) < value[active]
+            less = self.get(mid, share[active]) < value[active]
             lo[active[less]] = mid[less] + 1
             hi[active[~less]] = mid[~less]
             active = active[lo[active] < hi[active]]
         return lo
 
+    def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Index in [lo, hi) of the element that equals ``value``, -1 if there is none."""
+        at = self.successor(value, lo, hi, share)
+        out = np.full(len(at), -1, np.int64)
+        inside = np.flatnonzero(at < hi)
+        if len(inside):
+            hit = inside[self.get(at[inside], share[inside]) == value[inside]]
+            out[hit] = at[hit]
+        return out
+
 
 def _ranks(high: np.ndarray) -> np.ndarray:
     ones = np.bitwise_count(high).astype(np.int64)
@@ -109,7 +159,7 @@ def _ranks(high: np.ndarray) -> np.ndarray:
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th one of each 64-bit word, by halving."""
-    word, k = word.copy(), k.copy()
+    word, k = word.copy(), k.astype(np.int64)
     at = np.zeros(len(word), np.int64)
     for width in (32, 16, 8, 4, 2, 1):
         part = word & np.uint64((1 << width) - 1)
@@ -141,301 +191,540 @@ def _or_at(out: np.ndarray, index: np.ndarray, value: np.ndarray) -> None:
         out[index[first]] |= np.bitwise_or.reduceat(value, first)
 
 
-def _unpack(words: np.ndarray, i: np.ndarray, bits: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(len(i), np.uint64)
-    place = i * bits
-    word, shift = place >> 6, (place & 63).astype(np.uint64)
+def _unpack(words: np.ndarray, place: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """As many bits as ``bits`` says (63 at most) from each bit position."""
+    word, shift, bits = place >> 6, (place & 63).astype(np.uint64), bits.astype(np.uint64)
     value = words[word] >> shift
-    over = shift + np.uint64(bits) > np.uint64(64)
+    over = np.flatnonzero(shift + bits > np.uint64(64))
     value[over] |= words[word[over] + 1] << (np.uint64(64) - shift[over])
-    return value & np.uint64((1 << bits) - 1)
+    return value & ((np.uint64(1) << bits) - np.uint64(1))
 
 
-@dataclass
-class Trie:
-    """Words, their counts, pointers to their contexts, the contexts, and quantised log10 numerators."""
+# Files ------------------------------------------------------------------------------------------
 
-    words: np.ndarray  # sorted hashes of this share's words
-    counts: np.ndarray  # c(w) of each
-    pointers: EliasFano
-    contexts: EliasFano
-    levels: np.ndarray  # uint16 by context
-    low: float
-    step: float
 
-    @classmethod
-    def build(cls, words, counts, pair_word, pair_context, pair_count, smooth) -> Trie:
-        """pair_word: rank of each pair's word, ascending, with pair_context ascending under it; smooth: MU * P1 by rank."""
-        begin = np.searchsorted(pair_word, np.arange(len(words) + 1))
-        pointers = EliasFano.build(begin, len(pair_word) + 1)
-        top = max(len(words), 1) << CONTEXT_BITS
-        contexts = EliasFano.build((pair_word.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | pair_context, top)
-        logs = np.log10(pair_count + smooth[pair_word]) if len(pair_word) else np.zeros(0)
-        low = float(logs.min(initial=0.0))
-        step = max(float(logs.max(initial=0.0) - low) / STEPS, 1e-12)
-        return cls(words, counts, pointers, contexts, np.round((logs - low) / step).astype(np.uint16), low, step)
-
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """Rank of each word, -1 for one that is not there."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.searchsorted(self.words, words)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == words, at, -1)
-
-    def numerator(self, rank: np.ndarray, context: np.ndarray, backed_off: np.ndarray) -> np.ndarray:
-        """log10(c(h w) + MU * P1(w)) for each query; ``backed_off`` where the pair is not there."""
-        out = backed_off.copy()
-        known = np.flatnonzero(rank >= 0)
-        if len(known) and self.contexts.n:
-            r = rank[known]
-            lo, hi = self.pointers.get(r).astype(np.int64), self.pointers.get(r + 1).astype(np.int64)
-            value = (r.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context[known]
-            at = self.contexts.successor(value, lo, hi)
-            inside = np.flatnonzero(at < hi)
-            hit = inside[self.contexts.get(at[inside]) == value[inside]] if len(inside) else inside
-            out[known[hit]] = self.low + self.step * self.levels[at[hit]]
-        return out
+def level_folder(spark: SparkSession) -> str:
+    """A new folder for levels in the shared one, as a path of the file system."""
+    uri = shared_folder(spark)
+    if "://" in uri and not uri.startswith("file://"):
+        raise ValueError(f"levels are memory-mapped: spark.checkpoint.dir must be a mounted folder (file:), not {uri}")
+    path = uri.removeprefix("file://").removeprefix("file:")
+    path = os.path.join(path, f"levels-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
 
-    def buffers(self) -> list[np.ndarray]:
-        return [self.words, self.counts.astype(np.int64), *self.pointers.parts(), *self.contexts.parts(), self.levels, np.array([self.low, self.step])]
 
-    def save(self, path: str) -> None:
-        """Writes all levels to one file: a header of types and sizes, then the arrays at multiples of 8 bytes."""
-        arrays = self.buffers()
-        with open(path, "wb") as f:
-            f.write(np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.kind), a.dtype.itemsize, len(a))]], np.int64).tobytes())
-            for a in arrays:
-                f.write(a.tobytes())
-                f.write(b"\0" * (-f.tell() % 8))
+def _write(path: str, data: bytes) -> None:
+    """All or nothing, so that a task that is run again or twice does no harm."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(data)
+    os.replace(part, path)
 
-    @classmethod
-    def open(cls, path: str) -> Trie:
-        """Maps a saved trie; pages are read as queries touch them."""
-        return cls.of(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else None
 
-    @classmethod
-    def of(cls, data: np.ndarray) -> Trie:
-        n = int(data[:8].view(np.int64)[0])
-        head = data[8 : 8 + 24 * n].view(np.int64).reshape(n, 3)
-        at, arrays = 8 + 24 * n, []
-        for kind, width, size in head.tolist():
-            arrays.append(data[at : at + width * size].view(np.dtype(f"{chr(kind)}{width}")))
-            at += -(-width * size // 8) * 8
-        sequence = lambda p: EliasFano(int(p[0][0]), int(p[0][1]), *p[1:])
-        return cls(arrays[0], arrays[1], sequence(arrays[2:6]), sequence(arrays[6:10]), arrays[10], float(arrays[11][0]), float(arrays[11][1]))
+def write_share(folder: str, share: int, sequences: dict[str, EliasFano], more: dict[str, np.ndarray]) -> list[int]:
+    """Writes a share's arrays to one file; returns elements and low bits of each sequence, then the bytes of each array."""
+    arrays = {f"{k}.{n}": a for k, x in sequences.items() for n, a in x.arrays().items()} | more
+    _write(f"{folder}/{share}.part", b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values()))
+    return [x for e in sequences.values() for x in (e.n, int(e.low_bits[0]))] + [a.nbytes for a in arrays.values()]
+
+
+@dataclass
+class Kind:
+    """Names of a level's sequences and arrays, and the types of all arrays."""
+
+    sequences: tuple[str, ...]
+    more: dict[str, str]
+
+    def arrays(self) -> dict[str, str]:
+        return {f"{s}.{n}": t for s in self.sequences for n, t in (("low", "<u8"), ("high", "<u8"), ("ranks", "<i8"), ("zeros", "<i8"))} | self.more
+
+
+WORDS = Kind(("word",), {"count": "<i8"})
+GRAMS = Kind(("word", "pair", "triple", "to_pair", "to_triple"), {"p2": "<u2", "mass": "<u2", "p3": "<u2"})
+
+
+def put_together(spark: SparkSession, folder: str, kind: Kind, shares: int, metas: dict[int, list[int]]) -> None:
+    """Puts the shares' arrays end to end, one file an array, and writes the directory of shares.
+
+    Each task copies whole shares to places that are known beforehand, so a copy that is made twice writes the same bytes.
+    """
+    names, n = list(kind.arrays()), len(kind.sequences)
+    meta = np.zeros((shares, 2 * n + len(names)), np.int64)
+    for share, row in metas.items():
+        meta[share] = row
+    at = np.vstack([np.zeros((1, len(names)), np.int64), np.cumsum(meta[:, 2 * n :], axis=0)])
+    begin = np.vstack([np.zeros((1, n), np.int64), np.cumsum(meta[:, 0 : 2 * n : 2], axis=0)])
+    for name, size in zip(names, at[-1]):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.truncate(max(int(size), 8))
+    with open(f"{folder}/directory", "wb") as f:
+        np.savez(f, begin=begin, low_bits=meta[:, 1 : 2 * n : 2], at=at)
+    rows = [(s, at[s].tolist(), meta[s, 2 * n :].tolist(), begin[s].tolist()) for s in sorted(metas)]
+    if not rows:
+        return
+    todo = spark.createDataFrame(rows, "share long, at array<long>, size array<long>, begin array<long>")
+
+    def copy(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(f"{folder}/{r['share']}.part", "rb") as f:
+                    for name, start, size in zip(names, r["at"], r["size"]):
+                        data = f.read(size)
+                        sequence, _, what = name.rpartition(".")
+                        if what in ("ranks", "zeros") and size:  # ones and zeros of the shares before
+                            k = kind.sequences.index(sequence)
+                            ones = r["begin"][k]
+                            bits = 8 * r["at"][names.index(f"{sequence}.high")]
+                            data = (np.frombuffer(data, "<i8") + (ones if what == "ranks" else bits - ones)).tobytes()
+                        handle = os.open(f"{folder}/{name}", os.O_WRONLY)
+                        try:
+                            done = 0
+                            while done < len(data):
+                                done += os.pwrite(handle, data[done:], start + done)
+                        finally:
+                            os.close(handle)
+            yield batch.select(["share"])
+
+    todo.repartition(min(len(rows), max(2, spark.sparkContext.defaultParallelism))).mapInArrow(copy, "share long").collect()
+    for s in metas:
+        os.remove(f"{folder}/{s}.part")
+
+
+@lru_cache(maxsize=8)
+def _mapped(folder: str, sequences: tuple, more: tuple) -> tuple[dict, dict]:
+    kind = Kind(sequences, dict(more))
+    held = np.load(f"{folder}/directory")
+    begin, low_bits, at = held["begin"], held["low_bits"], held["at"]
+    arrays = {}
+    for k, (name, t) in enumerate(kind.arrays().items()):
+        arrays[name] = np.asarray(np.memmap(f"{folder}/{name}", t, "r"))[: int(at[-1, k]) // np.dtype(t).itemsize]
+    names = list(kind.arrays())
+    found = {}
+    for k, s in enumerate(sequences):
+        low, high = (8 * at[:-1, names.index(f"{s}.{x}")] for x in ("low", "high"))
+        found[s] = EliasFano(np.ascontiguousarray(begin[:, k]), np.ascontiguousarray(low_bits[:, k]), low, high, *[arrays[f"{s}.{x}"] for x in ("low", "high", "ranks", "zeros")])
+    return found, {n: arrays[n] for n in kind.more}
+
+
+class Vocabulary:
+    """Level 0: ids of words by hash, and their counts."""
+
+    def __init__(self, folder: str, bits: int):
+        found, more = _mapped(folder, WORDS.sequences, tuple(WORDS.more.items()))
+        self.words, self.counts, self.bits = found["word"], more["count"], bits
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Id of each word, -1 for one that is not there."""
+        share = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
+        value = (hashes << np.uint64(self.bits)) >> np.uint64(self.bits)
+        return self.words.find(value, self.words.begin[share], self.words.begin[share + 1], share)
+
+
+# The corpus -------------------------------------------------------------------------------------
 
 
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, token before it, text) of every token of a batch, ends included."""
+    """(token, text, place in it) of every token of a batch, ends included."""
     w = Words(column, BLANK_WORDS)
     n = w.n
     total = len(w.hash) + n
     token, doc = np.empty(total, np.uint64), np.repeat(np.arange(n), w.counts + 1)
-    last = w.first[1:] + np.arange(n)
+    begin = w.first[:-1] + np.arange(n)
     is_end = np.zeros(total, bool)
-    is_end[last] = True
+    is_end[w.first[1:] + np.arange(n)] = True
     token[is_end] = END
     token[~is_end] = w.hash
-    before = np.empty(total, np.uint64)
-    before[1:] = token[:-1]
-    before[w.first[:-1] + np.arange(n)] = START
-    return token, before, doc
+    return token, doc, np.arange(total) - begin[doc]
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(token, c): the counts of all tokens of the training rows."""
+def pair_hash(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix64(word + np.uint64(0x9E3779B97F4A7C15) * mix64(before))
 
-    def run(batches):
-        for batch in batches:
-            for at, part in slices(batch.column(0), 4 << 20):
-                token, count = np.unique(token_stream(part)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "c"])
 
-    return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(pair, token, c): the counts of all tokens of the training rows, and of pairs that are frequent in a chunk."""
 
+    def run(batches):
+        for batch in batches:
+            for _, part in slices(batch.column(0), CHUNK_BYTES):
+                token, _, place = token_stream(part)
+                word, count = np.unique(token, return_counts=True)
+                inner = np.flatnonzero(place > 0)
+                pair, times = np.unique(pair_hash(token[inner], token[inner - 1]), return_counts=True)
+                often = times * PAIRS > len(token)
+                keys, counts = np.concatenate([word, pair[often]]), np.concatenate([count, times[often]])
+                kind = np.arange(len(keys)) >= len(word)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys.view(np.int64)), pa.array(counts)], ["pair", "token", "c"])
 
-def _share_of(token: np.ndarray, before: np.ndarray, shares: int, hot: np.ndarray, ways: np.ndarray) -> np.ndarray:
-    """The task of each token: by word, and for hot words by context too."""
-    base = mix64(token)
-    if len(hot):
-        at = np.searchsorted(hot, token)
-        at[at == len(hot)] = 0
-        spread = hot[at] == token
-        base[spread] += mix64(before[spread]) % ways[at[spread]]
-    return (base % np.uint64(shares)).astype(np.int64)
+    return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "pair boolean, token long, c long").groupBy("pair", "token").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Corpus:
-    """What every task must know: totals, the number of shares, and the hot words (at most 8 a share)."""
+    """What every task must know: totals, where the levels are, how tokens are dealt out, and the hot pairs (``PAIRS`` at most)."""
 
     tokens: int
     types: int
     texts: int
+    folder: str
+    bits: int
     shares: int
+    limit: int
     hot: np.ndarray
-    hot_counts: np.ndarray
     ways: np.ndarray
+    mu: tuple[float, float]
 
     def p1(self, count):
         return (count + 0.5) / (self.tokens + 0.5 * (self.types + 1))
 
+    #: Ids after those of words: the start of a text, a word that is not known, and, for counts alone, every g of a pair.
+    start = property(lambda self: self.types)
+    unknown = property(lambda self: self.types + 1)
+    every = property(lambda self: self.types + 2)
+    universe = property(lambda self: self.types + 3)
+
+    @property
+    def width(self) -> int:
+        """Bytes of an id."""
+        return -(-int(self.universe).bit_length() // 8)
+
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(f"{self.folder}/words", self.bits)
+
+    def scale(self) -> tuple[float, float]:
+        """Least log and step of all quantised logs: the corpus's totals bound them."""
+        least = float(np.log10(min(self.mu[1], 1.0)) + np.log10(min(self.mu[0], 1.0)) + np.log10(self.p1(0)) - np.log10(self.tokens + self.texts + self.mu[0])) - 0.01
+        most = float(np.log10(self.tokens + self.texts + max(self.mu))) + 0.01
+        return least, (most - least) / STEPS
+
+    def share_of(self, word: np.ndarray, h: np.ndarray, g: np.ndarray, count: np.ndarray, ways: np.ndarray) -> np.ndarray:
+        """The share of each trigram: by its word, for hot words by h too, and for hot pairs by g."""
+        base = mix64(word.astype(np.uint64)) % np.uint64(self.shares)
+        spread = (count // self.limit + 1).astype(np.uint64)
+        hot = np.flatnonzero(spread > 1)
+        base[hot] += mix64(h[hot].astype(np.uint64) + np.uint64(77)) % spread[hot]
+        hot = np.flatnonzero(ways > 1)
+        base[hot] += mix64(g[hot].astype(np.uint64) + np.uint64(99)) % ways[hot].astype(np.uint64)
+        return (base % np.uint64(self.shares)).astype(np.int64)
+
+    def ways_of(self, pair: np.ndarray) -> np.ndarray:
+        """Shares that a pair's trigrams are dealt out to, by the pair's hash."""
+        out = np.ones(len(pair), np.int64)
+        if len(self.hot):
+            at = np.searchsorted(self.hot, pair)
+            at[at == len(self.hot)] = 0
+            hit = self.hot[at] == pair
+            out[hit] = self.ways[at[hit]]
+        return out
 
-def corpus_of(docs: DataFrame, share: int = SHARE) -> Corpus:
-    table = kept(unigrams(docs), "unigrams")
-    total = table.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    texts = docs.where(~F.col("held_out")).count()
-    every = docs.count()
-    n = total.n or 0
-    expected = n * every / max(texts, 1)  # tokens of all rows, held-out ones included
-    shares = max(LEAST_SHARES, int(-(-expected // share)))
-    # A word with an eighth of a mean share or more is hot; there are at most 8 * shares of them.
-    limit = max(64, n // (8 * shares))
-    rows = table.where(F.col("c") >= limit).collect()
-    hot = np.array([r.token for r in rows], np.int64).view(np.uint64)
-    count = np.array([r.c for r in rows], np.int64)
-    order = np.argsort(hot)
-    ways = (count[order] // limit + 1).astype(np.uint64)
-    return Corpus(n, total.v, texts, shares, hot[order], count[order], ways)
 
+def corpus_of(docs: DataFrame, share: int = SHARE, mu: tuple[float, float] = MU) -> Corpus:
+    """Counts words, writes level 0, and decides how tokens are dealt out."""
+    spark = docs.sparkSession
+    table = kept(word_counts(docs), "words")
+    words = table.where(~F.col("pair")).select("token", "c")
+    total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("token") == int(END.view(np.int64)), F.col("c"))).alias("texts")).first()
+    n, types = total.n or 0, total.v
+    bits = max(0, (-(-types // VOCABULARY) - 1).bit_length())
+    folder = level_folder(spark)
+    os.makedirs(f"{folder}/words")
+    os.makedirs(f"{folder}/grams")
+
+    def write(table: pa.Table) -> pa.Table:
+        hashes = table.column("token").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        own = (hashes[order] << np.uint64(bits)) >> np.uint64(bits)
+        number = table.column("share")[0].as_py()
+        counts = table.column("c").to_numpy()[order].astype("<i8")
+        return pa.table({"share": [number], "meta": [write_share(f"{folder}/words", number, {"word": EliasFano.build(own, 1 << (64 - bits))}, {"count": counts})]})
+
+    part = F.shiftrightunsigned("token", 64 - bits) if bits else F.lit(0).cast("long")
+    metas = words.withColumn("share", part).groupBy("share").applyInArrow(write, "share long, meta array<long>").collect()
+    put_together(spark, f"{folder}/words", WORDS, 1 << bits, {r.share: r.meta for r in metas})
+    shares = max(LEAST_SHARES, -(-n // share))
+    limit = max(1, share // 8)
+    least = max(2 * limit, n // PAIRS)
+    hot = sorted((int(np.int64(r.token).view(np.uint64)), r.c // limit + 1) for r in table.where(F.col("pair") & (F.col("c") >= least)).collect())
+    return Corpus(n, types, total.texts or 0, folder, bits, shares, limit, np.array([x for x, _ in hot], np.uint64), np.minimum(np.array([y for _, y in hot], np.int64), shares), mu)
 
-_ROUTED = "share long, batch string, body binary"
 
+@dataclass
+class Chunk:
+    """The distinct trigrams of a run of tokens, ascending, as ids, with their number and share, and each token's trigram."""
 
-def _routed(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """Blobs of tokens for each share, and for each batch its rows' ids (share -1)."""
+    word: np.ndarray
+    h: np.ndarray
+    g: np.ndarray
+    times: np.ndarray
+    ways: np.ndarray
+    share: np.ndarray
+    of: np.ndarray | None
+    token_count: np.ndarray  # by distinct token, then 0 for the start and an unknown word
+    token_of: np.ndarray  # distinct token of each token
+    word_of: np.ndarray  # distinct tokens of each trigram's word and h
+    h_of: np.ndarray
+
+
+def chunk_of(corpus: Corpus, vocabulary: Vocabulary, token: np.ndarray, place: np.ndarray, a: int, b: int, back: bool) -> Chunk:
+    lo = max(0, a - 2)
+    known, inverse = np.unique(token[lo:b], return_inverse=True)
+    own, size = inverse[a - lo :], np.int64(len(known) + 1)
+    at = np.arange(a, b) - lo
+    h = np.where(place[a:b] >= 1, inverse[np.maximum(at - 1, 0)], len(known))
+    g = np.where(place[a:b] >= 2, inverse[np.maximum(at - 2, 0)], len(known))
+    key = (own * size + h) * size + g
+    if back:
+        key, of, times = np.unique(key, return_inverse=True, return_counts=True)
+    else:
+        (key, times), of = np.unique(key, return_counts=True), None
+    pair, g = key // size, key % size
+    w, h = pair // size, pair % size
+    ids = vocabulary.find(known)
+    count = np.append(np.where(ids >= 0, vocabulary.counts[np.maximum(ids, 0)] if len(vocabulary.counts) else 0, 0), 0)
+    ids = np.append(np.where(ids >= 0, ids, corpus.unknown), corpus.start)
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    hashes = np.append(known, np.uint64(0))
+    ways = np.repeat(np.where(h[first] < len(known), corpus.ways_of(pair_hash(hashes[w[first]], hashes[h[first]])), 1), np.diff(np.append(first, len(pair))))
+    share = corpus.share_of(ids[w], ids[h], ids[g], count[w], ways)
+    return Chunk(ids[w], ids[h], ids[g], times, ways, share, of, count, own, w, h)
+
+
+def _records(h: np.ndarray, g: np.ndarray, times: np.ndarray, width: int) -> np.ndarray:
+    """(rows, 2 * width + 1) bytes: h, g, and a number up to 255."""
+    out = np.empty((len(h), 2 * width + 1), np.uint8)
+    for k, x in enumerate((h, g)):
+        out[:, k * width : (k + 1) * width] = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    out[:, -1] = times
+    return out
+
+
+def _unrecord(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = []
+    for k in (0, 1):
+        full = np.zeros((len(data), 8), np.uint8)
+        full[:, :width] = data[:, k * width : (k + 1) * width]
+        found.append(full.view("<u8")[:, 0].astype(np.int64))
+    return found[0], found[1], data[:, -1].astype(np.int64)
+
+
+def gram_counts(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """(share, word, contexts): for every word of a chunk of training texts the contexts it has there, with counts."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
+    def rows(c: Corpus, x: Chunk):
+        share, word, h, g, times = x.share, x.word, x.h, x.g, x.times
+        hot = np.flatnonzero(x.ways > 1)
+        if len(hot):  # the whole count of a hot pair goes to each of its shares
+            pair = np.flatnonzero(np.append(True, (word[hot][1:] != word[hot][:-1]) | (h[hot][1:] != h[hot][:-1])))
+            whole, first = np.add.reduceat(times[hot], pair), hot[pair]
+            ways = x.ways[first]
+            each = np.repeat(np.arange(len(first)), ways)
+            count = x.token_count[x.word_of[first]]
+            base = c.share_of(word[first], h[first], g[first], count, np.ones(len(first), np.int64))
+            number = np.arange(len(each)) - np.repeat(np.cumsum(ways) - ways, ways)
+            share = np.concatenate([share, (base[each] + number) % c.shares])
+            word, h, times = (np.concatenate([old, new[each]]) for old, new in ((word, word[first]), (h, h[first]), (times, whole)))
+            g = np.concatenate([g, np.full(len(each), c.every)])
+        more = np.flatnonzero(times > 255)
+        if len(more):  # a count that is too large for a byte is several
+            again = (times[more] - 1) // 255
+            twice = np.repeat(more, again)
+            times = np.concatenate([np.where(times > 255, times - 255 * ((times - 1) // 255), times), np.full(len(twice), 255)])
+            share, word, h, g = (np.concatenate([v, v[twice]]) for v in (share, word, h, g))
+        order = np.lexsort((word, share)) if len(more) or len(hot) else np.argsort(share.astype(np.uint16 if c.shares < 1 << 16 else np.int64), kind="stable")
+        share, word = share[order], word[order]
+        first = np.flatnonzero(np.append(True, (share[1:] != share[:-1]) | (word[1:] != word[:-1])))
+        data = _records(h[order], g[order], times[order], c.width)
+        ends = (np.append(first, len(share)) * data.shape[1]).astype(np.int32)
+        bodies = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        for at in range(0, len(first), 1 << 16):
+            own = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(share[first[own]]), pa.array(word[first[own]].astype(np.int64)), bodies[own]], ["share", "word", "contexts"])
+
     def run(batches):
-        c, number = shared.value, 0
-        partition = TaskContext.get().partitionId()
+        c = shared.value
+        vocabulary = c.vocabulary()
         for batch in batches:
-            for at, part in slices(batch.column(1), 4 << 20):
-                name, n = f"{partition}.{number}", len(part)
-                number += 1
-                train = ~batch.column(2).slice(at, n).to_numpy(zero_copy_only=False)
-                ids = batch.column(0).slice(at, n)
-                pieces = [token_stream(p) for _, p in slices(part)]
-                first = np.cumsum([0, *[int(d[-1]) + 1 for _, _, d in pieces]])
-                token, before = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
-                doc = np.concatenate([d + f for (_, _, d), f in zip(pieces, first)]).astype(np.uint32)
-                share = _share_of(token, before, c.shares, c.hot, c.ways)
-                order = np.argsort(share.astype(np.uint16 if c.shares < 1 << 16 else np.int64), kind="stable")
-                token, doc = token[order], doc[order].astype(np.uint16 if n < 1 << 16 else np.uint32)
-                context = (mix64(before[order]) >> np.uint64(64 - CONTEXT_BITS))
-                cuts = np.searchsorted(share[order], np.arange(c.shares + 1))
-                n_tokens = np.bincount(doc, minlength=n).astype(np.int64)
-                valid = ids.is_valid().to_numpy(zero_copy_only=False)
-                head = [ids.fill_null(0).to_numpy().astype(np.int64), valid.astype(np.int64), train.astype(np.int64), n_tokens]
-                shares, bodies = [-1], [_blob(head)]
-                for s in np.flatnonzero(np.diff(cuts)):
-                    own = slice(cuts[s], cuts[s + 1])
-                    by = np.argsort(token[own], kind="stable")
-                    t, d, x = token[own][by], doc[own][by], context[own][by]
-                    start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                    runs = np.diff(np.append(start, len(t))).astype(np.uint32)
-                    shares.append(int(s))
-                    bodies.append(_blob([t[start], runs, d, (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8), train.astype(np.uint8)]))
-                for a in range(0, len(shares), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(shares[a : a + 64], pa.int64()), pa.array([name] * len(shares[a : a + 64])), pa.array(bodies[a : a + 64], pa.binary())], ["share", "batch", "body"])
-
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, _ROUTED)
-
-
-def _blob(arrays: list[np.ndarray]) -> bytes:
-    return b"".join([np.array([len(arrays), *[len(a) for a in arrays], *[a.dtype.itemsize for a in arrays]], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
-
-
-def _arrays(body: bytes, kinds: list) -> list[np.ndarray]:
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    sizes = np.frombuffer(body, np.int64, n, 8)
-    widths = np.frombuffer(body, np.int64, n, 8 + 8 * n)
-    at, out = 8 + 16 * n, []
-    for size, width, kind in zip(sizes, widths, kinds):
-        out.append(np.frombuffer(body, f"{np.dtype(kind).kind}{width}", int(size), at))
-        at += int(size) * int(width)
-    return out
+            for _, part in slices(batch.column(0), CHUNK_BYTES):
+                token, _, place = token_stream(part)
+                for a in range(0, len(token), CHUNK):
+                    yield from rows(c, chunk_of(c, vocabulary, token, place, a, min(len(token), a + CHUNK), False))
+
+    return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "share long, word long, contexts binary")
+
+
+# The trie ---------------------------------------------------------------------------------------
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """First rows of runs of equal values."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def quantised(logs: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
+    return np.clip(np.round((logs - scale[0]) / scale[1]), 0, STEPS).astype("<u2")
+
+
+def trie_of(corpus: Corpus, counts: np.ndarray, word: np.ndarray, h: np.ndarray, g: np.ndarray, times: np.ndarray) -> tuple[dict, dict]:
+    """Sequences and quantised logs of a share from its counts, in any order and repeated; ``counts`` are those of all words by id."""
+    words, rank = np.unique(word, return_inverse=True)
+    u, size = int(corpus.universe), max(1, len(words))
+    if size * u * u < 1 << 63:
+        key = (rank * np.int64(u) + h) * np.int64(u) + g
+        order = np.argsort(key, kind="stable")
+        del key
+    else:
+        order = np.lexsort((g, h, rank))
+    rank, h, g, times = rank[order], h[order], g[order], times[order]
+    first = _starts(rank, h, g)
+    rank, h, g, times = rank[first], h[first], g[first], np.add.reduceat(times, first) if len(first) else times
+    pair = _starts(rank, h)
+    all_ = g == corpus.every
+    n2 = np.add.reduceat(np.where(all_, 0, times), pair) if len(pair) else times
+    of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(rank))))
+    n2[of_pair[all_]] = times[all_]
+    of, g3, n3 = of_pair[~all_], g[~all_], times[~all_]
+    # Logs of the smoothed probabilities.
+    before = np.append(counts, [corpus.texts, 0, 0])  # of the start, and none
+    mu, scale = corpus.mu, corpus.scale()
+    p2 = (n2 + mu[0] * corpus.p1(counts[words])[rank[pair]]) / (before[h[pair]] + mu[0]) if len(pair) else np.zeros(0)
+    logs = {"p2": np.log10(p2), "mass": np.log10(n2 + mu[1]), "p3": np.log10(n3 + mu[1] * p2[of])}
+    build = EliasFano.build
+    pair_key = rank[pair].astype(np.uint64) * np.uint64(u) + h[pair].astype(np.uint64)
+    triple_key = of.astype(np.uint64) * np.uint64(u) + g3.astype(np.uint64)
+    to_pair = np.searchsorted(rank[pair], np.arange(len(words) + 1))
+    to_triple = np.searchsorted(of, np.arange(len(pair) + 1))
+    sequences = {
+        "word": build(words, u), "pair": build(pair_key, size * u), "triple": build(triple_key, max(1, len(pair)) * u),
+        "to_pair": build(to_pair, len(pair) + 1), "to_triple": build(to_triple, len(of) + 1),
+    }
+    return sequences, {k: quantised(v, scale) for k, v in logs.items()}
+
+
+def build_trie(docs: DataFrame, corpus: Corpus) -> None:
+    """Writes levels 1 to 3."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(corpus)
+
+    def write(table: pa.Table) -> pa.Table:
+        c = shared.value
+        number = table.column("share")[0].as_py()
+        body = table.column("contexts").combine_chunks()
+        body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+        _, ends, data = body.buffers()
+        wide = np.int64 if pa.types.is_large_binary(body.type) else np.int32
+        ends = np.frombuffer(ends, wide)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+        size = 2 * c.width + 1
+        h, g, times = _unrecord(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, size), c.width)
+        word = np.repeat(table.column("word").to_numpy(), np.diff(ends) // size)
+        meta = write_share(f"{c.folder}/grams", number, *trie_of(c, c.vocabulary().counts, word, h, g, times))
+        return pa.table({"share": [number], "meta": [meta]})
+
+    metas = gram_counts(docs, corpus).groupBy("share").applyInArrow(write, "share long, meta array<long>").collect()
+    put_together(spark, f"{corpus.folder}/grams", GRAMS, corpus.shares, {r.share: r.meta for r in metas})
+
+
+class Trie:
+    """The mapped levels 1 to 3 of all shares."""
+
+    def __init__(self, corpus: Corpus):
+        found, logs = _mapped(f"{corpus.folder}/grams", GRAMS.sequences, tuple(GRAMS.more.items()))
+        self.corpus, self.scale = corpus, corpus.scale()
+        self.word, self.pair, self.triple, self.to_pair, self.to_triple = (found[k] for k in GRAMS.sequences)
+        self.p2, self.mass, self.p3 = (logs[k] for k in GRAMS.more)
+
+    def log(self, level: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.scale[0] + self.scale[1] * level[at]
+
+    @staticmethod
+    def _below(parent: EliasFano, pointers: EliasFano, child: EliasFano, at: np.ndarray, share: np.ndarray):
+        """The places of the children of parents ``at``.  A share has one pointer more than parents."""
+        own = at + share
+        begin = child.begin[share]
+        return begin + pointers.get(own, share).astype(np.int64), begin + pointers.get(own + 1, share).astype(np.int64)
+
+    def look_up(self, x: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """By distinct trigram of a chunk: the log of P3's numerator, and the log of c(h w) + MU[1]."""
+        c, u = self.corpus, np.uint64(self.corpus.universe)
+        order = np.argsort(x.share.astype(np.uint16 if c.shares < 1 << 16 else np.int64), kind="stable")
+        share, word, h, g = x.share[order], x.word[order], x.h[order], x.g[order]
+        # Words.
+        first = _starts(share, word)
+        s = share[first]
+        at = self.word.find(word[first].astype(np.uint64), self.word.begin[s], self.word.begin[s + 1], s)
+        at = np.repeat(at, np.diff(np.append(first, len(share))))
+        # Pairs, under their words.
+        pair = _starts(share, word, h)
+        s, parent = share[pair], at[pair]
+        known = np.flatnonzero(parent >= 0)
+        place = np.full(len(pair), -1, np.int64)
+        if len(known):
+            sk, pk = s[known], parent[known]
+            value = (pk - self.word.begin[sk]).astype(np.uint64) * u + h[pair[known]].astype(np.uint64)
+            place[known] = self.pair.find(value, *self._below(self.word, self.to_pair, self.pair, pk, sk), sk)
+        seen = np.flatnonzero(place >= 0)
+        count = x.token_count
+        before = np.where(h[pair] == c.start, c.texts, count[x.h_of[order][pair]])
+        p2 = np.log10(c.mu[0] * c.p1(count[x.word_of[order][pair]])) - np.log10(before + c.mu[0])
+        mass = np.full(len(pair), np.log10(c.mu[1]))
+        p2[seen], mass[seen] = self.log(self.p2, place[seen]), self.log(self.mass, place[seen])
+        # Triples, under their pairs.
+        of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(share))))
+        number = np.log10(c.mu[1]) + p2[of]
+        if len(seen):
+            sk, pk = s[seen], place[seen]
+            lo, hi = (np.zeros(len(pair), np.int64) for _ in range(2))
+            lo[seen], hi[seen] = self._below(self.pair, self.to_triple, self.triple, pk, sk)
+            asked = np.flatnonzero(hi[of] > lo[of])
+            o, sa = of[asked], share[asked]
+            value = (place[o] - self.pair.begin[sa]).astype(np.uint64) * u + g[asked].astype(np.uint64)
+            hit = self.triple.find(value, lo[o], hi[o], sa)
+            found = np.flatnonzero(hit >= 0)
+            number[asked[found]] = self.log(self.p3, hit[found])
+        out = np.empty(len(order)), np.empty(len(order))
+        out[0][order], out[1][order] = number, mass[of]
+        return out
 
 
-_BODY = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8]
-_SUMS = "batch string, body binary"
-
-
-def score_share(bodies: list[bytes], corpus: Corpus, mu: float = MU):
-    """For each blob the rows that have tokens in this share, and their sums of base logs, model logs and known tokens."""
-    token, context, doc, train, of, sizes = [], [], [], [], [], []
-    for k, body in enumerate(bodies):
-        t, runs, d, low, high, flags = _arrays(body, _BODY)
-        token.append(np.repeat(t, runs))
-        context.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
-        doc.append(d)
-        train.append(flags[d].astype(bool))
-        of.append(np.full(len(d), k, np.int32))
-        sizes.append(len(flags))
-    token, context, doc, train, of = (np.concatenate(x) for x in (token, context, doc, train, of))
-    words, rank = np.unique(token, return_inverse=True)
-    count = np.bincount(rank[train], minlength=len(words)).astype(np.int64)
-    if len(corpus.hot):  # a hot word's tokens lie in several shares; its count is known
-        at = np.searchsorted(corpus.hot, words)
-        at[at == len(corpus.hot)] = 0
-        hot = corpus.hot[at] == words
-        count[hot] = corpus.hot_counts[at[hot]]
-    smooth = mu * corpus.p1(count)
-    key = (rank[train].astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context[train]
-    pairs, n = np.unique(key, return_counts=True)
-    trie = Trie.build(words, count, (pairs >> np.uint64(CONTEXT_BITS)).astype(np.int64), pairs & np.uint64((1 << CONTEXT_BITS) - 1), n, smooth)
-    del key, pairs, n
-    # Equal queries are asked once.
-    asked, back = np.unique((rank.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context, return_inverse=True)
-    r = (asked >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-    answer = trie.numerator(r, asked & np.uint64((1 << CONTEXT_BITS) - 1), np.log10(smooth)[r])
-    model = answer[back]
-    # The denominator that this token brings to the next one; an end brings the start's.
-    after = np.where(words == END, corpus.texts, count)
-    model -= np.log10(after + mu)[rank]
-    base = np.log10(corpus.p1(count))[rank]
-    known = (count > 0)[rank]
-    begin = np.searchsorted(of, np.arange(len(bodies) + 1))
-    for k, size in enumerate(sizes):
-        own = slice(begin[k], begin[k + 1])
-        d = doc[own]
-        rows = np.flatnonzero(np.bincount(d, minlength=size))
-        yield rows.astype(np.uint32), *[np.bincount(d, x[own], size)[rows] for x in (base, model, known)]
-
-
-def score(docs: DataFrame, mu: float = MU, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, mu: tuple[float, float] = MU, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text, held_out)."""
-    corpus = corpus_of(docs, share)
+    corpus = corpus_of(docs, share, mu)
+    build_trie(docs, corpus)
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
-    routed = _routed(docs, corpus)
-
-    def sums(table: pa.Table) -> pa.Table:
-        names, bodies = table.column("batch").to_pylist(), [x.as_buffer() for x in table.column("body")]
-        if table.column("share")[0].as_py() < 0:
-            return pa.table({"batch": names, "body": pa.array([b"H" + b.to_pybytes() for b in bodies], pa.binary())})
-        out = [b"S" + _blob([rows, a, b, c.astype(np.int32)]) for rows, a, b, c in score_share(bodies, shared.value, mu)]
-        return pa.table({"batch": names, "body": pa.array(out, pa.binary())})
-
-    # A batch's head travels under a group of its own, so that no group gathers all heads.
-    group = F.when(F.col("share") >= 0, F.col("share").cast("string")).otherwise(F.concat(F.lit("h"), F.col("batch")))
-    parts = routed.withColumn("grp", group).groupBy("grp").applyInArrow(lambda t: sums(t.select(["share", "batch", "body"])), _SUMS)
-
-    def whole(table: pa.Table) -> pa.Table:
-        c, bodies = shared.value, [x.as_py() for x in table.column("body")]
-        ids, valid, train, n_tokens = _arrays(next(b for b in bodies if b[:1] == b"H")[1:], [np.int64] * 4)
-        total = [np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)]
-        for body in sorted(b for b in bodies if b[:1] == b"S"):  # in a fixed order, so that sums of doubles repeat
-            rows, *sums = _arrays(body[1:], [np.uint32, np.float64, np.float64, np.int32])
-            for t, x in zip(total, sums):
-                t[rows] += x
-        return pa.table({
-            "doc_id": pa.array(ids, pa.int64(), mask=valid == 0), "held_out": train == 0, "n_tokens": n_tokens, "n_known": total[2],
-            "train_tokens": np.full(len(ids), c.tokens, np.int64), "base_score": total[0], "score": total[1],
-        })
-
-    return parts.groupBy("batch").applyInArrow(whole, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def run(batches):
+        c = shared.value
+        vocabulary, trie = c.vocabulary(), Trie(c)
+        first = float(np.log10(c.texts + c.mu[1]))
+        for batch in batches:
+            for at, part in slices(batch.column(1), CHUNK_BYTES):
+                n = len(part)
+                token, doc, place = token_stream(part)
+                sums, last = np.zeros((3, n)), first
+                for a in range(0, len(token), CHUNK):
+                    b = min(len(token), a + CHUNK)
+                    x = chunk_of(c, vocabulary, token, place, a, b, True)
+                    number, mass = trie.look_up(x)
+                    mass = mass[x.of]
+                    under = np.append(last, mass[:-1])  # the pair that the word before made
+                    under[place[a:b] == 0] = first
+                    last = mass[-1]
+                    count = x.token_count[x.token_of]
+                    low, high = doc[a], doc[b - 1] + 1
+                    for k, v in enumerate((number[x.of] - under, np.log10(c.p1(x.token_count))[x.token_of], count > 0)):
+                        sums[k, low:high] += np.bincount(doc[a:b] - low, v, high - low)
+                n_tokens = np.bincount(doc, minlength=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(n_tokens), pa.array(sums[2].astype(np.int64)), pa.array(np.full(n, c.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[0])],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_ngram_trie_scores(spark, sf_dir: str) -> DataFrame:

@@ -32,58 +32,77 @@ def test_elias_fano():
             assert ef.successor(ask, lo, hi).tolist() == want
 
 
-def test_trie_maps_from_a_file(tmp_path):
+def test_sequences_of_several_shares_map_from_files(spark, tmp_path):
     rng = np.random.default_rng(1)
-    words = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
-    key = np.unique((rng.integers(0, len(words), 3000).astype(np.uint64) << np.uint64(ngram.CONTEXT_BITS)) | rng.integers(0, 500, 3000).astype(np.uint64))
-    rank, context = (key >> np.uint64(ngram.CONTEXT_BITS)).astype(np.int64), key & np.uint64((1 << ngram.CONTEXT_BITS) - 1)
-    count, smooth = rng.integers(1, 9, len(key)), rng.random(len(words)) + 0.01
-    built = ngram.Trie.build(words, np.ones(len(words)), rank, context, count, smooth)
-    built.save(str(tmp_path / "t"))
-    trie = ngram.Trie.open(str(tmp_path / "t"))
-    assert isinstance(trie.levels.base, np.memmap) or isinstance(trie.levels, np.memmap)
-    got = trie.numerator(rank, context, np.full(len(key), -99.0))
-    assert np.abs(got - np.log10(count + smooth[rank])).max() < 1e-4
-    miss = trie.numerator(np.array([-1, 0]), np.array([3, 1 << 39], np.uint64), np.array([-7.0, -8.0]))
-    assert miss.tolist() == [-7.0, -8.0] and trie.find(words).tolist() == list(range(len(words))) and trie.find(np.array([7], np.uint64))[0] == -1
+    parts = [np.unique(rng.integers(0, top, n)).astype(np.uint64) for n, top in ((700, 1 << 40), (0, 9), (90, 100), (5000, 1 << 62), (1, 5))]
+    kind = ngram.Kind(("x",), {"y": "<u2"})
+    metas = {i: ngram.write_share(str(tmp_path), i, {"x": ngram.EliasFano.build(v, (5 if i == 4 else 9 if i == 1 else 100 if i == 2 else 1 << 62))}, {"y": v.astype("<u2")}) for i, v in enumerate(parts) if i != 1}
+    ngram.put_together(spark, str(tmp_path), kind, len(parts), metas)
+    found, more = ngram._mapped(str(tmp_path), kind.sequences, tuple(kind.more.items()))
+    ef, y = found["x"], more["y"]
+    assert isinstance(ef.low.base.base if not isinstance(ef.low.base, np.memmap) else ef.low.base, np.memmap) and not list(tmp_path.glob("*.part"))
+    share = np.repeat(np.arange(len(parts)), [len(v) for v in parts])
+    flat = np.concatenate(parts)
+    assert (ef.get(np.arange(len(flat)), share) == flat).all() and (y == flat.astype("<u2")).all()
+    assert (ef.find(flat, ef.begin[share], ef.begin[share + 1], share) == np.arange(len(flat))).all()
+    missing = np.setdiff1d(rng.integers(0, 1 << 62, 500).astype(np.uint64), parts[3])
+    s = np.full(len(missing), 3)
+    assert (ef.find(missing, ef.begin[s], ef.begin[s + 1], s) == -1).all()
 
 
 def scores_by_force(rows, mu):
-    train, pairs, texts = Counter(), Counter(), 0
+    train, pairs, triples, texts = Counter(), Counter(), Counter(), 0
     for text, held in rows:
         if not held:
             w = [*words_of(text), None]
+            p = ["<s>", "<s>", *w]
             train.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w))
+            pairs.update(zip(p[1:], w))
+            triples.update(zip(p, p[1:], w))
             texts += 1
     n, v = sum(train.values()), len(train)
     p1 = lambda w: (train[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda h, w: (pairs[h, w] + mu[0] * p1(w)) / ((texts if h == "<s>" else train[h]) + mu[0])
+    p3 = lambda g, h, w: (triples[g, h, w] + mu[1] * p2(h, w)) / ((texts if h == "<s>" else pairs[g, h]) + mu[1])
     out = []
     for text, _ in rows:
         w = [*words_of(text), None]
-        model = sum(math.log10((pairs[h, x] + mu * p1(x)) / ((texts if h == "<s>" else train[h]) + mu)) for h, x in zip(["<s>", *w[:-1]], w))
-        out.append((len(w), sum(train[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), model))
+        p = ["<s>", "<s>", *w]
+        out.append((len(w), sum(train[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10(p3(*x)) for x in zip(p, p[1:], w))))
     return out
 
 
-@pytest.mark.parametrize("share", [50, 100_000])
-def test_scores(spark, share):
+@pytest.mark.parametrize("share, chunk, vocabulary, mu", [(50, 64, 8, (100.0, 3.0)), (100_000, 2_000_000, 1 << 20, ngram.MU)])
+def test_scores(spark, monkeypatch, share, chunk, vocabulary, mu):
+    """Many small shares, hot words and hot pairs, and texts longer than a chunk; and none of these."""
+    monkeypatch.setattr(ngram, "CHUNK", chunk)
+    monkeypatch.setattr(ngram, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(ngram, "CHUNK_BYTES", chunk * 4)
     rng = random.Random(4)
-    text = lambda: " ".join(rng.choice(["the", "The", "a", "x", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))
-    rows = [(text(), i % 5 == 1) for i in range(80)] + [(None, False), ("", True), ("never seen words", True), ("a\x1cb  \t c", False), (LONG, False)]
+    text = lambda: " ".join(rng.choice(["the", "The", "a", "x", "of the", "of the", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))
+    rows = [(text(), i % 5 == 1) for i in range(80)] + [(None, False), ("", True), ("never seen words", True), ("a\x1cb  \t c", False), (" ".join(f"z{i % 700} the" for i in range(1500)), False), (LONG[:9000], False)]
     rows += [rows[3]] * 3
     df = spark.createDataFrame([(i, t, h, "x") for i, (t, h) in enumerate(rows)], "doc_id long, text string, held_out boolean, batch string").repartition(3)
-    got = {r.doc_id: r for r in ngram.score(df, share=share).collect()}
-    for i, (n, known, total, base, model) in enumerate(scores_by_force(rows, ngram.MU)):
+    if share == 50:
+        corpus = ngram.corpus_of(df, share)
+        assert len(corpus.hot) > 2 and corpus.bits > 3 and max(corpus.ways) > 5
+    got = {r.doc_id: r for r in ngram.score(df, mu, share).collect()}
+    for i, (n, known, total, base, model) in enumerate(scores_by_force(rows, mu)):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, rows[i][1])
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, abs=2e-4 * n)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, abs=4e-4 * n)
+
+
+def test_held_out_scores(spark):
+    rows = [r for r in ngram.op8_ngram_trie_scores(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -3.4
 
 
 def test_scores_without_rows(spark):
     df = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
     r = ngram.score(df).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and ngram.score(df.limit(0)).count() == 0
+    assert ngram.score(spark.createDataFrame([(None, None, False)], df.schema)).first().n_known == 1
 
 
 # Components and vectors -------------------------------------------------------------------------
