@@ -53,7 +53,7 @@ SHARE = 2_000_000
 VOCABULARY = 1 << 20
 LEAST_SHARES = 12
 #: Text and tokens that are counted or looked up at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK = 2_000_000
 #: A pair is sought among those with one in so many tokens of a chunk; there are at most as many hot ones.
 PAIRS = 20_000
@@ -276,7 +276,10 @@ def put_together(spark: SparkSession, folder: str, kind: Kind, shares: int, meta
     def copy(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                with open(f"{folder}/{r['share']}.part", "rb") as f:
+                part = f"{folder}/{r['share']}.part"
+                if not os.path.exists(part):  # it goes once all of it is copied
+                    continue
+                with open(part, "rb") as f:
                     for name, start, size in zip(names, r["at"], r["size"]):
                         data = f.read(size)
                         sequence, _, what = name.rpartition(".")
@@ -292,11 +295,10 @@ def put_together(spark: SparkSession, folder: str, kind: Kind, shares: int, meta
                                 done += os.pwrite(handle, data[done:], start + done)
                         finally:
                             os.close(handle)
+                os.remove(part)
             yield batch.select(["share"])
 
     todo.repartition(min(len(rows), max(2, spark.sparkContext.defaultParallelism))).mapInArrow(copy, "share long").collect()
-    for s in metas:
-        os.remove(f"{folder}/{s}.part")
 
 
 @lru_cache(maxsize=8)
@@ -333,7 +335,17 @@ class Vocabulary:
 
 
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, text, place in it) of every token of a batch, ends included."""
+    """(token, text, place in it) of every token of a batch, ends included.
+
+    Words are cut and hashed in small slices, as that takes many times the memory of their text.
+    """
+    parts = [(at, _tokens(part)) for at, part in slices(column)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([x[k] + at if k == 1 else x[k] for at, x in parts]) for k in range(3))
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = Words(column, BLANK_WORDS)
     n = w.n
     total = len(w.hash) + n
