@@ -49,11 +49,12 @@ from .textcore import BLANK_WORDS, Words, mix64, slices
 
 MU = (1000.0, 1.0)
 #: Tokens that a share should hold, and words of a share of level 0.
-SHARE = 2_000_000
+SHARE = 1_000_000
 VOCABULARY = 1 << 20
 LEAST_SHARES = 12
-#: Text and tokens that are counted or looked up at once.
+#: Text that is counted, and that is looked up, at once, and the most tokens of either.
 CHUNK_BYTES = 4 << 20
+LOOKUP_BYTES = 2 << 20
 CHUNK = 2_000_000
 #: A pair is sought among those with one in so many tokens of a chunk; there are at most as many hot ones.
 PAIRS = 20_000
@@ -677,16 +678,20 @@ class Trie:
         first = _starts(share, word)
         s = share[first]
         at = self.word.find(word[first].astype(np.uint64), self.word.begin[s], self.word.begin[s + 1], s)
-        at = np.repeat(at, np.diff(np.append(first, len(share))))
+        lo, hi = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            lo[known], hi[known] = self._below(self.word, self.to_pair, self.pair, at[known], s[known])
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(share))))
         # Pairs, under their words.
         pair = _starts(share, word, h)
-        s, parent = share[pair], at[pair]
-        known = np.flatnonzero(parent >= 0)
+        s, of = share[pair], of[pair]
+        known = np.flatnonzero(at[of] >= 0)
         place = np.full(len(pair), -1, np.int64)
         if len(known):
-            sk, pk = s[known], parent[known]
-            value = (pk - self.word.begin[sk]).astype(np.uint64) * u + h[pair[known]].astype(np.uint64)
-            place[known] = self.pair.find(value, *self._below(self.word, self.to_pair, self.pair, pk, sk), sk)
+            sk, ok = s[known], of[known]
+            value = (at[ok] - self.word.begin[sk]).astype(np.uint64) * u + h[pair[known]].astype(np.uint64)
+            place[known] = self.pair.find(value, lo[ok], hi[ok], sk)
         seen = np.flatnonzero(place >= 0)
         count = x.token_count
         before = np.where(h[pair] == c.start, c.texts, count[x.h_of[order][pair]])
@@ -722,7 +727,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, share: int = SHARE) ->
         vocabulary, trie = c.vocabulary(), Trie(c)
         first = float(np.log10(c.texts + c.mu[1]))
         for batch in batches:
-            for at, part in slices(batch.column(1), CHUNK_BYTES):
+            for at, part in slices(batch.column(1), LOOKUP_BYTES):
                 n = len(part)
                 token, doc, place = token_stream(part)
                 sums, last = np.zeros((3, n)), first
