@@ -1,32 +1,36 @@
 """Near-duplicate vectors with NN-descent.
 
-Vectors are scaled to length one and exact copies collapsed.  Then:
+Vectors are scaled to length one and exact copies collapsed to classes.  Vectors of each length are compared
+among themselves:
 
 1. Seeds: several times the vectors are ordered by the signs of random projections
    and compared with those that stand next to them; each keeps its ``k`` best.
 2. Descent: round by round every vector's neighbours, forward and reverse, are
    compared with each other, as a neighbour's neighbour is likely a neighbour; lists
    keep the best ``k``.  Rounds end when few lists change.
-3. Threshold edges of the lists are confirmed in double precision; they make components.
-4. A list whose ``k`` entries all reach the threshold is saturated: it may lack links.
-   Inside a component links are counted over all its pairs, block by block.  Links that
-   leave it are looked for exactly: saturated vectors go out in bounded chunks and
-   are compared with all vectors of other components, whole blocks of them ruled out by
-   their centre and radius.  A link found joins its components; no other pair leaves a task.
-5. Audit: vectors that are not saturated are drawn and compared with all vectors, until
-   ``LINKED`` with true links have been seen or all have been drawn.  If too few of those
-   seen have all their links inside components, ``k`` is doubled and the descent goes on.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components,
-and vectors of another length than the commonest (the longest of several), link with
-nothing; repeated ids with equal vectors are copies; an empty table gives no rows;
-extra columns are ignored.
+3. A list all of whose entries reach the threshold is saturated: it may lack links.  Saturated lists, and
+   only these, are doubled, and their neighbourhoods compared again, until they end below the threshold or
+   hold ``DENSE`` entries.
+4. Threshold edges of the lists are confirmed in double precision; they make components.
+5. Vectors whose lists are saturated at ``DENSE`` stand in dense groups.  Their links are found exactly:
+   they go out in bounded chunks and are compared with all vectors, block by block; a block that its centre and radius
+   show to be linked with a vector as a whole, or not at all, is counted without a look at its members.  Links
+   between components join them; no other pair leaves a task.
+6. Audit: a bounded number of vectors with a neighbour near the threshold, and of the others, is drawn by
+   hash and compared with all vectors.  If the share of linked vectors that have all their links falls short of ``RECALL``,
+   ``k`` is doubled, fresh seeds are made, and the descent goes on.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
+nothing, nor do vectors of different lengths; very long vectors are like any other; ties of cosine in a list go to the greater
+class number and change no link; repeated rows are copies that link with each other, also under one id; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
@@ -34,19 +38,20 @@ from .storage import kept
 
 THRESHOLD = 0.95
 K = 6
-SEEDS = 3
+SEEDS = 6
 WINDOW = 24
-BLOCK = 512
-#: Saturated vectors that are sent to all tasks at a time, and those of a block that shares a centre.
+#: Entries that a saturated list grows to before its vector's links are found exactly.
+DENSE = 24
+#: Vectors of dense groups that are sent to all tasks at a time, and those of a block that shares a centre.
 CHUNK = 8192
 CELL = 64
 #: Rows of a batch that are compared with a chunk at once.
 STEP = 2048
 #: Members of a comparison group; larger neighbourhoods are split by a hash.
 GROUP = 48
-#: Vectors of the audit's first draw (each draw is as large as all before it) and those with true links that it must see.
-AUDIT = 512
-LINKED = 200
+#: Vectors of each of the audit's two draws, and how far below the threshold a neighbour of the first one's is.
+AUDIT = 1024
+NEAR = 0.1
 RECALL = 0.98
 ROUNDS = 5
 
@@ -57,19 +62,26 @@ def unit_table(vectors: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             column = batch.column(1)
-            units: list[bytes | None] = []
-            for v in column:
-                x = np.array([np.nan if c is None else c for c in v.as_py()], float) if v.is_valid else np.zeros(0)
-                big = np.abs(x).max(initial=0.0)
-                good = len(x) and np.isfinite(x).all() and big > 0
-                if good:
-                    x = x / big  # keeps squares of huge or tiny components in range
-                    x = x / np.sqrt((x * x).sum())
-                units.append(x.tobytes() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], ["id", "unit"])
-
-    found = vectors.mapInArrow(run, "id long, unit binary")
-    return found
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = pc.fill_null(pc.list_flatten(column), np.nan).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(size)
+            good = np.zeros(len(size), bool)
+            if len(some):
+                size_, begin = size[some], (np.cumsum(size) - size)[some]
+                big = np.maximum.reduceat(np.abs(x), begin)
+                fine = np.isfinite(big) & (big > 0)
+                scale = np.where(fine, big, 1.0)  # keeps squares of huge or tiny components in range
+                x = np.where(np.repeat(fine, size_), x, 0.0) / np.repeat(scale, size_)
+                norm = np.sqrt(np.add.reduceat(x * x, begin))
+                x = x / np.repeat(np.where(fine, norm, 1.0), size_)
+                good[some] = fine
+            ends = np.append(0, np.cumsum(8 * size)).astype(np.int32)
+            valid = pa.py_buffer(np.packbits(good, bitorder="little"))
+            units = pa.Array.from_buffers(pa.binary(), len(size), [valid, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x, np.float64))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), units], ["id", "unit"])
+
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInArrow(run, "id long, unit binary")
 
 
 def _project(vectors: DataFrame, dims: int, table: int) -> DataFrame:
@@ -127,34 +139,39 @@ def _seed_edges(vectors: DataFrame, dims: int, table: int, k: int) -> DataFrame:
             left_ids, left_x = ids[-WINDOW // 2 :], x[-WINDOW // 2 :]
             yield from _edge_batches(out)
 
-    n = vectors.sparkSession.sparkContext.defaultParallelism
-    ordered = _project(vectors, dims, table).repartitionByRange(max(2, n), "code", "along", "m").sortWithinPartitions("code", "along", "m")
+    ordered = _project(vectors, dims, table).repartitionByRange("code", "along", "m").sortWithinPartitions("code", "along", "m")
     return ordered.select("m", "x").mapInArrow(windows, EDGE)
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """(p, near, floor): the ``k`` best distinct neighbours of each vector and the least of their cosines."""
-    once = edges.groupBy("p", "q").agg(F.max("sim").alias("sim"))
-    near = F.slice(F.sort_array(F.collect_list(F.struct("sim", "q")), asc=False), 1, k)
-    lists = once.groupBy("p").agg(near.alias("near"))
-    return lists.withColumn("floor", F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float"))
+def _lists(edges: DataFrame, wants: DataFrame | None, k: int) -> DataFrame:
+    """(p, near, want, floor, gained): each vector's ``want`` best distinct neighbours (``k`` where ``wants`` has none), the least of their cosines if there are so many, and how many are new."""
+    once = edges.groupBy("p", "q").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    lists = once.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("sim", "q", "new")), asc=False).alias("near"))
+    lists = lists.withColumn("want", F.lit(k)) if wants is None else lists.join(wants, "p", "left").withColumn("want", F.coalesce("want", F.lit(k)))
+    lists = lists.withColumn("near", F.expr("slice(near, 1, want)"))
+    floor = F.when(F.size("near") >= F.col("want"), F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float")
+    return lists.select("p", "near", "want", floor.alias("floor"), F.aggregate("near", F.lit(0), lambda n, e: n + e["new"]).alias("gained"))
 
 
 def _entries(lists: DataFrame) -> DataFrame:
-    return lists.select("p", F.explode("near").alias("e")).select("p", F.col("e.q").alias("q"), F.col("e.sim").alias("sim"))
+    return lists.select("p", F.explode("near").alias("e")).select("p", F.col("e.q").alias("q"), F.col("e.sim").alias("sim"), F.lit(0).alias("new"))
+
 
+def _descend(lists: DataFrame, vectors: DataFrame, dims: int, only: DataFrame | None = None) -> DataFrame:
+    """Edges that improve a list, from comparing every vector's neighbours with each other and with it.
 
-def _descend(lists: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFrame:
-    """Edges that improve a list, from comparing every vector's neighbours with each other."""
+    ``only`` (g): the vectors whose neighbourhoods are compared.
+    """
     edges = lists.select("p", F.explode("near").alias("e")).select("p", F.col("e.q").alias("q"))
     members = edges.select(F.col("p").alias("g"), F.col("q").alias("m")).unionByName(edges.select(F.col("q").alias("g"), F.col("p").alias("m"))).distinct()
+    if only is not None:
+        members = members.join(only, "g", "left_semi")
     # A vector that many have as a neighbour makes several groups rather than a large one.
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     large = sizes.where(F.col("c") > GROUP)
     members = members.join(large, "g", "left").withColumn("s", F.when(F.col("c").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("m", "g"), F.ceil(F.col("c") / F.lit(GROUP)).cast("long")))).drop("c")
-    # A list that is shorter than k, as after an enlargement, takes any neighbour.
-    floor = F.when(F.size("near") >= k, F.col("floor")).otherwise(F.lit(-2.0)).alias("floor")
-    carried = vectors.join(lists.select(F.col("p").alias("m"), floor), "m", "left").select("m", "x", F.coalesce("floor", F.lit(-2.0)).cast("float").alias("floor"))
+    # A list that is shorter than wanted, as after an enlargement, takes any neighbour.
+    carried = vectors.join(lists.select(F.col("p").alias("m"), "floor", "want"), "m", "left").select("m", "x", F.coalesce("floor", F.lit(-2.0)).cast("float").alias("floor"), F.coalesce("want", F.lit(K)).alias("want"))
     rows = members.join(carried, "m").repartition("g", "s").sortWithinPartitions("g", "s")
 
     def compare(batches):
@@ -173,15 +190,15 @@ def _descend(lists: DataFrame, vectors: DataFrame, dims: int, k: int) -> DataFra
         if not table.num_rows:
             return
         out: list = []
-        ids, floor = table.column("m").to_numpy(), table.column("floor").to_numpy()
+        ids, floor, want = (table.column(c).to_numpy() for c in ("m", "floor", "want"))
         x = _matrix(table.column("x").combine_chunks(), dims)
         edges = [0, *cuts, table.num_rows]
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a > 1:
-                _best(ids[a:b], x[a:b] @ x[a:b].T, floor[a:b], k, out)
+                _best(ids[a:b], x[a:b] @ x[a:b].T, floor[a:b], int(want[a:b].max()), out)
         yield from _edge_batches(out)
 
-    return rows.select("g", "s", "m", "x", "floor").mapInArrow(compare, EDGE)
+    return rows.select("g", "s", "m", "x", "floor", "want").mapInArrow(compare, EDGE)
 
 
 def _threshold_edges(lists: DataFrame, units: DataFrame, dims: int, threshold: float) -> DataFrame:
@@ -198,61 +215,94 @@ def _threshold_edges(lists: DataFrame, units: DataFrame, dims: int, threshold: f
     return both.select("u", "v", "ux", "vx").mapInArrow(confirm, "u long, v long")
 
 
-def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(m): vectors whose ``k`` entries all reach the threshold, give or take single precision."""
-    return lists.where((F.size("near") >= k) & (F.col("floor") >= threshold - 1e-4)).select(F.col("p").alias("m"))
+def _saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """Lists all of whose entries reach the threshold, give or take single precision."""
+    return lists.where((F.size("near") >= F.col("want")) & (F.col("floor") >= threshold - 1e-4))
 
 
-def _cells(ids: np.ndarray, own: np.ndarray, x: np.ndarray, threshold: float) -> tuple:
-    """Blocks of at most ``CELL`` rows of one component: first rows, components, centres, and the least cosine to the centre of a vector that may link."""
+def _cells(ids: np.ndarray, own: np.ndarray, copies: np.ndarray, x: np.ndarray, threshold: float) -> dict:
+    """Blocks of at most ``CELL`` rows of one component: first rows, components, copies, centres, and the
+    least cosines to the centre of a vector that may link and of one that links with all of the block."""
     start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     cuts = np.concatenate([np.arange(a, b, CELL) for a, b in zip(start, np.append(start[1:], len(own)))])
     centres = np.add.reduceat(x, cuts, axis=0)
     norm = np.sqrt((centres * centres).sum(1, keepdims=True))
     centres = np.where(norm > 1e-9, centres / np.maximum(norm, 1e-9), x[cuts])
     sizes = np.diff(np.append(cuts, len(own)))
-    nearest = np.minimum.reduceat((x * np.repeat(centres, sizes, axis=0)).sum(1), cuts)
+    radius = np.arccos(np.clip(np.minimum.reduceat((x * np.repeat(centres, sizes, axis=0)).sum(1), cuts), -1, 1))
     # By the triangle inequality of angles.
-    angle = np.arccos(np.clip(nearest, -1, 1)) + np.arccos(min(max(threshold, -1.0), 1.0)) + 1e-6
-    return np.append(cuts, len(own)), own[cuts], centres, np.where(angle >= np.pi, -2.0, np.cos(np.minimum(angle, np.pi)))
-
-
-def _crossing(placed: DataFrame, saturated: DataFrame, dims: int, threshold: float) -> DataFrame | None:
-    """(u, v): for every vector and every block of saturated ones of another component, a link if there is any.
-
-    placed: (m, c, unit) of all vectors, c the component.
+    reach = np.arccos(min(max(threshold, -1.0), 1.0))
+    far, near = reach + radius + 1e-6, reach - radius - 1e-6
+    return {
+        "ids": ids, "x": x, "copies": copies, "cuts": np.append(cuts, len(own)), "of": own[cuts], "many": np.add.reduceat(copies, cuts), "centres": centres,
+        "least": np.where(far >= np.pi, -2.0, np.cos(np.minimum(far, np.pi))), "whole": np.where(near <= 0, 2.0, np.cos(np.maximum(near, 0.0))),
+    }
+
+
+def _along(x: np.ndarray) -> np.ndarray:
+    """An order of rows in which neighbours are alike: by their widest direction."""
+    y = x - x.mean(0)
+    v = y[np.argmax((y * y).sum(1))]
+    for _ in range(5):
+        v = y.T @ (y @ v)
+        v = v / max(np.sqrt(v @ v), 1e-300)
+    return y @ v
+
+
+def _dense_links(placed: DataFrame, dense: DataFrame, dims: int, threshold: float) -> DataFrame | None:
+    """(kind, u, v, n): all links of dense vectors.
+
+    placed: (m, c, copies, unit) of all vectors, c the component.  kind 0: the dense vector u has n links to the
+    rows of some task, copies counted, itself included; kind 1: vector u has n links to dense vectors of a chunk; kind 2: u and v are linked
+    and of different components.
     """
-    n = saturated.count()
+    n = dense.count()
     if not n:
         return None
     spark = placed.sparkSession
-    asked = placed.join(saturated, "m").repartitionByRange(-(-n // CHUNK), "c", "m").sortWithinPartitions("c", "m").select("m", "c", "unit")
+    asked = placed.join(dense, "m").repartitionByRange(-(-n // CHUNK), "c", "m").sortWithinPartitions("c", "m").select("m", "c", "copies", "unit")
 
     def links(rows: list) -> DataFrame:
-        ids, own = np.array([r.m for r in rows]), np.array([r.c for r in rows])
+        ids, own, copies = (np.array([r[k] for r in rows]) for k in range(3))
         x = np.frombuffer(b"".join(bytes(r.unit) for r in rows), np.float64).reshape(-1, dims)
-        order = np.lexsort((ids, own))
-        ids, own, x = ids[order], own[order], x[order]
-        shared = spark.sparkContext.broadcast((ids, x, *_cells(ids, own, x, threshold)))
+        order = np.lexsort((_along(x), own))
+        shared = spark.sparkContext.broadcast(_cells(ids[order], own[order], copies[order], x[order], threshold))
 
         def run(batches):
-            ids, x, cuts, of, centres, least = shared.value
+            cell = shared.value
+            cuts, of = cell["cuts"], cell["of"]
+            each = np.diff(cuts)
+            counts = np.zeros(len(cell["ids"]), np.int64)
             for batch in batches:
                 for at in range(0, batch.num_rows, STEP):
                     part = batch.slice(at, STEP)
-                    m, c, y = part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), dims, np.float64)
-                    may = (y @ centres.T >= least) & (c[:, None] != of)
-                    u, v = [], []
+                    m, c, many = (part.column(k).to_numpy() for k in range(3))
+                    y = _matrix(part.column(3), dims, np.float64)
+                    near = y @ cell["centres"].T
+                    whole = near >= cell["whole"]
+                    may = (near >= cell["least"]) & ~whole
+                    counts += np.repeat(many @ whole, each)
+                    own = whole @ cell["many"]
+                    other = whole & (c[:, None] != of)
+                    row, block = np.nonzero(other)
+                    u, v = [m[row]], [cell["ids"][cuts[block]]]
                     for b in np.flatnonzero(may.any(0)):
                         rows = np.flatnonzero(may[:, b])
-                        near = y[rows] @ x[cuts[b] : cuts[b + 1]].T >= threshold
-                        hit = near.any(1)
+                        members = slice(cuts[b], cuts[b + 1])
+                        linked = y[rows] @ cell["x"][members].T >= threshold
+                        counts[members] += many[rows] @ linked
+                        own[rows] += linked @ cell["copies"][members]
+                        hit = linked.any(1) & (c[rows] != of[b])
                         u.append(m[rows[hit]])
-                        v.append(ids[cuts[b] + near[hit].argmax(1)])
-                    if u:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
-        found = kept(placed.select("m", "c", "unit").mapInArrow(run, "u long, v long"), "crossing")
+                        v.append(cell["ids"][cuts[b] + linked[hit].argmax(1)])
+                    some = own > 0
+                    u, v = np.concatenate(u), np.concatenate(v)
+                    kinds = np.repeat([1, 2], [some.sum(), len(u)])
+                    yield _counted(kinds, np.concatenate([m[some], u]), np.concatenate([m[some], v]), np.concatenate([own[some], np.zeros(len(u), np.int64)]))
+            some = counts > 0
+            yield _counted(np.zeros(some.sum(), int), cell["ids"][some], cell["ids"][some], counts[some])
+
+        found = kept(placed.select("m", "c", "copies", "unit").mapInArrow(run, "kind int, u long, v long, n long"), "dense")
         shared.unpersist()
         return found
 
@@ -268,132 +318,128 @@ def _crossing(placed: DataFrame, saturated: DataFrame, dims: int, threshold: flo
     return found
 
 
-def _links(members: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """(m, links): vectors of the same component within the threshold, the vector itself among them, copies counted.
-
-    members: (component, m, copies, unit).  Components are cut into blocks of about
-    ``BLOCK`` by a hash, and blocks are compared with blocks.
-    """
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("m"), F.col("blocks")))
+def _counted(kind: np.ndarray, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(u), pa.array(v), pa.array(n.astype(np.int64))], ["kind", "u", "v", "n"])
 
-    def gather(table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.asarray(table.column(c).to_numpy(), kind).tobytes()
-        x = b"".join(v.as_buffer().to_pybytes() for v in table.column("unit"))
-        return pa.table({"component": [table.column("component")[0].as_py()], "b": [table.column("b")[0].as_py()], "ids": pa.array([join("m", np.int64)], pa.binary()), "copies": pa.array([join("copies", np.int64)], pa.binary()), "x": pa.array([x], pa.binary())})
 
-    blocks = kept(dealt.select("component", "b", "m", "copies", "unit").groupBy("component", "b").applyInArrow(gather, "component long, b long, ids binary, copies binary, x binary"), "blocks")
-    other = blocks.select("component", F.col("b").alias("c"), F.col("copies").alias("other_copies"), F.col("x").alias("other"))
-    pairs = blocks.select("component", "b", "ids", "x").join(other, "component").repartition("component", "b", "c")
+def audit(classes: DataFrame, dims: int, threshold: float, most: int = AUDIT) -> float:
+    """Estimated share of vectors with true links that have all of them.
 
-    def count(batches):
-        for batch in batches:
-            rows = {n: batch.column(batch.schema.get_field_index(n)) for n in ("ids", "x", "other", "other_copies")}
-            for i in range(batch.num_rows):
-                get = lambda n, kind: np.frombuffer(rows[n][i].as_buffer(), kind)  # noqa: B023, E731
-                a, b = get("x", np.float64).reshape(-1, dims), get("other", np.float64).reshape(-1, dims)
-                n = (a @ b.T >= threshold) @ get("other_copies", np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(get("ids", np.int64)), pa.array(n.astype(np.int64))], ["m", "n"])
-
-    return pairs.select("ids", "x", "other", "other_copies").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("links"))
-
-
-def audit(units: DataFrame, labels: DataFrame, dims: int, threshold: float, most: int = AUDIT, linked: int = LINKED, exact: DataFrame | None = None) -> float:
-    """Share of drawn vectors with true links, by brute force, all of whose links lie inside components.
-
-    Each vector counts once, however many links it has.  Vectors are drawn in the order of a hash,
-    ``most`` at first and then as many as before, until ``linked`` with true links
-    have been seen or none is left; those in ``exact`` (m), whose links are known, are not drawn.
+    classes: (m, copies, unit, links, near, dense): ``links`` found, copies counted and the vector itself left out, ``near``: has a neighbour near
+    the threshold.  ``most`` of the near ones and of the others, dense ones left out, are drawn by hash and compared with all vectors, so the
+    cost is that of one pass; each draw counts for all that it was drawn from.  An exact answer is as good as its sample: of
+    others without a sampled loss, up to about 3 in ``most`` may have lost links.
     """
-    spark = units.sparkSession
-    all_ = kept(units.join(labels, "m", "left").select("m", F.coalesce("component", "m").alias("c"), "unit"), "audited")
-    pool = all_ if exact is None else all_.join(exact, "m", "left_anti")
-    pool = kept(pool.withColumn("h", F.xxhash64("m", F.lit(5))), "pool")
-    left = pool.count()
-    lowest, drawn, seen, whole = None, 0, 0, 0
-
-    def compare(asked: list) -> tuple[int, int]:
-        own = np.array([r.c for r in asked])
-        x = np.frombuffer(b"".join(bytes(r.unit) for r in asked), np.float64).reshape(-1, dims)
-        shared = spark.sparkContext.broadcast((np.array([r.m for r in asked]), own, x))
+    spark = classes.sparkSession
+    pool = classes.where(~F.col("dense")).withColumn("h", F.xxhash64("m", F.lit(5)))
+    sizes = {r.near: r.n for r in pool.groupBy("near").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = [r for near in sizes for r in pool.where(F.col("near") == F.lit(near)).orderBy("h", "m").limit(most).collect()]
+    if not drawn:
+        return 1.0
+    x = np.frombuffer(b"".join(bytes(r.unit) for r in drawn), np.float64).reshape(-1, dims)
+    shared = spark.sparkContext.broadcast((np.array([r.m for r in drawn]), x))
 
-        def run(batches):
-            ids, own, x = shared.value
-            for batch in batches:
-                links, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-                for at in range(0, batch.num_rows, STEP):
-                    part = batch.slice(at, STEP)
-                    near = x @ _matrix(part.column(2), dims, np.float64).T >= threshold
-                    near &= ids[:, None] != part.column(0).to_numpy()[None, :]
-                    links += near.sum(1)
-                    found += (near & (own[:, None] == part.column(1).to_numpy()[None, :])).sum(1)
-                some = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some] - found[some])], ["m", "lost"])
-
-        each = all_.select("m", "c", "unit").mapInArrow(run, "m long, lost long").groupBy("m").agg(F.sum("lost").alias("lost"))
-        r = each.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("lost") == 0).alias("whole")).first()
-        shared.unpersist()
-        return r.seen, r.whole
-
-    while drawn < left and seen < linked:
-        # At most CHUNK go out at a time; the last hash and id tell where the next draw begins.
-        size = min(max(most, drawn), CHUNK)
-        rest = pool if lowest is None else pool.where((F.col("h") > lowest[0]) | ((F.col("h") == lowest[0]) & (F.col("m") > lowest[1])))
-        asked = rest.orderBy("h", "m").limit(size).collect()
-        if not asked:
-            break
-        lowest, drawn = (asked[-1].h, asked[-1].m), drawn + len(asked)
-        more = compare(asked)
-        seen, whole = seen + more[0], whole + more[1]
-    return whole / seen if seen else 1.0
-
-
-def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
-    """(id, n_links, component) of every row of ``vectors`` (id, vector)."""
-    every = kept(unit_table(vectors.select("id", "vector")), "units")
-    usual = every.where(F.col("unit").isNotNull()).groupBy(F.octet_length("unit").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    if usual is None:
-        return every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    dims = usual.w // 8
-    solid = every.where(F.octet_length("unit") == usual.w)
-    units = kept(solid.groupBy("unit").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("copies")), "classes")
+    def run(batches):
+        ids, x = shared.value
+        links = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                near = x @ _matrix(part.column(2), dims, np.float64).T >= threshold
+                near &= ids[:, None] != part.column(0).to_numpy()[None, :]
+                links += near @ part.column(1).to_numpy()
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some])], ["m", "n"])
+
+    true = {r.m: r.n for r in classes.select("m", "copies", "unit").mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).collect()}
+    shared.unpersist()
+    linked = whole = 0.0
+    for near, n in sizes.items():
+        own = [r for r in drawn if r.near == near]
+        for r in own:
+            # Copies of the vector itself are no matter of the search.
+            if true.get(r.m, 0) > 0:
+                linked += n / len(own)
+                whole += n / len(own) * (r.links - (r.copies - 1) >= true[r.m])
+    return whole / linked if linked else 1.0
+
+
+def _groups(solid: DataFrame, dims: int, threshold: float, k: int, recall: float, rounds: int, most: int) -> DataFrame:
+    """(unit, n_links, component) of the classes of vectors of one length."""
+    grouped = solid.groupBy("unit").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    units = kept(grouped.withColumn("m", F.monotonically_increasing_id()), "classes")
 
     def single(batches):
         for batch in batches:
             x = _matrix(batch.column(1), dims, np.float64).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["m", "x"])
 
-    vectors32 = kept(units.select("m", "unit").mapInArrow(single, "m long, x binary"), "singles")
     n = units.count()
-    lists, labels, table = None, None, 0
+    if n == 1:
+        return units.select("unit", (F.col("copies") - 1).alias("n_links"), F.col("least").alias("component"))
+    vectors = kept(units.select("m", "unit").mapInArrow(single, "m long, x binary"), "singles")
+    lists, wants, table = None, None, 0
     while True:
         # Fresh seeds at every size of the lists: descent alone cannot leave a part of the graph.
         edges = None if lists is None else _entries(lists)
         for table in range(table + 1, table + 1 + SEEDS):
-            seeds = _seed_edges(vectors32, dims, table, k)
+            seeds = _seed_edges(vectors, dims, table, k).withColumn("new", F.lit(1))
             edges = seeds if edges is None else edges.unionByName(seeds)
-        lists = kept(_lists(edges, k), "lists")
+        lists = kept(_lists(edges, wants, k), "lists")
         for _ in range(rounds):
-            better = kept(_descend(lists, vectors32, dims, k), "better")
-            gained = better.count()
-            if gained:
-                lists = kept(_lists(_entries(lists).unionByName(better), k), "lists")
-            if gained <= 0.02 * n * k:
+            lists = kept(_lists(_entries(lists).unionByName(_descend(lists, vectors, dims).withColumn("new", F.lit(1))), wants, k), "lists")
+            if (lists.agg(F.sum("gained")).first()[0] or 0) <= 0.02 * n * k:
                 break
-        strong = _threshold_edges(lists, units, dims, threshold)
-        strong = kept(strong, "strong")
-        labels = kept(components(strong).select(F.col("id").alias("m"), "component"), "labels")
-        saturated = kept(_saturated(lists, k, threshold), "saturated")
-        placed = units.join(labels, "m", "left").select("m", F.coalesce("component", "m").alias("c"), "unit")
-        crossing = _crossing(placed, saturated, dims, threshold)
-        if crossing is not None:
-            labels = kept(components(strong.unionByName(crossing)).select(F.col("id").alias("m"), "component"), "labels")
-        if k >= n or audit(units, labels, dims, threshold, exact=saturated) >= recall:
+        while True:  # saturated lists, and only these, take twice as many
+            full = kept(_saturated(lists, threshold).where(F.col("want") < DENSE).select("p", (F.col("want") * 2).alias("want")), "full")
+            if not full.count():
+                break
+            rest = lists.where(F.col("want") > k).select("p", "want")
+            wants = kept(full.unionByName(rest.join(full, "p", "left_anti")), "wants")
+            wider = lists.drop("want", "floor").join(wants, "p", "left").withColumn("want", F.coalesce("want", F.lit(k)))
+            wider = wider.withColumn("floor", F.when(F.size("near") >= F.col("want"), F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float"))
+            better = _descend(wider, vectors, dims, full.select(F.col("p").alias("g")))
+            lists = kept(_lists(_entries(lists).unionByName(better.withColumn("new", F.lit(1))), wants, k), "lists")
+        strong = kept(_threshold_edges(lists, units, dims, threshold), "strong")
+        labels = kept(components(strong).select(F.col("id").alias("m"), F.col("component").alias("c")), "labels")
+        dense = kept(_saturated(lists, threshold).select(F.col("p").alias("m")), "saturated")
+        placed = kept(units.join(labels, "m", "left").select("m", F.coalesce("c", "m").alias("c"), "copies", "unit"), "placed")
+        found = _dense_links(placed, dense, dims, threshold)
+        copies = units.select(F.col("m").alias("v"), "copies")
+        both = strong.unionByName(strong.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(copies, "v")
+        if found is None:
+            counts = both.groupBy(F.col("u").alias("m")).agg(F.sum("copies").alias("links"))
+        else:
+            labels = kept(components(strong.unionByName(found.where("kind = 2").select("u", "v"))).select(F.col("id").alias("m"), F.col("component").alias("c")), "labels")
+            # A dense vector's links are those that were counted; another's are those to dense ones and its list's to others.
+            of_dense = found.where("kind = 0").groupBy(F.col("u").alias("m")).agg(F.sum("n").alias("links"))
+            listed = both.join(dense.select(F.col("m").alias("v")), "v", "left_anti").select(F.col("u").alias("m"), F.col("copies").alias("links"))
+            to_dense = found.where("kind = 1").select(F.col("u").alias("m"), F.col("n").alias("links"))
+            of_others = listed.unionByName(to_dense).join(dense, "m", "left_anti").groupBy("m").agg(F.sum("links").alias("links"))
+            own = units.select("m", "copies")  # a dense vector's own copies were counted with it
+            counts = of_dense.join(own, "m").select("m", (F.col("links") - F.col("copies")).alias("links")).unionByName(of_others)
+        near = lists.where(F.element_at("near", 1)["sim"] >= threshold - NEAR).select(F.col("p").alias("m"), F.lit(True).alias("near"))
+        classes = units.join(counts, "m", "left").join(near, "m", "left").join(dense.withColumn("dense", F.lit(True)), "m", "left")
+        classes = classes.select("m", "least", "copies", "unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("dense", F.lit(False)).alias("dense"))
+        classes = kept(classes, "linked")
+        if k >= n or audit(classes, dims, threshold, most) >= recall:
             break
         k *= 2
-    members = units.join(labels, "m").select("component", "m", "copies", "unit")
-    links = kept(_links(members, dims, threshold), "links")
-    classed = units.join(labels, "m", "left").join(links, "m", "left").select("unit", F.coalesce("component", "m").alias("component"), (F.coalesce("links", "copies") - 1).alias("n_links"))
+    named = classes.join(labels, "m", "left").select("unit", "least", "links", F.coalesce("c", "m").alias("c"))
+    least = named.groupBy("c").agg(F.min("least").alias("component"))
+    return named.join(least, "c").select("unit", F.col("links").alias("n_links"), "component")
+
+
+def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, rounds: int = ROUNDS, most: int = AUDIT) -> DataFrame:
+    """(id, n_links, component) of every row of ``vectors`` (id, vector)."""
+    every = kept(unit_table(vectors.select("id", "vector")), "units")
+    widths = sorted(r.w for r in every.where(F.col("unit").isNotNull()).select(F.octet_length("unit").alias("w")).distinct().collect())
+    classed = None
+    for w in widths:
+        part = _groups(every.where(F.octet_length("unit") == w), w // 8, threshold, k, recall, rounds, most)
+        classed = part if classed is None else classed.unionByName(part)
+    if classed is None:
+        return every.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     found = every.join(classed, "unit", "left")
     return found.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
 

@@ -139,15 +139,14 @@ def links_by_force(vectors, threshold):
     return near.sum(1).tolist(), label
 
 
-def test_vector_groups(spark, monkeypatch):
-    monkeypatch.setattr(nndescent, "BLOCK", 16)
+def test_vector_groups(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 16))
     rows = [*rng.normal(size=(150, 16)), *(c + 0.08 * rng.normal(size=16) for c in centres for _ in range(25))]
     rows = [r.tolist() for r in rows]
     rows += [rows[160]] * 9 + [[3 * v for v in rows[10]], [1e-200 * v for v in rows[10]]]
     n_links, label = links_by_force([r if abs(r[0]) > 1e-150 else [v * 1e200 for v in r] for r in rows], 0.95)
-    odd = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [None], [float("inf")] * 16, [1.0, 2.0], []]
+    odd = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [None], [float("inf")] * 16, [1.0, 2.0], [], [0.0] * 3000 + [1.0]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(rows + odd)], "id long, vector array<double>").withColumn("x", F.lit(1))
     got = {r.id: r for r in nndescent.vector_groups(df).collect()}
     assert [got[i].n_links for i in range(len(rows))] == n_links
@@ -188,19 +187,48 @@ def test_saturated_groups_find_each_other(spark, monkeypatch):
     assert [got[i].n_links for i in range(len(rows))] == n_links
 
 
-def test_audit_counts_vectors_and_never_passes_unseen(spark):
-    """A large whole group beside isolated pairs that were missed; few of many vectors have links."""
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(10)
+    rows = [v[:d] for d in (5, 5, 5, 9, 9) for v in (rng.normal(size=9).tolist(),)]
+    rows += [[2 * x for x in rows[0]], [x + 1e-3 for x in rows[3]], [x + 1e-3 for x in rows[4]], rows[1]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)] + [(1, rows[2])], "id long, vector array<float>")
+    got = sorted((r.id, r.n_links, r.component) for r in nndescent.vector_groups(df).collect())
+    # Two rows have id 1: one is a copy of row 8, the other of row 2.
+    assert got == [(0, 1, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4), (5, 1, 0), (6, 1, 3), (7, 1, 4), (8, 1, 1)]
+
+
+def test_links_of_groups_of_many_sizes(spark):
+    """Thousands of links, in pairs and in groups up to hundreds, loose and tight: nearly all pairs and all components."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for size, spread in ((2, 0.02), (3, 0.025), (5, 0.02), (12, 0.02), (40, 0.015), (90, 0.01), (300, 0.008)):
+        for _ in range(max(1, 120 // size)):
+            centre = rng.normal(size=64)
+            centre /= np.linalg.norm(centre)
+            rows += (centre + spread * rng.normal(size=(size, 64))).tolist()
+    rows += rng.normal(size=(900, 64)).tolist()
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    rows += [rows[5]] * 400  # a class of copies
+    n_links, label = links_by_force(rows, 0.95)
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, vector array<double>")
+    got = {r.id: r for r in nndescent.vector_groups(df).collect()}
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= n_links).all() and sum(n_links) > 20_000 and found.sum() >= 0.999 * sum(n_links)
+    linked = [i for i, n in enumerate(n_links) if n]
+    assert sum(got[i].component == label[i] for i in linked) >= 0.999 * len(linked)
+
+
+def test_audit_counts_vectors(spark):
+    """A large whole group beside isolated pairs that were missed: each vector counts once, and draws count for their pool."""
     rng = np.random.default_rng(9)
     x = np.array(tight_groups(rng, [1.0], 150) + [v for _ in range(20) for v in tight_groups(rng, [1.0], 2)] + rng.normal(size=(400, 64)).tolist())
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    units = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "m long, unit binary")
-    labels = spark.createDataFrame([(i, 0) for i in range(150)], "m long, component long")
-    assert nndescent.audit(units, labels, 64, 0.95) == pytest.approx(150 / 190)
-    assert nndescent.audit(units, labels, 64, 0.95, exact=labels.select("m")) == 0.0
-    pairs = units.where("m >= 150")
-    first = [r.m for r in pairs.orderBy(F.xxhash64("m", F.lit(5)), "m").collect()]
-    most = next(i for i, m in enumerate(first) if m < 190)  # the first draw sees no link
-    assert nndescent.audit(pairs, labels, 64, 0.95, most=max(1, most)) == 0.0
+    rows = [(i, 1, v.tobytes(), 149 if i < 150 else 0, i < 150, False) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "m long, copies long, unit binary, links long, near boolean, dense boolean")
+    assert nndescent.audit(classes, 64, 0.95) == pytest.approx(150 / 190)
+    assert nndescent.audit(classes, 64, 0.95, most=100) == pytest.approx(150 / 190, abs=0.12)
+    assert nndescent.audit(classes.withColumn("dense", F.col("m") < 150), 64, 0.95) == 0.0
+    assert nndescent.audit(classes.where("m >= 190"), 64, 0.95) == 1.0
 
 
 # The pipeline -----------------------------------------------------------------------------------
