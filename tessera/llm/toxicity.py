@@ -43,6 +43,10 @@ BLOCK = 64
 PRIOR = 4.0
 #: Weight of a word that both labels share evenly, against 1 for one that is e times as frequent with one of them.
 EVEN = 0.05
+#: What a cosine of unit vectors in single precision may be off by, with room to spare.
+ROUGH = 1e-5
+#: Pairs that are compared in double precision at once.
+PAIRS = 1 << 12
 #: Texts that are compared at once.
 BATCH = 128
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
@@ -134,7 +138,7 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: Vectors, n_words: int):
         self.n, self.order = len(vectors), alike(vectors, n_words, BLOCK)
-        v = vectors.take(self.order)
+        self.vectors = v = vectors.take(self.order)
         place = v.rows()
         self.blocks = -(-self.n // BLOCK)
         self.most = np.zeros((n_words, self.blocks), np.float32)
@@ -178,45 +182,61 @@ class BlockMaxIndex:
         return bound
 
     def _nearest(self, queries: Vectors, bound: np.ndarray, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        best, near = np.zeros((len(queries), k)), np.full((len(queries), k), self.n, np.int64)
+        """Single precision tells which few examples may be among the best; these are compared in double precision."""
+        n = len(queries)
+        best, near = np.zeros((n, k)), np.full((n, k), self.n, np.int64)
         words, inverse = np.unique(queries.word, return_inverse=True)
         if not len(words):
             return best, near
-        dense = np.zeros((len(queries), len(words)))
-        dense[queries.rows(), inverse] = queries.weight
-        place = np.full(int(words[-1]) + 1, -1, np.int32)
+        dense = np.zeros((len(words), n), np.float32)
+        dense[inverse, queries.rows()] = queries.weight
+        place = np.full(len(self.most), -1, np.int32)
         place[words] = np.arange(len(words), dtype=np.int32)
+        rough, top = np.zeros((n, self.n), np.float32), np.zeros((n, k), np.float32)
 
         def visit(b: int, rows: np.ndarray) -> None:
             own = self.words[b]
-            at = place[own[: np.searchsorted(own, words[-1], "right")]]
+            at = place[own]
             both = np.flatnonzero(at >= 0)
             begin, size = self.begin[b][both], np.diff(self.begin[b])[both]
             entry = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            lists = np.zeros((len(both), BLOCK))
+            span = slice(b * BLOCK, min(self.n, (b + 1) * BLOCK))
+            lists = np.zeros((len(both), span.stop - span.start), np.float32)
             lists[np.repeat(np.arange(len(both)), size), self.place[b][entry]] = self.weight[b][entry]
-            mine = dense[:, at[both]] if len(rows) == len(dense) else dense[np.ix_(rows, at[both])]
-            cosine = np.round(mine @ lists, 12)
-            ids = self.order[b * BLOCK : (b + 1) * BLOCK]
-            cosine = cosine[:, : len(ids)]
+            mine = dense[at[both]]
+            if 2 * len(rows) > n:
+                cosine = (mine.T @ lists)[rows]
+            else:
+                cosine = mine[:, rows].T @ lists
             if skip is not None:
-                cosine[ids[None, :] == skip[rows, None]] = 0.0
-            better = np.flatnonzero((cosine >= best[rows, -1:]).any(1) & (cosine.max(1) > 0))
-            if len(better):
-                r = rows[better]
-                value = np.hstack([best[r], cosine[better]])
-                who = np.hstack([near[r], np.broadcast_to(ids, (len(r), len(ids)))])
-                who[value <= 0] = self.n
-                top = np.lexsort((who, -value), axis=-1)[:, : best.shape[1]]
-                best[r], near[r] = np.take_along_axis(value, top, 1), np.take_along_axis(who, top, 1)
+                cosine[self.order[None, span] == skip[rows, None]] = 0.0
+            rough[rows, span] = cosine
+            higher = rows[cosine.max(1) > top[rows].min(1)]
+            if len(higher):
+                top[higher] = np.partition(np.hstack([top[higher], rough[higher, span]]), -k, axis=1)[:, -k:]
 
         first = bound.argmax(1)
         for b in np.unique(first):
             visit(b, np.flatnonzero(first == b))
         for b in np.argsort(-bound.max(0), kind="stable"):
-            rows = np.flatnonzero((bound[:, b] >= best[:, -1]) & (first != b) & (bound[:, b] > 1e-9))
+            rows = np.flatnonzero((bound[:, b] >= top.min(1) - ROUGH) & (first != b) & (bound[:, b] > 1e-9))
             if len(rows):
                 visit(b, rows)
+        row, at = np.nonzero((rough > 0) & (rough >= top.min(1)[:, None] - 2 * ROUGH))
+        value = np.zeros(len(row))
+        full = np.zeros((n, len(words) + 1))  # the last column is that of words that no query has
+        full[queries.rows(), inverse] = queries.weight
+        for a in range(0, len(row), PAIRS):
+            r, e = row[a : a + PAIRS], self.vectors.take(at[a : a + PAIRS])
+            of = e.rows()
+            hit = full.ravel()[r[of] * full.shape[1] + place[e.word] % full.shape[1]]
+            value[a : a + PAIRS] = np.round(np.bincount(of, hit * e.weight, len(r)), 12)
+        who = self.order[at]
+        order = np.lexsort((who, -value, row))
+        row, value, who = row[order], value[order], who[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        fits = (rank < k) & (value > 0)
+        best[row[fits], rank[fits]], near[row[fits], rank[fits]] = value[fits], who[fits]
         return best, near
 
 
