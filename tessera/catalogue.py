@@ -6,6 +6,7 @@ Doubles that come out of sums are rounded in both, as engines add in different o
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +16,7 @@ from .operators import adjacency, join, layout, query, stats
 from .plans.frame import SpatialFrame
 from .schema import SpatialConfig
 from .sources import geojson, wkt
+from .sources.shared import shared_folder
 
 _DAY = lambda y, m, d: float((datetime.date(y, m, d) - datetime.date(1970, 1, 1)).days)
 
@@ -72,7 +74,7 @@ kd AS (
 ), leaf AS (
   SELECT * FROM kd WHERE lvl = (SELECT max(lvl) FROM kd)
 ), blocks AS (
-  SELECT CAST(row_number() OVER (ORDER BY node) AS INTEGER) AS block_id, * FROM (
+  SELECT row_number() OVER (ORDER BY node) AS block_id, * FROM (
     SELECT node, min(x) FILTER (NOT mid) AS min_x, min(y) FILTER (NOT mid) AS min_y, max(x) FILTER (NOT mid) AS max_x, max(y) FILTER (NOT mid) AS max_y,
       count(*) FILTER (NOT mid) AS object_count, count(*) AS stored_count
     FROM leaf GROUP BY node
@@ -91,8 +93,8 @@ _PAGE = f"""{_KD}, cells AS (
   SELECT CAST(ceil(({CONFIG.block_size} + greatest(1, (SELECT max(lvl) FROM kd))) / {CONFIG.page_capacity}.0) AS INTEGER) AS pages
 ), laid AS (
   SELECT id, x, y, block_id,
-    CAST((block_id - 1) * pages + place // {CONFIG.page_capacity} + 1 AS INTEGER) AS page_id,
-    CAST((block_id - 1) * CAST(ceil(pages / {CONFIG.pages_per_track}.0) AS INTEGER) + (place // {CONFIG.page_capacity}) // {CONFIG.pages_per_track} + 1 AS INTEGER) AS track_id
+    CAST((block_id - 1) * pages + place // {CONFIG.page_capacity} + 1 AS BIGINT) AS page_id,
+    CAST((block_id - 1) * CAST(ceil(pages / {CONFIG.pages_per_track}.0) AS INTEGER) + (place // {CONFIG.page_capacity}) // {CONFIG.pages_per_track} + 1 AS BIGINT) AS track_id
   FROM placed, shape
 ), pages AS (
   SELECT page_id, min(track_id) AS track_id, min(block_id) AS block_id, count(*) AS object_count, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y,
@@ -272,6 +274,10 @@ def count_by_type(spark, sf):
     return stats.count_by_type(_all_features(spark, sf))
 
 
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
 def _layout(spark, sf):
     laid, blocks = layout.layout(X.orders_points(spark, sf), CONFIG)
     return laid, blocks, layout.pages_of(laid, CONFIG)
@@ -483,13 +489,8 @@ def knn_join(spark, sf):
 
 @_query(f"SELECT id, x, y FROM ({_ORDERS})")
 def save_load_roundtrip(spark, sf):
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{root}/index-{uuid.uuid4().hex}"
-    frame = SpatialFrame(spark, CONFIG, X.orders_points(spark, sf))
-    frame.save(path)
+    path = _folder(spark)
+    SpatialFrame(spark, CONFIG, X.orders_points(spark, sf)).save(path)
     return _id_xy(SpatialFrame.load(spark, path).features)
 
 

@@ -51,9 +51,11 @@ def estimate_seeks(pages: DataFrame, order: Sequence[str] = ("track_id", "page_i
     return moved.groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), change.alias("seeks"))
 
 
-def region_seeks(pages: DataFrame, regions: DataFrame) -> DataFrame:
-    """Seeks of each region (region_id, mbr); the number of regions in a call is the caller's, and their table is small beside the pages."""
-    near = regions.select("region_id", F.col("mbr").alias("_r")).join(pages, R.adjacent("extent", "_r")).drop("_r")
+def region_seeks(pages: DataFrame, regions: DataFrame, cell: float | None = None) -> DataFrame:
+    """Pages and seeks of each region (region_id, mbr), by the grid join; neither side need be small."""
+    wide = regions.select("region_id", F.struct(*[(F.col("mbr")[n] + (-1 if n.startswith("min") else 1) * R.ADJACENT_EPS).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")]).alias("mbr"))
+    pairs = spatial_join(wide, pages.select("page_id", F.col("extent").alias("mbr")), cell, "region_id", "page_id")
+    near = pairs.select(F.col("left_id").alias("region_id"), F.col("right_id").alias("page_id")).join(pages.select("page_id", "track_id"), "page_id")
     counted = estimate_seeks(near, by=("region_id",))
     full = regions.select("region_id").join(counted, "region_id", "left")
     return full.select("region_id", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("seeks", F.lit(0)).alias("seeks"))

@@ -2,21 +2,30 @@
 
 Blocks: a node with more than ``block_size`` features is split at its median by x, the
 next level by y, and so on; the median itself is a split point, which does not count for
-the bounds of a block but is stored with the first block to its right.  The number of
-levels follows from the row count alone, so no level needs an action.
+the bounds of a block but is stored with the first block to its right.
 
-Nodes of more than ``exact_rows`` features find the same medians by counting: bins over
+Only (id, x, y) is moved while nodes are split; whole features meet their places in one join at
+the end.  Nodes of more than ``exact_rows`` features find their medians by counting: bins over
 the coordinate, then over the id, narrow down the place of the median until a window may
-hold the rest, so no window ever holds the whole table and results do not depend on the size.
-Ids are taken to be unique.
+hold the rest.  A node of fewer rows goes to one task, which splits it down to its blocks and puts each block in
+order.  So no task holds the whole table, and results do not depend on the size.
+
+The shape of the tree follows from the row count alone (halves of a count, again and again), so a
+block's number in the order of paths is arithmetic and needs no window over the blocks.
+Ids are taken to be unique and not null.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mbr as R
+from ..functions.geometry import distance
 from ..schema import SpatialConfig
 
 
@@ -34,7 +43,7 @@ def tree_depth(n: int) -> int:
 
 
 def _axis(level: int) -> Column:
-    return F.col("centroid")["x" if level % 2 == 0 else "y"]
+    return F.col("x" if level % 2 == 0 else "y")
 
 
 #: Bins that a node's features are counted in at a time.
@@ -96,39 +105,81 @@ def _counted(points: DataFrame, n: int, config: SpatialConfig) -> tuple[DataFram
     return points, level, n
 
 
+@lru_cache(maxsize=None)
+def leaves(size: int, block_size: int) -> int:
+    """Blocks of a node of so many features."""
+    return 1 if size <= block_size else leaves(size // 2, block_size) + leaves(size - size // 2 - 1, block_size)
+
+
+def _start(n: int, path: str, block_size: int) -> int:
+    """Blocks before those of the node at a path."""
+    before = 0
+    for side in path:
+        if side == "1":
+            before += leaves(n // 2, block_size)
+        n = n // 2 if side == "0" else n - n // 2 - 1
+    return before
+
+
+def _z_places(x: np.ndarray, y: np.ndarray, bits: int = 16) -> np.ndarray:
+    """``z_order`` of points between bounds that are already 0 and 1."""
+    side = 1 << bits
+    z = np.zeros(len(x), np.int64)
+    for k, v in enumerate((x, y)):
+        cell = np.clip(np.floor(v * side), 0, side - 1).astype(np.int64)
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            cell = (cell | (cell << shift)) & mask
+        z |= cell << k
+    return z
+
+
+def _split(node: str, ids: np.ndarray, at: np.ndarray, pivot: np.ndarray, n: int, config: SpatialConfig) -> pa.Table:
+    """Blocks of one node: number, path, split points, and places in the order of pages."""
+    size = len(ids)
+    block, place, mid, path = np.zeros(size, np.int64), np.zeros(size, np.int64), pivot.copy(), np.empty(size, object)
+    todo = [(node, np.flatnonzero(~pivot), np.flatnonzero(pivot), _start(n, node, config.block_size))]
+    while todo:
+        name, own, stored, before = todo.pop()
+        if len(own) > config.block_size:
+            half = len(own) // 2
+            order = own[np.lexsort((ids[own], at[len(name) % 2][own]))]
+            mid[order[half]] = True
+            todo.append((name + "0", order[:half], stored, before))
+            todo.append((name + "1", order[half + 1 :], order[half : half + 1], before + leaves(half, config.block_size)))
+            continue
+        every = np.concatenate([own, stored])
+        block[every], path[every] = before + 1, name
+        if config.strategy == "zorder" and len(own):
+            lo, hi = ([f(v[own]) for v in at] for f in (np.min, np.max))
+            unit = [np.divide(v[every] - a, b - a) if b > a else np.zeros(len(every)) for v, a, b in zip(at, lo, hi)]
+            key = _z_places(*unit)
+        else:
+            key = np.zeros(len(every), np.int64)
+        place[every[np.lexsort((ids[every], key))]] = np.arange(len(every))
+    return pa.table({"id": ids, "x": at[0], "y": at[1], "block_id": block, "node": pa.array(path, pa.string()), "pivot": mid, "place": place})
+
+
 def kd_nodes(features: DataFrame, config: SpatialConfig, n: int | None = None) -> DataFrame:
-    """Adds node (path of splits) and pivot (split points) to the valid features."""
-    points = features.where("is_valid").withColumn("node", F.lit("")).withColumn("pivot", F.lit(False))
+    """(id, x, y, block_id, node, pivot, place) of the valid features: block, path of splits, split points, place in the block."""
     if n is None:
         n = features.where("is_valid").count()
-    points, start, left = _counted(points, n, config)
-    for level in range(start, start + levels_needed(left, config.block_size)):
-        order = Window.partitionBy("node").orderBy("pivot", _axis(level), "id")
-        rank = F.row_number().over(order) - 1
-        size = F.count_if(~F.col("pivot")).over(Window.partitionBy("node"))
-        points = points.withColumn("_rank", rank).withColumn("_size", size)
-        half = F.floor(F.col("_size") / 2)
-        splits = F.col("_size") > config.block_size
-        side = F.when(F.col("pivot") | (F.col("_rank") < half), "0").otherwise("1")
-        points = (
-            points.withColumn("node", F.when(splits, F.concat("node", side)).otherwise(F.col("node")))
-            .withColumn("pivot", F.col("pivot") | (splits & (F.col("_rank") == half)))
-            .drop("_rank", "_size")
-        )
-    return points
+    c = F.col("centroid")
+    points = features.where("is_valid").select("id", c["x"].alias("x"), c["y"].alias("y"), F.lit("").alias("node"), F.lit(False).alias("pivot"))
+    points, _, _ = _counted(points, n, config)
 
+    def split(table: pa.Table) -> pa.Table:
+        col = {k: table.column(k).to_numpy() for k in ("id", "x", "y", "pivot")}
+        return _split(table.column("node")[0].as_py(), col["id"], np.stack([col["x"], col["y"]]), col["pivot"].astype(bool), n, config)
 
-def kd_blocks(nodes: DataFrame) -> DataFrame:
-    """block_id, node, bounds and centre of centroids, and counts, with block_id in the order of paths.
+    kind = points.schema["id"].dataType.simpleString()
+    return points.groupBy("node").applyInArrow(split, f"id {kind}, x double, y double, block_id long, node string, pivot boolean, place long")
 
-    The window orders blocks, not features: one row for every block_size features.
-    """
-    c = F.col("centroid")
-    box = R.mbr(c["x"], c["y"], c["x"], c["y"])
-    own = F.when(~F.col("pivot"), box)
-    found = nodes.groupBy("node").agg(R.bounds_of(own).alias("bounds"), F.count_if(~F.col("pivot")).alias("object_count"), F.count(F.lit(1)).alias("stored_count"))
-    numbered = found.withColumn("block_id", F.row_number().over(Window.orderBy("node")).cast("int"))
-    return numbered.select("block_id", "node", "bounds", R.centroid("bounds").alias("centroid"), "object_count", "stored_count")
+
+def kd_blocks(nodes: DataFrame) -> DataFrame:
+    """block_id, node, bounds and centre of centroids, and counts, with block_id in the order of paths."""
+    own = F.when(~F.col("pivot"), R.mbr(F.col("x"), F.col("y"), F.col("x"), F.col("y")))
+    found = nodes.groupBy("block_id", "node").agg(R.bounds_of(own).alias("bounds"), F.count_if(~F.col("pivot")).alias("object_count"), F.count(F.lit(1)).alias("stored_count"))
+    return found.select("block_id", "node", "bounds", R.centroid("bounds").alias("centroid"), "object_count", "stored_count")
 
 
 def z_order(x: Column, y: Column, bounds, bits: int = 16) -> Column:
@@ -151,8 +202,8 @@ def z_order(x: Column, y: Column, bounds, bits: int = 16) -> Column:
     return spread(cell(x, x0, x1)).bitwiseOR(F.shiftleft(spread(cell(y, y0, y1)), 1))
 
 
-def layout(features: DataFrame, config: SpatialConfig | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(laid-out features with block_id, page_id, track_id, slot; blocks).
+def placed(features: DataFrame, config: SpatialConfig | None = None, n: int | None = None) -> DataFrame:
+    """Valid features with block_id, page_id, track_id and slot, and node and pivot, from which ``kd_blocks`` makes the blocks.
 
     Page and track numbers come from the block's number and the place in the block, so
     numbering needs no pass over all rows.
@@ -160,26 +211,23 @@ def layout(features: DataFrame, config: SpatialConfig | None = None, n: int | No
     config = config or SpatialConfig()
     if n is None:
         n = features.where("is_valid").count()
-    nodes = kd_nodes(features, config, n)
-    blocks = kd_blocks(nodes)
-    c = F.col("centroid")
-    placed = nodes.join(blocks.select("node", "block_id", F.col("bounds").alias("_b")), "node")
-    key = z_order(c["x"], c["y"], F.col("_b")) if config.strategy == "zorder" else F.lit(0)
-    order = Window.partitionBy("block_id").orderBy(key, "id")
-    place = F.row_number().over(order) - 1
     levels = max(1, levels_needed(n, config.block_size))
     pages = -(-(config.block_size + levels) // config.page_capacity)
     tracks = -(-pages // config.pages_per_track)
-    in_block = F.floor(F.col("_place") / config.page_capacity).cast("int")
-    base = F.col("block_id") - 1
-    return (
-        placed.withColumn("_place", place)
-        .withColumn("page_id", (base * pages + in_block + 1).cast("int"))
-        .withColumn("track_id", (base * tracks + F.floor(in_block / config.pages_per_track) + 1).cast("int"))
-        .withColumn("slot", (F.col("_place") % config.page_capacity).cast("int"))
-        .drop("_place", "_b", "node", "pivot"),
-        blocks,
-    )
+    base, in_block = F.col("block_id") - 1, F.floor(F.col("place") / config.page_capacity).cast("long")
+    where = kd_nodes(features, config, n).select(
+        "id", "x", "y", "node", "pivot", "block_id",
+        (base * pages + in_block + 1).alias("page_id"),
+        (base * tracks + F.floor(in_block / config.pages_per_track).cast("long") + 1).alias("track_id"),
+        (F.col("place") % config.page_capacity).cast("int").alias("slot"),
+    )
+    return features.where("is_valid").join(where, "id").select(*features.columns, "block_id", "page_id", "track_id", "slot", "x", "y", "node", "pivot")
+
+
+def layout(features: DataFrame, config: SpatialConfig | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(laid-out features with block_id, page_id, track_id, slot; blocks)."""
+    every = placed(features, config, n)
+    return every.drop("x", "y", "node", "pivot"), kd_blocks(every)
 
 
 def pages_of(laid: DataFrame, config: SpatialConfig | None = None) -> DataFrame:
@@ -237,6 +285,13 @@ def find_leaf(blocks: DataFrame, x: float, y: float) -> DataFrame:
     return blocks.where(b.isNotNull()).withColumn("gap2", gx * gx + gy * gy).orderBy("gap2", "block_id").limit(1)
 
 
+def track_distance(tracks: DataFrame, a: int, b: int) -> DataFrame:
+    """Distance between the centroids of two tracks; no row if one of them is missing."""
+    one = tracks.where(F.col("track_id") == a).select(F.lit(1).alias("k"), F.col("centroid").alias("ca"))
+    other = tracks.where(F.col("track_id") == b).select(F.lit(1).alias("k"), F.col("centroid").alias("cb"))
+    return one.join(other, "k").select(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), distance("ca", "cb").alias("distance"))
+
+
 def verify_pages(laid: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages whose stored checksum differs from that of their features."""
     now = laid.groupBy("page_id").agg(F.bit_xor(F.xxhash64("id", "centroid")).alias("now"))

@@ -13,6 +13,7 @@ from ..functions.geometry import derive
 from ..operators import adjacency, join, layout, query, stats
 from ..schema import FEATURE, RAW_FEATURE, AlreadyExists, InvalidArgument, NotFound, SpatialConfig
 from ..sources import geojson, store, wkt
+from ..sources.shared import settled
 
 Box = query.Box
 
@@ -27,7 +28,7 @@ class SpatialFrame:
     def __init__(self, spark: SparkSession, config: SpatialConfig | None = None, features: DataFrame | None = None):
         self.spark, self.config = spark, config or SpatialConfig()
         self._features = spark.createDataFrame([], FEATURE) if features is None else features
-        self._laid = self._pages = self._blocks = None
+        self._placed = self._laid = self._pages = self._blocks = None
 
     # Tables ---------------------------------------------------------------------------
 
@@ -43,17 +44,17 @@ class SpatialFrame:
 
     def release(self) -> None:
         """Drops what ``build`` has kept in memory."""
-        for df in (self._laid, self._pages, self._blocks):
+        for df in (self._placed, self._pages, self._blocks):
             if df is not None:
                 df.unpersist()
-        self._laid = self._pages = self._blocks = None
+        self._placed = self._laid = self._pages = self._blocks = None
 
     def build(self) -> SpatialFrame:
         """Lays the features out; later calls use this until something changes."""
         self.release()
-        laid, blocks = layout.layout(self._features, self.config)
-        self._laid = laid.persist()
-        self._blocks = blocks.persist()
+        self._placed = layout.placed(self._features, self.config).persist()
+        self._laid = self._placed.drop("x", "y", "node", "pivot")
+        self._blocks = layout.kd_blocks(self._placed).persist()
         self._pages = layout.pages_of(self._laid, self.config).persist()
         return self
 
@@ -258,7 +259,7 @@ class SpatialFrame:
         laid = self.laid
         rest = self._features.where(~F.col("is_valid"))
         for name in ("block_id", "page_id", "track_id", "slot"):
-            rest = rest.withColumn(name, F.lit(0).cast("int"))
+            rest = rest.withColumn(name, F.lit(0).cast("int" if name == "slot" else "long"))
         store.save(path, laid.unionByName(rest.select(laid.columns)), self.pages, self.blocks, self.config, partition_tracks)
 
     def sync(self) -> None:
@@ -277,10 +278,14 @@ class SpatialFrame:
 
 
 def number_rows(rows: DataFrame, start: int) -> DataFrame:
-    """Gapless ids from ``start``: places in partitions plus the sizes of those before, without a global window."""
-    placed = rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    """Gapless ids from ``start``: places in partitions plus the sizes of those before, without a global window.
+
+    The rows are written first, so that every use of the result sees the same partitions and the same ids.
+    """
+    placed = settled(rows, "rows").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     # One row per partition.
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = placed.join(F.broadcast(before), "_part")
-    return numbered.withColumn("id", F.lit(start).cast("long") + F.col("_base") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_n", "_first", "_base")
+    numbered = numbered.withColumn("id", F.lit(start).cast("long") + F.col("_base") + F.col("_row") - F.col("_first"))
+    return settled(numbered.drop("_part", "_row", "_n", "_first", "_base"), "numbered")

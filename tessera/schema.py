@@ -46,15 +46,17 @@ class SpatialConfig:
 
     block_size: most features of a block, beside split points; page_capacity: most
     features of a page; pages_per_track: pages that share a track; exact_rows: nodes of
-    more rows find their median by counting, so that no window holds the whole
-    table; strategy: order of pages in a block (zorder or sequential).
+    more rows find their median by counting, those of fewer are split in one task (results do
+    not depend on it); strategy: order of pages in a block (zorder or sequential);
+    allocation: the track that a new page goes to (nearest, best_fit, sequential or new).
     """
 
     block_size: int = 1024
     page_capacity: int = 64
     pages_per_track: int = 16
-    exact_rows: int = 4_000_000
+    exact_rows: int = 1_000_000
     strategy: str = "zorder"
+    allocation: str = "nearest"
     persist: bool = False
     data_path: str | None = None
 
@@ -63,3 +65,5 @@ class SpatialConfig:
             raise InvalidArgument("sizes must be positive")
         if self.strategy not in ("zorder", "sequential"):
             raise InvalidArgument(f"unknown strategy {self.strategy!r}")
+        if self.allocation not in ("nearest", "best_fit", "sequential", "new"):
+            raise InvalidArgument(f"unknown allocation {self.allocation!r}")
