@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixtures as X
 from .functions import geometry as G, mbr as R
-from .operators import adjacency, join, layout, query, stats
+from .operators import adjacency, join, layout, placement, quadtree, query, stats
+from .plans.catalog import Catalog
 from .plans.frame import SpatialFrame
 from .schema import SpatialConfig
-from .sources import geojson, wkt
+from .sources import geojson, store, synthetic, wkt
 from .sources.shared import shared_folder
+from .streaming import ingest
 
 _DAY = lambda y, m, d: float((datetime.date(y, m, d) - datetime.date(1970, 1, 1)).days)
 
@@ -494,6 +496,271 @@ def save_load_roundtrip(spark, sf):
     return _id_xy(SpatialFrame.load(spark, path).features)
 
 
+# Pages and tracks one at a time, trees, storage and the service --------------------------------
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT page_id, object_count FROM pages WHERE {_meets(SMALL_BOX)}")
+def pages_in_region(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return layout.pages_in_region(found, SMALL_BOX).select("page_id", "object_count")
+
+
+_TRACKS = f"SELECT track_id, count(*) AS page_count, CAST(sum(object_count) AS BIGINT) AS object_count, min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y, avg(cx) AS cx, avg(cy) AS cy, count(*) < {CONFIG.pages_per_track} AS has_space FROM pages GROUP BY track_id"
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT track_id, page_count FROM ({_TRACKS}) WHERE {_meets(SMALL_BOX)}")
+def tracks_in_region(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return layout.tracks_in_region(layout.tracks_of(found, CONFIG), SMALL_BOX).select("track_id", "page_count")
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT page_id, object_count >= {CONFIG.page_capacity} AS is_full, round(object_count / {CONFIG.page_capacity}.0, 6) AS utilization FROM pages")
+def full_pages(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return found.select("page_id", "is_full", F.round("utilization", 6).alias("utilization"))
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT track_id, has_space FROM ({_TRACKS})")
+def track_space(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return layout.tracks_of(found, CONFIG).select("track_id", "has_space")
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT page_id FROM pages WHERE page_id % 5 = 0")
+def verify_pages(spark, sf):
+    """Finds each page that was tampered with: a feature of every fifth page moves."""
+    laid, _, found = _layout(spark, sf)
+    bad = laid.withColumn("centroid", F.when((F.col("page_id") % 5 == 0) & (F.col("slot") == 0), R.point(F.col("centroid.x") + 1.0, F.col("centroid.y"))).otherwise(F.col("centroid")))
+    return layout.verify_pages(bad, found).select("page_id")
+
+
+_GAP = "greatest(min_x - {x}, {x} - max_x, 0) * greatest(min_x - {x}, {x} - max_x, 0) + greatest(min_y - {y}, {y} - max_y, 0) * greatest(min_y - {y}, {y} - max_y, 0)"
+
+
+@_query(f"WITH RECURSIVE {_KD} SELECT block_id FROM blocks ORDER BY {_GAP.format(x=600000.0, y=9000.0)}, block_id LIMIT 1")
+def find_leaf(spark, sf):
+    _, blocks, _ = _layout(spark, sf)
+    return layout.find_leaf(blocks, 600000.0, 9000.0).select("block_id")
+
+
+@_query(f"WITH RECURSIVE {_KD} SELECT CAST(max(length(node)) AS INTEGER) AS depth, CAST(ceil(log2(count(*) + 1)) AS INTEGER) AS optimal, max(length(node)) <= 2 * greatest(1, ceil(log2(count(*) + 1))) AS is_balanced FROM blocks")
+def kd_balance(spark, sf):
+    _, blocks, _ = _layout(spark, sf)
+    return stats.balance(blocks)
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT count(*) AS pages_total, count(*) FILTER ({_meets(SMALL_BOX)}) AS pages_read, CAST(coalesce(sum(object_count) FILTER ({_meets(SMALL_BOX)}), 0) AS BIGINT) AS objects_read, round(1 - count(*) FILTER ({_meets(SMALL_BOX)}) / count(*), 6) AS skipped_share FROM pages")
+def io_stats(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return stats.io_stats(found, SMALL_BOX).withColumn("skipped_share", F.round("skipped_share", 6))
+
+
+@_query(f"WITH RECURSIVE {_PAGE}, t AS ({_TRACKS}) SELECT a.track_id AS a, b.track_id AS b, round(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)), 4) AS distance FROM t a, t b WHERE a.track_id = 1 AND b.track_id = 2")
+def track_distance(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return layout.track_distance(layout.tracks_of(found, CONFIG), 1, 2).withColumn("distance", F.round("distance", 4))
+
+
+_TRACK_COST = {
+    "nearest": f"SELECT 'nearest' AS strategy, track_id FROM t WHERE has_space ORDER BY sqrt((cx - {AT[0]}) * (cx - {AT[0]}) + (cy - {AT[1]}) * (cy - {AT[1]})), track_id LIMIT 1",
+    "best_fit": f"SELECT 'best_fit' AS strategy, track_id FROM t WHERE has_space ORDER BY (greatest(max_x, {AT[0]}) - least(min_x, {AT[0]})) * (greatest(max_y, {AT[1]}) - least(min_y, {AT[1]})) - (max_x - min_x) * (max_y - min_y), track_id LIMIT 1",
+    "sequential": "SELECT 'sequential' AS strategy, track_id FROM (SELECT * FROM t ORDER BY track_id DESC LIMIT 1) WHERE has_space",
+    "new": "SELECT 'new' AS strategy, track_id FROM t LIMIT 0",
+}
+
+
+@_query(f"WITH RECURSIVE {_PAGE}, t AS ({_TRACKS}) " + " UNION ALL ".join(f"SELECT * FROM ({q})" for q in _TRACK_COST.values()))
+def best_tracks(spark, sf):
+    _, _, found = _layout(spark, sf)
+    tracks = layout.tracks_of(found, CONFIG)
+    parts = [placement.best_track(tracks, *AT, k).select(F.lit(k).alias("strategy"), "track_id") for k in _TRACK_COST]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT max(page_id) + 1 AS page_id, max(track_id) + 1 AS track_id, true AS new_track FROM pages")
+def allocate_page(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return placement.allocate_page(found, layout.tracks_of(found, CONFIG), *AT, "new")
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT page_id FROM (SELECT * FROM pages ORDER BY (cx - {AT[0]}) * (cx - {AT[0]}) + (cy - {AT[1]}) * (cy - {AT[1]}), page_id LIMIT 1) WHERE object_count < {CONFIG.page_capacity}")
+def page_for_insert(spark, sf):
+    _, _, found = _layout(spark, sf)
+    return placement.page_for(found, *AT).select("page_id")
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT page_id, object_count FROM pages WHERE page_id <> 1")
+def free_page(spark, sf):
+    laid, _, _ = _layout(spark, sf)
+    return layout.pages_of(placement.free_page(laid, 1), CONFIG).select("page_id", "object_count")
+
+
+@_query(f"WITH RECURSIVE {_PAGE} SELECT track_id, count(*) AS page_count FROM (SELECT CASE WHEN page_id = 1 THEN 999999 ELSE track_id END AS track_id FROM pages) GROUP BY track_id")
+def move_page(spark, sf):
+    laid, _, _ = _layout(spark, sf)
+    return layout.tracks_of(layout.pages_of(placement.move_page(laid, 1, 999999), CONFIG), CONFIG).select("track_id", "page_count")
+
+
+@_query(f"WITH RECURSIVE {_KD} SELECT (SELECT count(*) FROM kd WHERE lvl = 0) + (SELECT count(*) FROM customer) AS n_objects, true AS fits, (SELECT count(*) FROM kd WHERE lvl = 0) AS unmoved")
+def place_features(spark, sf):
+    """Customers placed among the orders: all are there, no page is overfull, and no order has moved."""
+    laid, _, found = _layout(spark, sf)
+    more = X.customer_points(spark, sf)
+    grown = placement.place_features(laid, found, G.point_features(more, F.col("id") + 100000000, F.col("point.x"), F.col("point.y") + 9000.0), CONFIG)
+    old = laid.select("id", F.col("page_id").alias("was"), F.col("slot").alias("at"))
+    both = grown.join(old, "id", "left").withColumn("same", (F.col("was") == F.col("page_id")) & (F.col("at") == F.col("slot")))
+    sizes = both.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.count_if("same").alias("same"))
+    fits = (F.max("n") <= CONFIG.page_capacity) & (F.max("last") < CONFIG.page_capacity) & F.every(F.col("n") == F.col("slots"))
+    return sizes.agg(F.sum("n").alias("n_objects"), fits.alias("fits"), F.sum("same").alias("unmoved"))
+
+
+_QT_BOX = (0.0, 0.0, 150.0, 500.0)
+_QT = f"""c AS (
+  SELECT d AS depth, cx >> (20 - d) AS cx, cy >> (20 - d) AS cy, count(*) AS items FROM (
+    SELECT CAST(greatest(0, least(1048575, floor(x / 150.0 * 1048576))) AS BIGINT) AS cx, CAST(greatest(0, least(1048575, floor(y / 500.0 * 1048576))) AS BIGINT) AS cy FROM ({_EVENTS})
+  ), (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS d) GROUP BY ALL
+)"""
+
+
+@_query(f"WITH {_QT} SELECT CAST(sum(items) FILTER (depth = 0) AS BIGINT) AS total_items, 1 + 4 * count(*) FILTER (items > 8 AND depth < 20) AS total_nodes, 1 + 3 * count(*) FILTER (items > 8 AND depth < 20) AS leaf_count, coalesce(max(depth + 1) FILTER (items > 8 AND depth < 20), 0) AS max_depth FROM c")
+def quadtree_stats(spark, sf):
+    return quadtree.tree_stats(X.event_points(spark, sf), _QT_BOX)
+
+
+@_query(f"WITH {_QT} SELECT a.depth, a.cx, a.cy, a.items FROM c a LEFT JOIN c p ON p.depth = a.depth - 1 AND p.cx = a.cx >> 1 AND p.cy = a.cy >> 1 WHERE (a.items <= 8 OR a.depth = 20) AND (a.depth = 0 OR p.items > 8)")
+def quadtree_leaves(spark, sf):
+    return quadtree.leaves(X.event_points(spark, sf), _QT_BOX)
+
+
+@_query(f"SELECT id, CASE WHEN min_x < 75 THEN 0.0 ELSE 75.0 END AS qx FROM (SELECT id, x AS min_x, y FROM ({_EVENTS}))")
+def quadrant_bounds(spark, sf):
+    e = X.event_points(spark, sf)
+    whole = R.mbr(0.0, 0.0, 150.0, 500.0)
+    low = F.when(F.col("point.x") < 75, R.quadrant_bounds(whole, "SW")).otherwise(R.quadrant_bounds(whole, "SE"))
+    return e.select("id", low["min_x"].alias("qx"))
+
+
+@_query(f"SELECT id, least(min_x, 1000.0) AS min_x, least(min_y, 25.0) AS min_y, greatest(max_x, 1000.0) AS max_x, greatest(max_y, 25.0) AS max_y FROM ({_BOXES})")
+def mbr_expand_point(spark, sf):
+    p = X.part_boxes(spark, sf).select("id", R.expand_point("mbr", F.lit(1000.0), F.lit(25.0)).alias("m"))
+    return p.select("id", *_flat("m"))
+
+
+@_query(f"SELECT id, count(*) + 1 AS n_points FROM ({_VERTICES}) GROUP BY id")
+def line_add_point(spark, sf):
+    longer = G.line_add_point("line", R.point(F.lit(0.0), F.lit(0.0)))
+    return X.order_lines(spark, sf).select("id", F.size(longer).cast("long").alias("n_points"))
+
+
+@_query(f"SELECT id, round(w * h * CASE WHEN id % 10 = 0 THEN 0.75 ELSE 1 END - w * h / 16, 4) AS area FROM ({_PARTBOX})")
+def polygon_add_hole(spark, sf):
+    m = F.col("mbr")
+    w, h = (m["max_x"] - m["min_x"]) / 4, (m["max_y"] - m["min_y"]) / 4
+    ring = F.array(R.point(m["min_x"], m["min_y"]), R.point(m["min_x"] + w, m["min_y"]), R.point(m["min_x"] + w, m["min_y"] + h), R.point(m["min_x"], m["min_y"] + h), R.point(m["min_x"], m["min_y"]))
+    return X.part_boxes(spark, sf).select("id", F.round(G.polygon_area(G.polygon_add_hole("polygon", ring)), 4).alias("area"))
+
+
+@_query("SELECT r_regionkey AS k, format('{:,}', CAST(r_regionkey AS BIGINT) * 1234567) AS text FROM region")
+def format_number(spark, sf):
+    from .functions.json import thousands
+
+    r = X.table(spark, sf, "region")
+    return r.select(F.col("r_regionkey").alias("k"), thousands(F.col("r_regionkey").cast("long") * 1234567).alias("text"))
+
+
+@_query(f"SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 2 END AS line, CASE WHEN c_custkey % 3 = 0 THEN 8 END AS \"column\" FROM customer")
+def json_error_position(spark, sf):
+    c = X.customer_points(spark, sf)
+    text = F.when(F.col("id") % 3 == 0, F.lit('{"a":\n [1, 2 }')).otherwise(F.lit('{"a": 1}'))
+    return c.select("id", geojson.parse_error(text).alias("e")).select("id", "e.line", "e.column")
+
+
+@_query(f"SELECT round(min(x), 2) AS min_x, min(y) AS min_y, round(max(x), 2) AS max_x, max(y) AS max_y, count(*) AS n_features FROM ({_CUSTOMERS})")
+def collection_bounds(spark, sf):
+    texts = geojson.collection_text(X.customer_points(spark, sf))
+    found = geojson.collection_bounds(texts)
+    return found.select(F.round("bounds.min_x", 2).alias("min_x"), F.col("bounds.min_y").alias("min_y"), F.round("bounds.max_x", 2).alias("max_x"), F.col("bounds.max_y").alias("max_y"), "n_features")
+
+
+@_query(f"SELECT id, round(x, 2) AS x, y FROM ({_CUSTOMERS})")
+def geojson_files(spark, sf):
+    path = _folder(spark)
+    geojson.write_geojson(X.customer_points(spark, sf), path)
+    return geojson.read_geojson(spark, path, lines=True).select("id", F.round("point.x", 2).alias("x"), F.col("point.y").alias("y"))
+
+
+@_query(f"SELECT id, round(x, 2) AS x, y FROM ({_CUSTOMERS})")
+def geojson_stream(spark, sf):
+    path = _folder(spark)
+    geojson.write_geojson(X.customer_points(spark, sf), f"{path}/in")
+    ingest.append_features(ingest.stream_features(spark, f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id", F.round("point.x", 2).alias("x"), F.col("point.y").alias("y"))
+
+
+@_query("SELECT 'LINESTRING' AS geom_type, 30 AS n_objects UNION ALL SELECT 'POLYGON', 50 UNION ALL SELECT 'POINT', 20")
+def made_city(spark, sf):
+    return stats.count_by_type(synthetic.city(spark, 30, 50, 20)).withColumn("n_objects", F.col("n_objects").cast("int"))
+
+
+@_query("SELECT 'POINT' AS geom_type, count(*) AS n_objects FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'LINESTRING', count(*) FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)")
+def map_extract(spark, sf):
+    """Customers as nodes, tagged where even; nations as ways through their customers."""
+    c = X.table(spark, sf, "customer")
+    none = F.create_map().cast("map<string,string>")
+    nodes = c.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").cast("double").alias("lon"), F.col("c_nationkey").cast("double").alias("lat"), F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("shop"), F.lit("x"))).otherwise(none).alias("tags"))
+    ways = c.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.sort_array(F.collect_list(F.col("c_custkey").cast("long"))).alias("nodes")).withColumn("tags", F.create_map(F.lit("highway"), F.lit("road")))
+    return stats.count_by_type(synthetic.map_features(nodes, ways))
+
+
+@_query("SELECT true AS is_there, false AS is_elsewhere, true AS has_bytes, 0 AS n_problems")
+def stored_index(spark, sf):
+    path = _folder(spark)
+    SpatialFrame(spark, CONFIG, X.customer_points(spark, sf)).save(path)
+    row = (store.exists(spark, path), store.exists(spark, path + "x"), store.stored_bytes(spark, path) > 0, len(store.validate(spark, path)))
+    return spark.createDataFrame([row], "is_there boolean, is_elsewhere boolean, has_bytes boolean, n_problems int")
+
+
+@_query(f"SELECT id, x, y FROM ({_CUSTOMERS}) WHERE id % 2 = 0")
+def saved_again(spark, sf):
+    """A frame saved over the version that it was loaded from."""
+    path = _folder(spark)
+    SpatialFrame(spark, CONFIG, X.customer_points(spark, sf)).save(path)
+    frame = SpatialFrame.load(spark, path)
+    frame.remove_many(frame.features.where("id % 2 = 1"))
+    frame.save(path)
+    return _id_xy(SpatialFrame.load(spark, path).features)
+
+
+@_query(
+    """SELECT * FROM (VALUES ('count', 7.0), ('in_box', 3.0), ('at_point', 1.0), ('nearest', 1.0), ('adjacent', 3.0), ('pages', 1.0), ('total_objects', 6.0),
+  ('min_x', -100.0), ('max_y', 150.0), ('got', 10.0), ('removed', 1.0), ('missing', 0.0), ('indexes', 2.0), ('loaded', 6.0)) t(what, value)"""
+)
+def service_calls(spark, sf):
+    """Every call of a catalogue of indexes, on a few made features."""
+    path, c = _folder(spark), Catalog(spark)
+    c.create_index("a", CONFIG)
+    c.create_index("gone")
+    c.destroy_index("gone")
+    geojson.write_geojson(X.customer_points(spark, sf).where("id = 10").limit(1).withColumn("point", R.point(F.lit(1.0), F.lit(2.0))), f"{path}/in")
+    c.load_geojson_string("a", '{"type":"Feature","id":10,"properties":{},"geometry":{"type":"Point","coordinates":[10,20]}}')
+    c.load_wkt("a", "POINT (-100 -50)")
+    c.load_wkt("a", "LINESTRING (200 150, 201 140)")
+    one = c.insert_point("a", 5.0, 5.0)
+    c.insert_linestring("a", [(0.0, 0.0), (4.0, 4.0)])
+    c.insert_polygon("a", [(1.0, 1.0), (9.0, 1.0), (9.0, 9.0), (1.0, 9.0)])
+    c.insert_point("a", 90.0, 90.0)
+    values = {"count": c.get_count("a"), "in_box": c.query_range("a", (0.0, 0.0, 9.0, 9.0)).count(), "got": c.get_object("a", 10).id}
+    values |= {"at_point": c.query_point("a", 2.0, 8.0).count(), "nearest": float(c.query_knn("a", 90.0, 91.0, 1).first().point.x == 90.0)}
+    values |= {"min_x": c.get_bounds("a")[0], "max_y": c.get_bounds("a")[3], "removed": c.remove("a", one + 3), "missing": c.remove("a", 123456)}
+    c.build("a")
+    values |= {"adjacent": c.query_adjacent("a", (0.0, 0.0, 9.0, 9.0)).count(), "pages": c.find_adjacent_pages("a", (0.0, 0.0, 9.0, 9.0)).count(), "total_objects": c.get_stats("a").total_objects}
+    c.optimize("a")
+    c.save("a", f"{path}/index")
+    c.load("b", f"{path}/index")
+    values |= {"loaded": c.get_count("b"), "indexes": len(c.list_indexes())}
+    return spark.createDataFrame([(k, float(v)) for k, v in values.items()], "what string, value double")
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -36,6 +36,19 @@ def index_stats(laid: DataFrame, pages: DataFrame, blocks: DataFrame, config: Sp
     return per_page.crossJoin(blocks.agg(F.count(F.lit(1)).alias("total_blocks")))
 
 
+def balance(blocks: DataFrame) -> DataFrame:
+    """One row: the longest path of splits, the best possible for so many blocks, and whether it is within twice that."""
+    found = blocks.agg(F.coalesce(F.max(F.length("node")), F.lit(0)).alias("depth"), F.ceil(F.log2(F.count(F.lit(1)) + 1)).cast("int").alias("optimal"))
+    return found.withColumn("is_balanced", F.col("depth") <= 2 * F.greatest(F.col("optimal"), F.lit(1)))
+
+
+def io_stats(pages: DataFrame, box) -> DataFrame:
+    """One row on a box query: pages in all, pages read, features read, and the share of pages that are not read."""
+    hit = R.overlaps_box("extent", box)
+    found = pages.agg(F.count(F.lit(1)).alias("pages_total"), F.count_if(hit).alias("pages_read"), F.coalesce(F.sum(F.when(hit, F.col("object_count"))), F.lit(0)).alias("objects_read"))
+    return found.withColumn("skipped_share", F.coalesce(F.try_divide(F.col("pages_total") - F.col("pages_read"), F.col("pages_total").cast("double")), F.lit(0.0)))
+
+
 def quad_stats(features: DataFrame, box, depth: int) -> DataFrame:
     """Cells of a quadtree level that hold centroids, and the most in one."""
     c = F.col("centroid")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import mbr as R
 from ..functions.geometry import derive
-from ..operators import adjacency, join, layout, query, stats
+from ..operators import adjacency, join, layout, placement, query, stats
 from ..schema import FEATURE, RAW_FEATURE, AlreadyExists, InvalidArgument, NotFound, SpatialConfig
 from ..sources import geojson, store, wkt
 from ..sources.shared import settled
@@ -254,8 +254,28 @@ class SpatialFrame:
 
     # Storage --------------------------------------------------------------------------
 
+    def place(self, rows: DataFrame) -> int:
+        """Inserts rows with ids into pages as they are, without a new layout: each to the page nearest to it, or to new pages.
+
+        Returns the number of rows; ids that are there already are an error.
+        """
+        built = self._built()
+        laid, pages, blocks = built._laid, built._pages, built._blocks
+        if "mbr" not in rows.columns:
+            rows = derive(rows)
+        rows = rows.select(self._features.columns)
+        if not rows.join(self._features.select("id"), "id", "left_semi").isEmpty():
+            raise AlreadyExists("an id to place")
+        grown = settled(placement.place_features(laid, pages, rows, self.config), "placed")
+        n = rows.count()
+        features = self._features.unionByName(rows)
+        self._set(features)
+        self._laid, self._blocks = grown, blocks
+        self._pages = layout.pages_of(grown, self.config)
+        return n
+
     def save(self, path: str, partition_tracks: bool = False) -> None:
-        """A whole snapshot; invalid features are kept under block 0."""
+        """A whole snapshot as a new version; invalid features are kept under block 0."""
         laid = self.laid
         rest = self._features.where(~F.col("is_valid"))
         for name in ("block_id", "page_id", "track_id", "slot"):

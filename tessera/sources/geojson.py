@@ -7,8 +7,13 @@ error, by ``mode``.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions import mbr as R
 from ..functions.geometry import derive, let
 from ..schema import LINE, POINT, POLYGON, InvalidArgument, ParseError
 
@@ -141,6 +146,28 @@ def from_geojson_string(spark: SparkSession, text: str, **options) -> DataFrame:
     return from_geojson_strings(docs, **options)
 
 
+def collection_bounds(docs: DataFrame, text: str = "value") -> DataFrame:
+    """One row: the rectangle (bounds) around all features of the documents, null without any, and their number."""
+    return from_geojson_strings(docs, text).agg(R.bounds_of("mbr").alias("bounds"), F.count(F.lit(1)).alias("n_features"))
+
+
+def parse_error(text: Column) -> Column:
+    """Struct line, column, message: where a text stops being JSON, from 1, and why; all null for a text that is JSON."""
+
+    @F.pandas_udf(StructType([StructField("line", IntegerType()), StructField("column", IntegerType()), StructField("message", StringType())]))
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                json.loads(t if t is not None else "")
+                rows.append((None, None, None))
+            except json.JSONDecodeError as e:
+                rows.append((e.lineno, e.colno, e.msg))
+        return pd.DataFrame(rows, columns=["line", "column", "message"]).astype({"line": "Int32", "column": "Int32"})
+
+    return found(text)
+
+
 def _num(v: Column, decimals: int | None) -> Column:
     return v.cast("string") if decimals is None else F.format_string(f"%.{decimals}f", v)
 
