@@ -7,11 +7,13 @@ template is compiled to an automaton over words and accepts a place in a text
 only if all its mandatory words stand there exactly and in order.  All templates
 run in one pass over a text's words, started only where a template can begin.
 
-Beside the templates there are base phrases: their places are counted wherever
+Whole licenses and license headers are templates, with titles and copyright lines optional and
+names replaceable; a text that leaves out or changes a mandatory word is not accepted.  Short notices
+that name a license are templates too.  Beside the templates there are base phrases: their places are counted wherever
 their words stand consecutively.
 
-Defined results: a null or empty text has no words, no places and score 0; ties do
-not arise, as labels are sorted and distinct; repeated rows are answered each;
+Defined results: a null or empty text has no words, no places and score 0; a very long text is
+walked whole; ties do not arise, as labels are sorted and distinct; repeated rows are answered each;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -29,8 +31,44 @@ from .textcore import ALNUM_WORDS, Words, slices
 #: Phrases whose places are counted, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices by label, in our own wording of the markup.
-TEMPLATES = {
+#: The wording of public licenses, with what may be left out and what is replaced by names.
+_COPYRIGHT = "<<beginOptional>>copyright <<var;name=copyright;match=24>><<endOptional>>"
+_BSD_START = """redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<beginOptional>>1.<<endOptional>> redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>>2.<<endOptional>> redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_END = """this software is provided by <<var;name=holder;match=10>> "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.
+in no event shall <<var;name=holder;match=10>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""
+_GPL = """this <<var;name=what;match=3>> is free software <<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation <<beginOptional>>,<<endOptional>> {version}
+this <<var;name=what;match=3>> is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details.
+<<beginOptional>>you should have received a copy of the gnu general public license along with this <<var;name=what;match=3>> if not, see <<var;name=where;match=8>><<endOptional>>"""
+
+#: Whole licenses, or the headers that stand for them, by label.
+LICENSES = {
+    "mit-license": f"""<<beginOptional>>the <<endOptional>><<beginOptional>>mit license<<endOptional>> <<beginOptional>>mit<<endOptional>> {_COPYRIGHT}
+permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=what;match=6>> (the "software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions:
+the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software.
+the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.
+in no event shall <<var;name=holder;match=10>> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.""",
+    "isc": f"""<<beginOptional>>isc license<<endOptional>> {_COPYRIGHT}
+permission to use, copy, modify, and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+the software is provided "as is" and <<var;name=holder;match=8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.
+in no event shall <<var;name=holder;match=8>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.""",
+    "bsd-2-clause": f"{_COPYRIGHT} {_BSD_START} {_BSD_END}",
+    "bsd-3-clause": f"""{_COPYRIGHT} {_BSD_START}
+<<beginOptional>>3.<<endOptional>> neither the name of <<var;name=holder;match=10>> nor the names of <<var;name=its;match=3>> contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}""",
+    "zlib": f"""{_COPYRIGHT} this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software.
+permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+<<beginOptional>>1.<<endOptional>> the origin of this software must not be misrepresented; you must not claim that you wrote the original software. if you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+<<beginOptional>>2.<<endOptional>> altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+<<beginOptional>>3.<<endOptional>> this notice may not be removed or altered from any source distribution.""",
+    "apache-2.0-header": f"""{_COPYRIGHT} licensed under the apache license, version 2.0 (the "license"); you may not use this <<var;name=what;match=2>> except in compliance with the license. you may obtain a copy of the license at <<var;name=where;match=10>>
+unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language governing permissions and limitations under the license.""",
+    "gpl-2.0-header": _GPL.format(version="<<beginOptional>>either<<endOptional>> version 2 of the license <<beginOptional>>, or (at your option) any later version.<<endOptional>>"),
+    "gpl-3.0-header": _GPL.format(version="<<beginOptional>>either<<endOptional>> version 3 of the license <<beginOptional>>, or (at your option) any later version.<<endOptional>>"),
+}
+
+#: Notices that name a license, by label.
+NOTICES = {
     "mit-notice": "<<beginOptional>>this <<var;name=what;match=2>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
     "apache-2.0": "<<beginOptional>>this <<var;name=what;match=2>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> apache license <<beginOptional>>version<<endOptional>> 2 0",
     "gpl-notice": "<<beginOptional>>this <<var;name=what;match=2>> is<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> gnu general public license",
@@ -39,11 +77,13 @@ TEMPLATES = {
     "cc-by-4.0": "<<beginOptional>>licensed<<endOptional>> under <<beginOptional>>a<<endOptional>> cc by 4 0",
     "cc-by-nc-4.0": "<<beginOptional>>licensed<<endOptional>> under <<beginOptional>>a<<endOptional>> cc by nc 4 0",
     "cc-by-sa-4.0": "<<beginOptional>>licensed<<endOptional>> under <<beginOptional>>a<<endOptional>> cc by sa 4 0",
-    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<var;name=what;match=8>> to deal in the <<var;name=thing;match=2>> without restriction",
-    "all-rights-reserved": "<<beginOptional>>copyright <<var;name=owner;match=8>><<endOptional>> all rights reserved",
 }
 
+#: Wording that keeps rights and gives none.
+CLAIMS = {"all-rights-reserved": "<<beginOptional>>copyright <<var;name=owner;match=8>><<endOptional>> all rights reserved"}
+
+TEMPLATES = LICENSES | NOTICES | CLAIMS
+
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;[^<>]*)>>")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ANY = None
@@ -124,6 +164,22 @@ def compile_template(template: str) -> Automaton:
     return Automaton(steps, free, at, mandatory)
 
 
+def template_pattern(template: str) -> str:
+    """The same language as a regular expression over words that each have a space before them, for SQL and tests."""
+    out = []
+    for k, part in enumerate(_MARK.split(template)):
+        if k % 2 == 0:
+            out += [f" {w}" for w in _WORD.findall(part.lower())]
+        elif part == "beginOptional":
+            out.append("(?:")
+        elif part == "endOptional":
+            out.append(")?")
+        else:
+            most = int(re.search(r"match=(\d+)", part)[1]) if "match=" in part else 1
+            out.append(f"(?: [^ ]+){{0,{most}}}")
+    return "".join(out)
+
+
 class Scanner:
     """All templates and base phrases, ready to run over texts."""
 
@@ -183,7 +239,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """Per document: its words, base places, labels of phrases and templates, spans of templates, and a score.
 
-    score: 1 if some template is accepted, 0.5 for base phrases alone, else 0.
+    score: 1 if a license, or a notice that names one, is accepted, 0.5 for base phrases alone, 0.25 for a claim of rights
+    alone, else 0.
     """
 
     def run(batches):
@@ -199,7 +256,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, base:
                     base_labels = sorted({x for _, x in places})
                     labels = sorted({*base_labels, *(x for x, _, _ in found)})
                     starts = [i for i, _ in places]
-                    rows.append((len(places), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), 1.0 if found else 0.5 if places else 0.0, [{"label": a, "start": b, "end": c} for a, b, c in found]))
+                    rows.append((len(places), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), 1.0 if any(x not in CLAIMS for x, _, _ in found) else 0.5 if places else 0.25 if found else 0.0, [{"label": a, "start": b, "end": c} for a, b, c in found]))
                 cols = list(zip(*rows))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
                 arrays = [ids.slice(at, len(part)), pa.array(np.asarray(counts, np.int64)), *[pa.array(c, t) for c, t in zip(cols, kinds)]]
@@ -211,3 +268,32 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, base:
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     """License labels of every whole document."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+def _oracle_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    places = " || ".join(
+        "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" if k else f"w[i] = '{x}'" for k, x in enumerate(p.split())) + ")" for p in BASE
+    )
+    base = ", ".join(f"CASE WHEN regexp_matches(s, ' {p} ') THEN '{label}' END" for p, label in BASE.items())
+    found = {x: f"regexp_matches(s, '{template_pattern(t)} ')" for x, t in TEMPLATES.items()}
+    own = ", ".join(f"CASE WHEN {m} THEN '{x}' END" for x, m in found.items())
+    text = lambda v: f"array_to_string(list_sort(list_distinct(list_filter({v}, lambda x: x IS NOT NULL))), ',')"
+    claims = ", ".join(f"'{x}'" for x in CLAIMS)
+    return f"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{words}') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {places} AS places FROM t
+), l AS (
+  SELECT doc_id, w, places, [{base}] AS base, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM p
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  {text('base')} AS base_labels, {text('base || own')} AS labels,
+  CASE WHEN len(list_filter(own, lambda x: x NOT IN ({claims}))) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5 WHEN len(own) > 0 THEN 0.25 ELSE 0 END AS score
+FROM l"""
+
+
+#: The same by regular expressions, which the templates are.
+ORACLE_SQL = _oracle_sql()

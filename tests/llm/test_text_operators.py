@@ -58,6 +58,56 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def license_text(template, names="The Example Authors"):
+    """A template's wording with titles left out and names filled in."""
+    text = re.sub(r"<<var;[^<>]*>>", names, template)
+    while "<<beginOptional>>" in text:
+        text = re.sub(r"<<beginOptional>>((?!<<beginOptional>>).)*?<<endOptional>>", "", text, flags=re.S)
+    return text
+
+
+def test_whole_licenses(spark):
+    rng = random.Random(14)
+    good = {x: license_text(t, "it").upper() for x, t in licenses.LICENSES.items()}
+    texts, want = [], []
+    for label, text in good.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        texts.append(f"Preface.\n{text}\n\nprint(1)")
+        want.append(True)
+        for _ in range(6):  # a word left out, changed, or put in
+            k = rng.randrange(3, len(words) - 8)
+            how = rng.randrange(3)
+            changed = words[:k] + ([] if how == 0 else ["never"] if how == 1 else [words[k], "never"]) + words[k + 1 :]
+            texts.append(" ".join(changed))
+            want.append(bool(re.search(licenses.template_pattern(licenses.LICENSES[label]) + " ", " " + " ".join(changed).lower() + " ")))
+    assert sum(want) < len(good) + 12
+    labels = [x for x in good for _ in range(7)]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [labels[i] in rows[i].labels.split(",") for i in range(len(texts))] == want
+    start = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    altered = licenses.scan_licenses(docs(spark, [start + ". No one may sell or copy it. Warranty: full.", "All rights reserved.", start])).collect()
+    assert [(r.labels, r.score) for r in sorted(altered)] == [("", 0.0), ("all-rights-reserved", 0.25), ("", 0.0)]
+
+
+def test_automata_agree_with_regular_expressions():
+    rng = random.Random(13)
+    shapes = ["a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> <<var;name=x;match=2>> d", "<<beginOptional>>a <<var;name=x;match=3>><<endOptional>> b a", "a <<var;name=x;match=1>> <<beginOptional>>b<<endOptional>> a", *licenses.NOTICES.values()]
+    for shape in shapes:
+        automaton, pattern = licenses.compile_template(shape), re.compile(licenses.template_pattern(shape) + " ")
+        pool = sorted({*re.findall("[a-z0-9]+", re.sub("<<[^<>]*>>", "", shape)), "z"})
+        for _ in range(300):
+            words = [rng.choice(pool) for _ in range(rng.randrange(1, 14))]
+            if rng.random() < 0.5:
+                words += license_text(shape, "z").split()
+            assert any(automaton.match(words, i) > i for i in range(len(words))) == bool(pattern.search(" " + " ".join(words) + " "))
+
+
+def test_op2_matches_sql(spark, duck, sf_dir):
+    df = licenses.op2_license_scan(spark, sf_dir)
+    found = duck.execute(licenses.ORACLE_SQL)
+    assert [d[0] for d in found.description] == df.columns and sorted(map(tuple, df.collect())) == sorted(found.fetchall())
+
+
 def test_template_automata():
     a = licenses.compile_template("one <<beginOptional>>two <<beginOptional>>three<<endOptional>><<endOptional>> <<var;name=x;match=2>> four")
     accepts = lambda text: a.match(text.split(), 0) == len(text.split())
@@ -127,6 +177,12 @@ def test_hilbert_shards(spark):
     assert hilbert.hilbert_shards(df.limit(0), dims, ["doc_id"], 8).count() == 0
 
 
+def test_op3_matches_sql(spark, duck, sf_dir):
+    df = hilbert.op3_hilbert_sharding(spark, sf_dir)
+    found = duck.execute(hilbert.ORACLE_SQL)
+    assert [d[0] for d in found.description] == df.columns and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_op3_contract(spark, sf_dir):
     rows = hilbert.op3_hilbert_sharding(spark, sf_dir).collect()
     source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
