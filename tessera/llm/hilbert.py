@@ -10,7 +10,7 @@ counts per cell (a bounded number) are prefix-summed along the curve, a cell wit
 many rows is split by a hash into parts of about ``part_rows``, and rows are
 numbered inside a part.  The texts themselves are never shuffled.
 
-Defined results: a null text has size 1 and checksum 0; null dimensions come first;
+Defined results: a null text has size 1 and checksum 0; a very long text is a row like any other; null dimensions come first;
 repeated rows take slots of their own; an empty table gives no rows; extra columns
 are ignored.  Law ``rows``: shard counts differ by one at most.
 """
@@ -105,9 +105,10 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return F.get(place, F.lit(0))
 
 
-def hilbert_shards(df: DataFrame, dims: dict[str, Column], order: list[str], shards: int, bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
-    """Adds curve (long), shard (int) and slot (long); rows are ordered by curve, hash part and ``order``.
+def hilbert_shards(df: DataFrame, dims: dict[str, Column], order: list[str], shards: int, bits: int = BITS, part_rows: int = PART_ROWS, spread: Column | None = None) -> DataFrame:
+    """Adds curve (long), shard (int) and slot (long); rows are ordered by curve, part of their cell and ``order``.
 
+    ``spread``: a number that deals a cell's rows out to its parts, by default a hash of ``order``.
     ``df`` should hold only what the result needs.  Ties beyond ``order`` are rows
     that are equal in it, so that any of their orders gives the same table.
     """
@@ -119,7 +120,7 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], order: list[str], sha
     table = counts.withColumn("cell_start", F.coalesce(F.sum("cell_rows").over(along), F.lit(0))).withColumn("total", F.sum("cell_rows").over(Window.partitionBy()))
     match = reduce(lambda a, b: a & b, [F.col(f"d.{c}") == F.col(f"t.{c}") for c in coords])
     parts = F.ceil(F.col("cell_rows") / F.lit(part_rows)).cast("long")
-    rows = cells.alias("d").join(F.broadcast(table.alias("t")), match).select("d.*", "t.curve", "t.cell_start", "t.total", F.pmod(F.xxhash64(*order), parts).alias("part")).drop(*coords)
+    rows = cells.alias("d").join(F.broadcast(table.alias("t")), match).select("d.*", "t.curve", "t.cell_start", "t.total", F.pmod(F.xxhash64(*order) if spread is None else spread, parts).alias("part")).drop(*coords)
     sizes = rows.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("part_rows"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("curve", "part", F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("part_start"))
@@ -142,5 +143,77 @@ def op3_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
         "source",
     ).withColumn("size", F.col("bytes") + 1)
     dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.log2(F.col("size").cast("double")), "doc_id": F.col("doc_id")}
-    placed = hilbert_shards(docs, dims, ["doc_id", "size", "text_crc32"], SHARDS)
+    # Ids and checksums together spread copies and repeated ids alike.
+    placed = hilbert_shards(docs, dims, ["doc_id", "size", "text_crc32"], SHARDS, spread=F.coalesce("doc_id", F.lit(0)) + F.col("text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def _curve_sql(bits: int, names: list[str]) -> str:
+    """Skilling's transform of a table ``cells`` with coordinates x0, x1, ...: one nested query a step."""
+    n = len(names)
+    xs = [f"x{i}" for i in range(n)]
+    query = "SELECT " + ", ".join(f"{c} AS {x}, {c}" for c, x in zip(names, xs)) + " FROM cells"
+    keep = ", ".join(names)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            new = []
+            for j, x in enumerate(xs):
+                swap = f"xor({x}, xor(x0, x{i}) & {q - 1})" if i and j in (0, i) else x
+                new.append(f"CASE WHEN x{i} & {q} <> 0 THEN {f'xor({x}, {q - 1})' if j == 0 else x} ELSE {swap} END AS {x}")
+            query = f"SELECT {', '.join(new)}, {keep} FROM ({query})"
+    for i in range(1, n):
+        query = f"SELECT {', '.join(f'xor(x{i}, x{i - 1}) AS x{i}' if j == i else x for j, x in enumerate(xs))}, {keep} FROM ({query})"
+    turn = "0"
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        turn = f"xor({turn}, CASE WHEN x{n - 1} & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    place = " + ".join(f"((xor(x{i}, t) >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
+    return f"SELECT {keep}, CAST({place} AS BIGINT) AS curve FROM (SELECT *, {turn} AS t FROM ({query}))"
+
+
+def _oracle_sql() -> str:
+    side = 1 << BITS
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    code = lambda v, skip: f"CAST('0x' || rpad(substr(hex(encode(substr({v}, {skip} + 1, 4))), 1, 8), 8, '0') AS BIGINT)"
+    common = lambda c: f"(SELECT count(*) FROM (SELECT unnest(range(1, 1 + least(length(lo_{c}), length(hi_{c})))) AS k) WHERE substr(lo_{c}, 1, k) = substr(hi_{c}, 1, k))"
+    cell = lambda v, lo, hi: f"coalesce(CAST(greatest(0, least({side - 1}, floor(({v} - {lo}) / ({hi} - {lo}) * {side}.0))) AS INTEGER), 0)"
+    coords = []
+    for c in ("lang", "source"):
+        lo, hi = code(f"lo_{c}", f"skip_{c}"), code(f"hi_{c}", f"skip_{c}")
+        coords.append(f"CASE WHEN lo_{c} = hi_{c} OR lo_{c} IS NULL THEN 0 ELSE {cell(code(c, f'skip_{c}') + '::DOUBLE', lo + '::DOUBLE', f'(CASE WHEN {hi} = {lo} THEN {lo} + 1 ELSE {hi} END)::DOUBLE')} END AS q_{c}")
+    for c, v in (("size", "log2(size::DOUBLE)"), ("doc_id", "doc_id::DOUBLE")):
+        coords.append(f"CASE WHEN lo_{c} = hi_{c} OR lo_{c} IS NULL THEN 0 ELSE {cell(v, f'lo_{c}', f'hi_{c}')} END AS q_{c}")
+    names = ["q_lang", "q_source", "q_size", "q_doc_id"]
+    same = " AND ".join(f"d.{n} = c.{n}" for n in names)
+    return f"""
+WITH d AS (
+  SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents)
+), ends AS (
+  SELECT min(lang) AS lo_lang, max(lang) AS hi_lang, min(source) AS lo_source, max(source) AS hi_source,
+    min(log2(size::DOUBLE)) AS lo_size, max(log2(size::DOUBLE)) AS hi_size, min(doc_id)::DOUBLE AS lo_doc_id, max(doc_id)::DOUBLE AS hi_doc_id FROM d
+), cut AS (
+  SELECT *, {common('lang')} AS skip_lang, {common('source')} AS skip_source FROM ends
+), q AS (
+  SELECT doc_id, size, text_crc32, {', '.join(coords)} FROM d, cut
+), cells AS (
+  SELECT {', '.join(names)}, count(*) AS cell_rows FROM q GROUP BY ALL
+), curves AS (
+  {_curve_sql(BITS, names)}
+), parted AS (
+  SELECT q.doc_id, size, text_crc32, curve, (((coalesce(q.doc_id, 0) + text_crc32) % ceil(d.cell_rows / {PART_ROWS}.0)::BIGINT) + ceil(d.cell_rows / {PART_ROWS}.0)::BIGINT) % ceil(d.cell_rows / {PART_ROWS}.0)::BIGINT AS part
+  FROM q JOIN cells d USING ({', '.join(names)}) JOIN curves c ON {same}
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY curve, part, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank, count(*) OVER () AS total FROM parted
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * {SHARDS} // total AS INTEGER) AS shard,
+  CAST(rank - (rank * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve
+FROM ranked"""
+
+
+#: The same places by one sort; checksums byte by byte.
+ORACLE_SQL = _oracle_sql()
