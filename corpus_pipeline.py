@@ -1,7 +1,11 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
-returns a DataFrame; all but the last return the columns of documents.
+returns a DataFrame; all but the last return the columns of documents, and other columns are dropped.
+
+Defined results, in every stage: an empty table gives no rows; repeated rows share a fate, but for
+near-duplicates, where rows of equal ids stay or go together; very long texts are taken whole; a null in a column that a stage
+does not read is kept.  What each does with nulls and ties stands with it.
 """
 
 from __future__ import annotations
@@ -25,30 +29,43 @@ def _documents(df: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language; those without letters or of no clear language go.
 
-    Ids tell rows apart; rows of the same id share a fate only if their texts agree.
+    A null or empty text has no letters and goes; a null id or language is no matter; equal scores go to the language that
+    sorts first.
     """
     found = langid.classify(docs, langid.train(docs), keep=[c for c in COLUMNS if c not in ("doc_id", "text")])
     return _documents(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
 
 
 def without_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes cross-site boilerplate lines; documents stay, and n_chars follows the text."""
+    """Removes cross-site boilerplate lines; documents stay, and n_chars follows the text.
+
+    A null text stays null; null sources are one site; rows without an id keep their lines; the smallest id keeps a line, with all its rows.
+    """
     cleaned = line_dedup.dedup_lines(docs)
     return _documents(cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that of the smallest id.
+
+    Null and empty texts are in no group and stay; rows without an id stay.
+    """
     return _documents(minhash.keep_one(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that cover a benchmark item."""
+    """Drops documents that cover a benchmark item.
+
+    Null and empty texts stay; rows without an id are decided by their text; without a benchmark all stay.
+    """
     return _documents(tiling.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all remaining documents in sequences."""
+    """The places of all remaining documents in sequences.
+
+    A null text is packed as an empty one; ties of length go by id and piece.
+    """
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
