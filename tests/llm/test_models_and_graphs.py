@@ -234,6 +234,80 @@ def test_audit_counts_vectors(spark):
 # The pipeline -----------------------------------------------------------------------------------
 
 
+def clashing(spark, docs, rows):
+    """Rows in the columns of documents, with more columns whose names the operators use."""
+    df = spark.createDataFrame(rows, docs.schema)
+    more = {"id": 1, "component": "x", "score": 0.5, "held_out": True, "line": 3, "coverage": "y", "n_lines": 7, "row": 1, "piece": 2, "length": 9, "offset": 0, "grp": 1}
+    for name, value in more.items():
+        df = df.withColumn(name, F.lit(value))
+    return df
+
+
+def odd_rows():
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(60_000))
+    rows = [(None, None, None, None, None), (None, "", None, None, 0), (3, None, "en", "a", None), (4, "", "en", "a", 0), (5, "12 34", None, None, 5), (6, long, "en", "b", len(long)), (6, long, "en", "b", len(long))]
+    rows += [(7, "same words in a short text here", "en", "a", 31), (7, "same words in a short text here", "en", "a", 31), (8, "same words in a short text here", "de", "b", 31), (None, "same words in a short text here", "de", "b", 31)]
+    return rows + [(100 + i, f"a shared line\nown line {i}", "en", f"site{i}", 20) for i in range(12)] + [(None, "a shared line", "en", "other", 13)]
+
+
+def test_stages_meet_odd_rows(spark, sf_dir):
+    """Every stage by itself on nulls, empty and very long texts, ties, repeated rows, clashing columns and no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = odd_rows()
+    df = clashing(spark, docs, rows)
+    stages = dict(pipeline.STAGES)
+    for name, stage in stages.items():
+        empty = stage(spark, df.limit(0), sf_dir)
+        assert empty.count() == 0 and (name == "best_fit_packing" or empty.columns == list(pipeline.COLUMNS))
+    ids = lambda name: sorted((-1 if r.doc_id is None else r.doc_id for r in stages[name](spark, df, sf_dir).collect()))
+    every = sorted(-1 if r[0] is None else r[0] for r in rows)
+    # Language: what has no letters goes, the rest is learned from these rows and stays.
+    assert not {3, 4, 5} & set(ids("language_id")) and {6, 7, 8} <= set(ids("language_id"))
+    cleaned = stages["line_dedup"](spark, df, sf_dir).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in cleaned) == every
+    by_id = {r.doc_id: r for r in cleaned if r.doc_id}
+    assert by_id[100].text == "a shared line\nown line 0" and all((by_id[100 + i].text, by_id[100 + i].n_chars) == (f"own line {i}", len(f"own line {i}")) for i in range(1, 12))
+    assert "a shared line" in {r.text for r in cleaned if r.doc_id is None} and by_id[3].text is None and by_id[4].text == ""
+    gone = [8]
+    label, _ = components_by_force([r[1] for r in rows if r[0] is not None])
+    known = [r[0] for r in rows if r[0] is not None]
+    least = {k: min(known[i] for i, x in enumerate(label) if x == k) for k in set(label)}
+    want = [i for i, k in zip(known, label) if least[k] == i] + [-1] * sum(r[0] is None for r in rows)
+    assert ids("minhash_near_dedup") == sorted(want) and not set(gone) & set(want)
+    assert ids("benchmark_decontamination") == every
+    packed = stages["best_fit_packing"](spark, df, sf_dir).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows) and check_packing(packed) > 0
+
+
+def covered_by_force(texts, items, width=5, threshold=0.5):
+    """Which texts cover an item, with tiles by the slow way."""
+    from .test_text_operators import greedy_by_force
+
+    found = []
+    for text in texts:
+        w = words_of(text)
+        grams = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+        near = [x for x in items if any(tuple(x[i : i + width]) in grams for i in range(len(x) - width + 1))]
+        found.append(any(greedy_by_force(x, w, width) >= threshold * len(x) for x in near))
+    return found
+
+
+def test_pipeline_stages_by_force(spark, sf_dir):
+    """Line removal and decontamination of the pipeline against brute force, on its own input."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from .test_text_operators import lines_by_force
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    cleaned = {r.doc_id: r.text for r in pipeline.without_spread_lines(spark, docs, sf_dir).collect()}
+    assert cleaned == lines_by_force(rows, 10)
+    items = [words_of(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    short = [r for r in rows if len(words_of(r[1])) < 400]
+    stay = {r.doc_id for r in pipeline.without_benchmark(spark, docs, sf_dir).collect()}
+    assert [i not in stay for i, _, _ in short] == covered_by_force([t for _, t, _ in short], [x for x in items if len(x) >= 5])
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
