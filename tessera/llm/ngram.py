@@ -81,9 +81,10 @@ class EliasFano:
         return int(self.begin[-1])
 
     @classmethod
-    def build(cls, values: np.ndarray, top: int) -> EliasFano:
+    def build(cls, values: np.ndarray, top: int, finer: int = 0) -> EliasFano:
+        """``finer``: bits that go to the high part beside the usual ones, for shorter runs of equal high parts."""
         n = len(values)
-        low_bits = max(0, int(top // max(n, 1)).bit_length() - 1)
+        low_bits = max(0, int(top // max(n, 1)).bit_length() - 1 - finer)
         values = values.astype(np.uint64)
         low = _pack(values & np.uint64((1 << low_bits) - 1), low_bits)
         place = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
@@ -115,14 +116,28 @@ class EliasFano:
         high = (self.select(i) - self.high_at[share] - own).astype(np.uint64)
         return (high << bits.astype(np.uint64)) | _unpack(self.low, self.low_at[share] + own * bits, bits)
 
-    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
-        """Least index in [lo, hi) whose element is at least ``value``; hi if there is none.
-
-        A long range is first narrowed to the elements with the same high bits, which lie between two zeros;
-        then all queries descend together: a range halves in each round.
-        """
+    def get_two(self, i: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements i and i + 1 of the same share; the second one's bit is the next one that is set."""
+        own, bits = i - self.begin[share], self.low_bits[share]
+        wide = bits.astype(np.uint64)
+        at = self.select(i)
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        rest = (self.high[word] >> bit) >> np.uint64(1)  # what follows the bit in its word
+        after = at + 1 + _lowest(rest)
+        none = np.flatnonzero(rest == 0)
+        word = word[none]
+        while len(none):
+            word = word + 1
+            held = self.high[word]
+            after[none] = word * 64 + _lowest(held)
+            none, word = none[held == 0], word[held == 0]
+        base, place = self.high_at[share] + own, self.low_at[share] + own * bits
+        first = ((at - base).astype(np.uint64) << wide) | _unpack(self.low, place, bits)
+        return first, ((after - base - 1).astype(np.uint64) << wide) | _unpack(self.low, place + bits, bits)
+
+    def _narrowed(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Long ranges cut to the elements with the value's high bits, which lie between two zeros."""
         lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
-        share = np.zeros(len(lo), np.int64) if share is None else share
         far = np.flatnonzero(hi - lo > NEAR)
         if len(far):
             s = share[far]
@@ -131,6 +146,15 @@ class EliasFano:
             first = np.where(k > 0, self.select_zero(np.maximum(zero - 1, 0)) - (zero - 1), lo[far])
             last = self.select_zero(zero) - zero
             lo[far], hi[far] = np.clip(first, lo[far], hi[far]), np.clip(last, lo[far], hi[far])
+        return lo, hi
+
+    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
+        """Least index in [lo, hi) whose element is at least ``value``; hi if there is none.
+
+        A long range is first narrowed by its high bits; then all queries descend together: a range halves in each round.
+        """
+        share = np.zeros(len(lo), np.int64) if share is None else share
+        lo, hi = self._narrowed(value, lo, hi, share)
         active = np.flatnonzero(lo < hi)
         while len(active):
             mid = (lo[active] + hi[active]) >> 1
@@ -141,16 +165,33 @@ class EliasFano:
         return lo
 
     def find(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Index in [lo, hi) of the element that equals ``value``, -1 if there is none."""
-        at = self.successor(value, lo, hi, share)
-        out = np.full(len(at), -1, np.int64)
-        inside = np.flatnonzero(at < hi)
-        if len(inside):
-            hit = inside[self.get(at[inside], share[inside]) == value[inside]]
-            out[hit] = at[hit]
+        """Index in [lo, hi) of the element that equals ``value``, -1 if there is none.
+
+        Successors in ranges of a few elements are found one element at a time, as most lists are short.
+        """
+        out = np.full(len(lo), -1, np.int64)
+        lo, hi = self._narrowed(value, lo, hi, share)
+        long = np.flatnonzero(hi - lo > NEAR)
+        if len(long):
+            lo[long] = self.successor(value[long], lo[long], hi[long], share[long])
+            hi[long] = np.minimum(hi[long], lo[long] + 1)
+        active = np.flatnonzero(lo < hi)
+        while len(active):
+            at = lo[active]
+            found = self.get(at, share[active])
+            equal = found == value[active]
+            out[active[equal]] = at[equal]
+            active = active[found < value[active]]
+            lo[active] += 1
+            active = active[lo[active] < hi[active]]
         return out
 
 
+def _lowest(word: np.ndarray) -> np.ndarray:
+    """Position of the lowest bit that is set; 64 where none is."""
+    return np.bitwise_count(~word & (word - np.uint64(1))).astype(np.int64)
+
+
 def _ranks(high: np.ndarray) -> np.ndarray:
     ones = np.bitwise_count(high).astype(np.int64)
     out = np.zeros(len(high) + 1, np.int64)
@@ -621,7 +662,7 @@ def trie_of(corpus: Corpus, counts: np.ndarray, word: np.ndarray, h: np.ndarray,
     to_pair = np.searchsorted(rank[pair], np.arange(len(words) + 1))
     to_triple = np.searchsorted(of, np.arange(len(pair) + 1))
     sequences = {
-        "word": build(words, u), "pair": build(pair_key, size * u), "triple": build(triple_key, max(1, len(pair)) * u),
+        "word": build(words, u), "pair": build(pair_key, size * u, 2), "triple": build(triple_key, max(1, len(pair)) * u),
         "to_pair": build(to_pair, len(pair) + 1), "to_triple": build(to_triple, len(of) + 1),
     }
     return sequences, {k: quantised(v, scale) for k, v in logs.items()}
@@ -667,7 +708,8 @@ class Trie:
         """The places of the children of parents ``at``.  A share has one pointer more than parents."""
         own = at + share
         begin = child.begin[share]
-        return begin + pointers.get(own, share).astype(np.int64), begin + pointers.get(own + 1, share).astype(np.int64)
+        lo, hi = pointers.get_two(own, share)
+        return begin + lo.astype(np.int64), begin + hi.astype(np.int64)
 
     def look_up(self, x: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """By distinct trigram of a chunk: the log of P3's numerator, and the log of c(h w) + MU[1]."""
