@@ -139,6 +139,7 @@ class BlockMaxIndex:
     def __init__(self, vectors: Vectors, n_words: int):
         self.n, self.order = len(vectors), alike(vectors, n_words, BLOCK)
         self.vectors = v = vectors.take(self.order)
+        v.word = v.word.astype(np.int32)
         place = v.rows()
         self.blocks = -(-self.n // BLOCK)
         self.most = np.zeros((n_words, self.blocks), np.float32)
@@ -190,14 +191,15 @@ class BlockMaxIndex:
             return best, near
         dense = np.zeros((len(words), n), np.float32)
         dense[inverse, queries.rows()] = queries.weight
-        place = np.full(len(self.most), -1, np.int32)
+        none = len(words)  # the place of words that no query has
+        place = np.full(len(self.most), none, np.int32)
         place[words] = np.arange(len(words), dtype=np.int32)
         rough, top = np.zeros((n, self.n), np.float32), np.zeros((n, k), np.float32)
 
         def visit(b: int, rows: np.ndarray) -> None:
             own = self.words[b]
             at = place[own]
-            both = np.flatnonzero(at >= 0)
+            both = np.flatnonzero(at < none)
             begin, size = self.begin[b][both], np.diff(self.begin[b])[both]
             entry = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
             span = slice(b * BLOCK, min(self.n, (b + 1) * BLOCK))
@@ -224,13 +226,16 @@ class BlockMaxIndex:
                 visit(b, rows)
         row, at = np.nonzero((rough > 0) & (rough >= top.min(1)[:, None] - 2 * ROUGH))
         value = np.zeros(len(row))
-        full = np.zeros((n, len(words) + 1))  # the last column is that of words that no query has
+        full = np.zeros((n, none + 1))
         full[queries.rows(), inverse] = queries.weight
+        flat, v = full.ravel(), self.vectors
         for a in range(0, len(row), PAIRS):
-            r, e = row[a : a + PAIRS], self.vectors.take(at[a : a + PAIRS])
-            of = e.rows()
-            hit = full.ravel()[r[of] * full.shape[1] + place[e.word] % full.shape[1]]
-            value[a : a + PAIRS] = np.round(np.bincount(of, hit * e.weight, len(r)), 12)
+            r, e = row[a : a + PAIRS], at[a : a + PAIRS]
+            size = v.begin[e + 1] - v.begin[e]
+            start = np.cumsum(size) - size
+            entry = np.repeat(v.begin[e] - start, size) + np.arange(size.sum())
+            hit = flat[np.repeat(r * (none + 1), size) + place[v.word[entry]]]
+            value[a : a + PAIRS] = np.round(np.add.reduceat(hit * v.weight[entry], start), 12)
         who = self.order[at]
         order = np.lexsort((who, -value, row))
         row, value, who = row[order], value[order], who[order]
