@@ -109,8 +109,8 @@ def signature_table(docs: DataFrame, width: int = WIDTH, size: int = SIZE, rows:
     return docs.select("id", "text").mapInArrow(run, SIGNATURE)
 
 
-def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(n_shingles, hi, lo, runs, parts): the sorted run hashes of each text as bytes, and how many fall in each range."""
+def set_table(docs: DataFrame, width: int = WIDTH, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(n_shingles, hi, lo, runs, parts): the sorted run hashes of each text as bytes, and how many fall in each range; with ``carried`` columns of longs too."""
 
     def run(batches):
         for batch in batches:
@@ -119,9 +119,10 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 parts = [np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.uint32).tobytes() for s in sets]
                 hi, lo = checksums(sets)
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([n, pa.array(hi), pa.array(lo), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary())], ["n_shingles", "hi", "lo", "runs", "parts"])
+                more = [batch.column(k + 1).slice(at, len(part)) for k in range(1, 1 + len(carried))]
+                yield pa.RecordBatch.from_arrays([n, pa.array(hi), pa.array(lo), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parts, pa.binary()), *more], ["n_shingles", "hi", "lo", "runs", "parts", *carried])
 
-    return docs.select("id", "text").mapInArrow(run, "n_shingles long, hi long, lo long, runs binary, parts binary")
+    return docs.select("id", "text", *carried).mapInArrow(run, ", ".join(["n_shingles long, hi long, lo long, runs binary, parts binary", *[f"{c} long" for c in carried]]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,10 +228,11 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     buckets = kept(tables.join(full, "key"), "buckets")
     # A member that shares buckets with many is likely near the middle of its group: the best of hubs.
     wanted = kept(buckets.groupBy("rep").agg(F.sum("c").alias("fame")), "wanted")
-    compared = classes.join(wanted, "rep", "left_semi").select("rep", "least", *same)
-    texts = docs.join(compared.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    compared = classes.join(wanted, "rep", "left_semi").select(F.col("least").alias("id"), "rep", *[F.col(c).alias(f"own_{c}") for c in same])
     # A class's set is that of a text with its checksums, whatever other texts have the same id.
-    sets = kept(set_table(texts, width).join(compared.select("rep", *same), same).select(F.col("rep").alias("id"), "runs", "parts").dropDuplicates(["id"]), "sets")
+    found = set_table(docs.select("id", "text").join(compared, "id"), width, ("rep", *[f"own_{c}" for c in same]))
+    mine = (F.col("n_shingles") == F.col("own_n_shingles")) & (F.col("hi") == F.col("own_hi")) & (F.col("lo") == F.col("own_lo"))
+    sets = kept(found.where(mine).select(F.col("rep").alias("id"), "runs", "parts").dropDuplicates(["id"]), "sets")
     labels = wanted.select("rep", F.col("rep").alias("component"))
     for turn in range(hub_rounds + 1):
         state = buckets.join(labels, "rep")

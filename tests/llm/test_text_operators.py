@@ -211,6 +211,36 @@ def test_language_id(spark, sf_dir):
     assert langid.train(odd.limit(0)) is None and {r.lang_pred for r in langid.classify(odd, None).collect()} == {"und"}
 
 
+def test_language_scores_by_force(spark):
+    """Every score and label of a small table, from n-gram sets and one dense solution."""
+    rng = random.Random(15)
+    vocabulary = {x: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for x, letters in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "efghij"))}
+    rows = [(i, " ".join(rng.choices(vocabulary[x], k=rng.randrange(1, 30))), x) for i in range(240) for x in [rng.choice(list(vocabulary))]]
+    df = spark.createDataFrame([(i, t, x if i % 7 else None) for i, t, x in rows] + [(None, rows[3][1], "aa"), (7, rows[7][1], None)], "doc_id long, text string, lang string").withColumn("code", F.lit(1))
+    model = langid.train(df, 20)
+    train = [(i, t, x) for i, t, x in rows if i % 7 and zlib.crc32(str(i).encode()) % 5]
+    order = {r.doc_id: (r.h, r.doc_id) for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect() if r.doc_id is not None}
+    own = sorted(r for x in vocabulary for r in sorted((r for r in train if r[2] == x), key=lambda r: order[r[0]])[:20])
+    grams = lambda t: {b[i : i + k] for b in [t.lower().encode()] for k in (1, 2, 3) for i in range(len(b) - k + 1)}
+    kernel = lambda a, b: np.array([[len(x & y) / max(1, len(x) * len(y)) ** 0.5 for y in b] for x in a])
+    got = {r.doc_id: r for r in langid.classify(df, model).collect()}
+    assert model.labels == ["aa", "bb", "cc"]
+    sets = [grams(t) for _, t, _ in own]
+    marks = [g for x in model.labels for g in [s for s, (_, _, y) in zip(sets, own) if y == x][: langid.LANDMARKS // 3]]
+    among = kernel(marks, marks)
+    value, vector = np.linalg.eigh(among)
+    solid = value > value.max() * 1e-9
+    root = vector[:, solid] / np.sqrt(value[solid])
+    x, y = kernel(sets, marks) @ root, np.array([[float(r[2] == k) for k in model.labels] for r in own])
+    centred = x - x.mean(0)
+    w = np.linalg.solve(centred.T @ centred + langid.RIDGE * len(own) * np.eye(x.shape[1]), centred.T @ (y - y.mean(0)))
+    s = (kernel([grams(t) for _, t, _ in rows], marks) @ root - x.mean(0)) @ w + y.mean(0)
+    for (i, _, _), line in zip(rows, s):
+        share = np.clip(line, 0, None)
+        assert got[i].score == pytest.approx(share[line.argmax()] / share.sum(), abs=2e-3) and got[i].lang_pred == model.labels[line.argmax()]
+    assert got[None].lang_pred == got[3].lang_pred
+
+
 def test_kernel_is_shared_grams_over_geometric_mean():
     texts = ["abab", "abc", "xyz!", "ABAB"]
     model = langid.fit(texts, ["a", "a", "b", "b"], landmarks=4)
