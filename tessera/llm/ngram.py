@@ -60,6 +60,8 @@ CHUNK = 2_000_000
 PAIRS = 20_000
 END = np.uint64(0x1D8E4E27C47D124F)
 STEPS = 65535
+#: Pairs that a task remembers with their places; a newer pair replaces an older one of the same slot.
+REMEMBERED = 1 << 19
 #: Range of hits within which a search looks at elements at once, without narrowing it by their high bits.
 NEAR = 4
 
@@ -81,10 +83,9 @@ class EliasFano:
         return int(self.begin[-1])
 
     @classmethod
-    def build(cls, values: np.ndarray, top: int, finer: int = 0) -> EliasFano:
-        """``finer``: bits that go to the high part beside the usual ones, for shorter runs of equal high parts."""
+    def build(cls, values: np.ndarray, top: int) -> EliasFano:
         n = len(values)
-        low_bits = max(0, int(top // max(n, 1)).bit_length() - 1 - finer)
+        low_bits = max(0, int(top // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
         low = _pack(values & np.uint64((1 << low_bits) - 1), low_bits)
         place = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
@@ -662,7 +663,7 @@ def trie_of(corpus: Corpus, counts: np.ndarray, word: np.ndarray, h: np.ndarray,
     to_pair = np.searchsorted(rank[pair], np.arange(len(words) + 1))
     to_triple = np.searchsorted(of, np.arange(len(pair) + 1))
     sequences = {
-        "word": build(words, u), "pair": build(pair_key, size * u, 2), "triple": build(triple_key, max(1, len(pair)) * u),
+        "word": build(words, u), "pair": build(pair_key, size * u), "triple": build(triple_key, max(1, len(pair)) * u),
         "to_pair": build(to_pair, len(pair) + 1), "to_triple": build(to_triple, len(of) + 1),
     }
     return sequences, {k: quantised(v, scale) for k, v in logs.items()}
@@ -699,6 +700,8 @@ class Trie:
         self.corpus, self.scale = corpus, corpus.scale()
         self.word, self.pair, self.triple, self.to_pair, self.to_triple = (found[k] for k in GRAMS.sequences)
         self.p2, self.mass, self.p3 = (logs[k] for k in GRAMS.more)
+        self.keys = np.zeros(REMEMBERED, np.uint64)
+        self.held = np.zeros((REMEMBERED, 3), np.int64)  # place and the ends of its triples
 
     def log(self, level: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.scale[0] + self.scale[1] * level[at]
@@ -711,12 +714,10 @@ class Trie:
         lo, hi = pointers.get_two(own, share)
         return begin + lo.astype(np.int64), begin + hi.astype(np.int64)
 
-    def look_up(self, x: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """By distinct trigram of a chunk: the log of P3's numerator, and the log of c(h w) + MU[1]."""
-        c, u = self.corpus, np.uint64(self.corpus.universe)
-        order = np.argsort(x.share.astype(np.uint16 if c.shares < 1 << 16 else np.int64), kind="stable")
-        share, word, h, g = x.share[order], x.word[order], x.h[order], x.g[order]
-        # Words.
+    def _pairs(self, share: np.ndarray, word: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Places of ascending pairs (-1 for one that is not there) and the ends of the ranges of their triples."""
+        out = np.zeros((len(share), 3), np.int64)
+        out[:, 0] = -1
         first = _starts(share, word)
         s = share[first]
         at = self.word.find(word[first].astype(np.uint64), self.word.begin[s], self.word.begin[s + 1], s)
@@ -725,15 +726,33 @@ class Trie:
         if len(known):
             lo[known], hi[known] = self._below(self.word, self.to_pair, self.pair, at[known], s[known])
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(share))))
-        # Pairs, under their words.
-        pair = _starts(share, word, h)
-        s, of = share[pair], of[pair]
         known = np.flatnonzero(at[of] >= 0)
-        place = np.full(len(pair), -1, np.int64)
         if len(known):
-            sk, ok = s[known], of[known]
-            value = (at[ok] - self.word.begin[sk]).astype(np.uint64) * u + h[pair[known]].astype(np.uint64)
-            place[known] = self.pair.find(value, lo[ok], hi[ok], sk)
+            sk, ok = share[known], of[known]
+            value = (at[ok] - self.word.begin[sk]).astype(np.uint64) * np.uint64(self.corpus.universe) + h[known].astype(np.uint64)
+            out[known, 0] = self.pair.find(value, lo[ok], hi[ok], sk)
+        seen = np.flatnonzero(out[:, 0] >= 0)
+        if len(seen):
+            out[seen, 1], out[seen, 2] = self._below(self.pair, self.to_triple, self.triple, out[seen, 0], share[seen])
+        return out
+
+    def look_up(self, x: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """By distinct trigram of a chunk: the log of P3's numerator, and the log of c(h w) + MU[1]."""
+        c, u = self.corpus, np.uint64(self.corpus.universe)
+        order = np.argsort(x.share.astype(np.uint16 if c.shares < 1 << 16 else np.int64), kind="stable")
+        share, word, h, g = x.share[order], x.word[order], x.h[order], x.g[order]
+        # Pairs that were asked before are remembered.
+        pair = _starts(share, word, h)
+        s, w = share[pair], word[pair]
+        key = mix64(mix64(w.astype(np.uint64) + (s.astype(np.uint64) << np.uint64(40))) + h[pair].astype(np.uint64)) | np.uint64(1)
+        slot = (key >> np.uint64(32)).astype(np.int64) & (REMEMBERED - 1)
+        held = self.held[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            held[new] = self._pairs(s[new], w[new], h[pair[new]])
+            self.keys[slot[new]] = key[new]
+            self.held[slot[new]] = held[new]
+        place, lo, hi = held.T
         seen = np.flatnonzero(place >= 0)
         count = x.token_count
         before = np.where(h[pair] == c.start, c.texts, count[x.h_of[order][pair]])
@@ -744,9 +763,6 @@ class Trie:
         of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(share))))
         number = np.log10(c.mu[1]) + p2[of]
         if len(seen):
-            sk, pk = s[seen], place[seen]
-            lo, hi = (np.zeros(len(pair), np.int64) for _ in range(2))
-            lo[seen], hi[seen] = self._below(self.pair, self.to_triple, self.triple, pk, sk)
             asked = np.flatnonzero(hi[of] > lo[of])
             o, sa = of[asked], share[asked]
             value = (place[o] - self.pair.begin[sa]).astype(np.uint64) * u + g[asked].astype(np.uint64)
@@ -758,6 +774,17 @@ class Trie:
         return out
 
 
+#: The trie that this worker process asked last, with the pairs that it remembers.
+_TRIES: dict[str, Trie] = {}
+
+
+def trie_at(corpus: Corpus) -> Trie:
+    if corpus.folder not in _TRIES:
+        _TRIES.clear()
+        _TRIES[corpus.folder] = Trie(corpus)
+    return _TRIES[corpus.folder]
+
+
 def score(docs: DataFrame, mu: tuple[float, float] = MU, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text, held_out)."""
     corpus = corpus_of(docs, share, mu)
@@ -766,7 +793,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, share: int = SHARE) ->
 
     def run(batches):
         c = shared.value
-        vocabulary, trie = c.vocabulary(), Trie(c)
+        vocabulary, trie = c.vocabulary(), trie_at(c)
         first = float(np.log10(c.texts + c.mu[1]))
         for batch in batches:
             for at, part in slices(batch.column(1), LOOKUP_BYTES):
