@@ -54,7 +54,7 @@ VOCABULARY = 1 << 20
 LEAST_SHARES = 12
 #: Text that is counted, and that is looked up, at once, and the most tokens of either.
 CHUNK_BYTES = 4 << 20
-LOOKUP_BYTES = 2 << 20
+LOOKUP_BYTES = 4 << 20
 CHUNK = 2_000_000
 #: A pair is sought among those with one in so many tokens of a chunk; there are at most as many hot ones.
 PAIRS = 20_000
@@ -804,6 +804,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU, share: int = SHARE) ->
                     b = min(len(token), a + CHUNK)
                     x = chunk_of(c, vocabulary, token, place, a, b, True)
                     number, mass = trie.look_up(x)
+                    x.word = x.h = x.g = x.times = x.ways = x.share = x.word_of = x.h_of = None
                     mass = mass[x.of]
                     under = np.append(last, mass[:-1])  # the pair that the word before made
                     under[place[a:b] == 0] = first
