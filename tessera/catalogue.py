@@ -632,7 +632,7 @@ def quadtree_leaves(spark, sf):
     return quadtree.leaves(X.event_points(spark, sf), _QT_BOX)
 
 
-@_query(f"SELECT id, CASE WHEN min_x < 75 THEN 0.0 ELSE 75.0 END AS qx FROM (SELECT id, x AS min_x, y FROM ({_EVENTS}))")
+@_query(f"SELECT id, CAST(CASE WHEN min_x < 75 THEN 0.0 ELSE 75.0 END AS DOUBLE) AS qx FROM (SELECT id, x AS min_x, y FROM ({_EVENTS}))")
 def quadrant_bounds(spark, sf):
     e = X.event_points(spark, sf)
     whole = R.mbr(0.0, 0.0, 150.0, 500.0)
@@ -732,7 +732,7 @@ def saved_again(spark, sf):
 
 
 @_query(
-    """SELECT * FROM (VALUES ('count', 7.0), ('in_box', 3.0), ('at_point', 1.0), ('nearest', 1.0), ('adjacent', 3.0), ('pages', 1.0), ('total_objects', 6.0),
+    """SELECT what, CAST(value AS DOUBLE) AS value FROM (VALUES ('count', 7.0), ('in_box', 3.0), ('at_point', 1.0), ('nearest', 1.0), ('adjacent', 3.0), ('pages', 1.0), ('total_objects', 6.0),
   ('min_x', -100.0), ('max_y', 150.0), ('got', 10.0), ('removed', 1.0), ('missing', 0.0), ('indexes', 2.0), ('loaded', 6.0)) t(what, value)"""
 )
 def service_calls(spark, sf):

@@ -231,15 +231,20 @@ def layout(features: DataFrame, config: SpatialConfig | None = None, n: int | No
 
 
 def pages_of(laid: DataFrame, config: SpatialConfig | None = None) -> DataFrame:
-    """One row per page: extent, mean centroid, bounds of centroids, utilisation."""
+    """One row per page: extent, mean centroid, bounds of centroids, utilisation.
+
+    Means add a page's few features in the order of their slots, so that they do not depend on how the rows are dealt out.
+    """
     config = config or SpatialConfig()
     c = F.col("centroid")
+    members = F.sort_array(F.collect_list(F.struct("slot", c["x"].alias("x"), c["y"].alias("y"))))
+    mean = lambda k: F.aggregate(members, F.lit(0.0), lambda total, m: total + m[k]) / F.size(members)
     found = laid.groupBy("page_id").agg(
         F.first("track_id").alias("track_id"),
         F.first("block_id").alias("block_id"),
         F.count(F.lit(1)).alias("object_count"),
         R.bounds_of("mbr").alias("extent"),
-        R.point(F.avg(c["x"]), F.avg(c["y"])).alias("centroid"),
+        R.point(mean("x"), mean("y")).alias("centroid"),
         R.bounds_of(R.mbr(c["x"], c["y"], c["x"], c["y"])).alias("centroid_bounds"),
         F.bit_xor(F.xxhash64("id", "centroid")).alias("checksum"),
     )
