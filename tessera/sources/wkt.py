@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import derive
+from ..functions.geometry import derive, let
 from ..schema import LINE, POINT, POLYGON
 
 
@@ -14,29 +14,37 @@ def _body(text: Column, word: str) -> Column:
 
 
 def _pair(text: Column) -> Column:
-    """The first two numbers of a vertex; null if there are fewer or they are not finite."""
-    cells = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    x, y = (F.get(cells, F.lit(i)).try_cast("double") for i in (0, 1))
-    good = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
-    return F.when(good, F.struct(x.alias("x"), y.alias("y")))
+    """The first two numbers of a vertex whose blanks are single; null if there are fewer or they are not finite."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    number = lambda c, i: F.get(c, F.lit(i)).try_cast("double")
+    pair = lambda c: F.struct(number(c, 0).alias("x"), number(c, 1).alias("y"))
+    good = lambda p: F.when(finite(p["x"]) & finite(p["y"]), p)
+    return let(F.split(F.trim(text), " ", 3), lambda c: let(pair(c), good))
 
 
 def _path(text: Column) -> Column:
     """All vertices of a comma-separated list; null if any is bad."""
-    points = F.transform(F.split(text, ","), _pair)
-    return F.when(F.forall(points, lambda p: p.isNotNull()), points)
+    return let(F.transform(F.split(text, ","), _pair), lambda points: F.when(F.forall(points, lambda p: p.isNotNull()), points))
+
+
+def _rings(text: Column) -> Column:
+    """Polygon of a list of rings; null if there are none or any is bad."""
+    rings = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), _path)
+    whole = lambda r: (F.size(r) >= 1) & F.forall(r, lambda v: v.isNotNull())
+    parts = lambda r: F.struct(F.get(r, F.lit(0)).alias("exterior"), F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))).alias("holes"))
+    return let(rings, lambda r: F.when(whole(r), parts(r)))
 
 
 def geometry_from_wkt(text: Column) -> Column:
-    """Struct geom_type, point, line, polygon; the first ring of a polygon is its exterior, the rest are holes."""
-    point_text, line_text, poly_text = (_body(text, w) for w in ("POINT", "LINESTRING", "POLYGON"))
-    point = F.when(point_text != "", _pair(point_text)).cast(POINT)
-    line = F.when(line_text != "", _path(line_text)).cast(LINE)
-    rings = F.transform(F.regexp_extract_all(poly_text, F.lit(r"\(([^()]*)\)"), F.lit(1)), _path)
-    whole = (F.size(rings) >= 1) & F.forall(rings, lambda r: r.isNotNull())
-    polygon = F.when((poly_text != "") & whole, F.struct(F.get(rings, F.lit(0)).alias("exterior"), F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))).alias("holes"))).cast(POLYGON)
-    kind = F.when(point.isNotNull(), "POINT").when(line.isNotNull(), "LINESTRING").when(polygon.isNotNull(), "POLYGON")
-    return F.struct(kind.alias("geom_type"), point.alias("point"), line.alias("line"), polygon.alias("polygon"))
+    """Struct geom_type, point, line, polygon; the first ring of a polygon is its exterior, the rest are holes.
+
+    Each step is bound once: columns that are used twice are worked out twice, and steps that build on each other so multiply.
+    """
+    read = lambda t, word, make, kind: let(_body(t, word), lambda b: F.when(b != "", make(b))).cast(kind)
+    found = lambda t: F.struct(read(t, "POINT", _pair, POINT).alias("point"), read(t, "LINESTRING", _path, LINE).alias("line"), read(t, "POLYGON", _rings, POLYGON).alias("polygon"))
+    kind = lambda g: F.when(g["point"].isNotNull(), "POINT").when(g["line"].isNotNull(), "LINESTRING").when(g["polygon"].isNotNull(), "POLYGON")
+    named = lambda g: F.struct(kind(g).alias("geom_type"), g["point"].alias("point"), g["line"].alias("line"), g["polygon"].alias("polygon"))
+    return let(F.regexp_replace(text, r"\s+", " "), lambda t: let(found(t), named))
 
 
 def is_valid_wkt(text: Column) -> Column:
@@ -45,8 +53,10 @@ def is_valid_wkt(text: Column) -> Column:
 
 def from_wkt(rows: DataFrame, text: str = "value", id_col: str | None = None) -> DataFrame:
     """Features of a text column; texts that are not WKT are skipped."""
-    parsed = rows.select((F.col(id_col) if id_col else F.lit(None)).cast("long").alias("id"), geometry_from_wkt(F.col(text)).alias("g"))
-    return derive(parsed.where(F.col("g.geom_type").isNotNull()).select("id", F.lit(None).cast("string").alias("id_str"), "g.*", F.lit(None).cast("string").alias("properties")))
+    # A generator, as the optimiser would repeat the parse in a filter.
+    good = F.inline(F.filter(F.array(geometry_from_wkt(F.col(text))), lambda g: g["geom_type"].isNotNull()))
+    parsed = rows.select((F.col(id_col) if id_col else F.lit(None)).cast("long").alias("id"), F.lit(None).cast("string").alias("id_str"), good)
+    return derive(parsed.withColumn("properties", F.lit(None).cast("string")))
 
 
 def geometry_to_wkt(geom_type, point, line, polygon, decimals: int | None = 6) -> Column:

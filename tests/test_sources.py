@@ -68,6 +68,15 @@ def test_wkt(spark):
     assert [r[0] for r in kinds.select(wkt.detect_type(F.col("t"))).collect()] == ["POINT", "LINESTRING", "POLYGON", "POINT"]
 
 
+def test_wkt_is_parsed_once(spark):
+    """The plan has the patterns of the parser a few times, and not once for every use of every step."""
+    df = spark.range(9).select("id", F.concat(F.lit("POLYGON ((0 0,\t4  0, 4 4 7, 0 0))"), F.when(F.col("id") < 0, "x").otherwise("")).alias("value"))
+    back = wkt.from_wkt(df, id_col="id")
+    plan = back.where("is_valid").select("id", polygon_area("polygon"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2
+    assert [(p.x, p.y) for p in back.first().polygon.exterior] == [(0, 0), (4, 0), (4, 4), (0, 0)]
+
+
 def test_json_getters(spark):
     t = F.lit('{"a":1.5,"b":true,"c":null,"d":["x","y"],"a":2}')
     r = spark.range(1).select(J.get_number(t, "$.a"), J.get_bool(t, "$.b"), J.is_null(t, "$.c"), J.get_string(t, "$.z", "none"), J.get_item(J.get_value(t, "$.d"), 1), J.thousands(F.lit(1234567))).first()
