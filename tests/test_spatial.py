@@ -179,3 +179,32 @@ def test_quad_stats_beyond_the_box(spark):
     """Cells outside the box are cells of their own, as in the SQL."""
     f = pts(spark, [(1, 1, 1), (2, 9, 9), (3, 11, 9), (4, 25, 9), (5, -1, 9), (6, 25.5, 9)])
     assert tuple(stats.quad_stats(f, (0.0, 0.0, 10.0, 10.0), 1).first()) == (5, 6, 2)
+
+
+def test_joins_compare_copies_once(spark):
+    """Equal rectangles meet as packs, and no round of a kNN join stays in the plan of the next."""
+    same = [(i, 1, 1, 2, 2) for i in range(70)] + [(i, 2, 2, 3, 3) for i in range(70, 80)]
+    f = boxes(spark, same).select("id", "mbr")
+    packs = join.packed_join(f, f, once=True).select(F.size("left_ids").alias("a"), F.size("right_ids").alias("b")).collect()
+    assert sorted(tuple(r) for r in packs) == [(6, 6), (6, 10), (10, 10), (64, 6), (64, 10), (64, 64)]
+    assert sorted(tuple(r) for r in adjacency.adjacency_pairs(f).collect()) == [(i, j) for i in range(80) for j in range(i + 1, 80)]
+    assert adjacency.adjacency_pairs(f, include_self=True).count() == 80 * 81 // 2
+    asked = spark.createDataFrame([(i, float(i % 2), 0.0) for i in range(6)], "query_id long, x double, y double")
+    near = join.knn_join(asked, pts(spark, [(i, i % 3, 0) for i in range(30)]), 2, small=0)
+    assert "InMemoryRelation" not in near._jdf.queryExecution().toString()
+    assert sorted((r.query_id, r["rank"], r.id) for r in near.collect()) == sorted((i, k + 1, i % 2 + 3 * k) for i in range(6) for k in range(2))
+
+
+def test_layout_gives_a_task_few_rows(spark, monkeypatch):
+    """Nodes are split by counting down to what one Python task may hold, also below ``exact_rows``."""
+    rng = random.Random(8)
+    f = pts(spark, [(i, rng.randrange(40), rng.random()) for i in range(900)]).persist()
+    config = SpatialConfig(block_size=50, page_capacity=16)
+    found = []
+    for most in (1 << 19, 200):
+        monkeypatch.setattr(layout, "TASK_ROWS", most)
+        points = f.select("id", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"), F.lit("").alias("node"), F.lit(False).alias("pivot"))
+        _, levels, left = layout._counted(points, 900, config)
+        assert left <= most and levels == (0 if most > 900 else 3)
+        found.append(sorted(tuple(r) for r in layout.placed(f, config).select("id", "block_id", "page_id", "track_id", "slot", "node", "pivot").collect()))
+    assert found[0] == found[1]
