@@ -208,3 +208,24 @@ def test_layout_gives_a_task_few_rows(spark, monkeypatch):
         assert left <= most and levels == (0 if most > 900 else 3)
         found.append(sorted(tuple(r) for r in layout.placed(f, config).select("id", "block_id", "page_id", "track_id", "slot", "node", "pivot").collect()))
     assert found[0] == found[1]
+
+
+def test_a_task_of_the_layout_is_small():
+    """The most features that a task may hold are split in less than 20 MB beside their input."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(9), layout.TASK_ROWS
+    ids, x, y = np.arange(n), rng.random(n), rng.random(n)
+    for _ in range(2):  # what the first call loads is not the task's
+        before = pa.total_allocated_bytes()
+        tracemalloc.start()
+        found = layout._split(1, ids, (x, y), np.zeros(n, bool), n, SpatialConfig())
+        taken = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+        tracemalloc.stop()
+    assert taken < 20_000_000, taken
+    assert found.schema.field("node").type == pa.int64() and np.array_equal(np.sort(found["id"].to_numpy()), ids)
+    blocks, counts = np.unique(found["block_id"].to_numpy(), return_counts=True)
+    assert list(blocks) == list(range(1, layout.leaves(n, 1024) + 1)) and counts.max() <= 1024 + 20
