@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from ..functions import mbr as R
 from ..functions.geometry import distance
 from ..schema import SpatialConfig
+from ..sources.shared import in_plan
 
 
 def levels_needed(n: int, block_size: int) -> int:
@@ -79,7 +80,7 @@ def _medians(points: DataFrame, level: int, held: dict[int, dict], config: Spati
 
     def within(names) -> DataFrame:
         rows = [(x, *[nodes[x][c] for c in _RANGE], nodes[x]["rank"]) for x in names]
-        found = own.join(F.broadcast(spark.createDataFrame(rows, f"node long, v0 double, v1 double, i0 {kind}, i1 {kind}, rank long")), "node")
+        found = own.join(F.broadcast(in_plan(spark, rows, f"node long, v0 double, v1 double, i0 {kind}, i1 {kind}, rank long")), "node")
         return found.where(F.col("v").between(F.col("v0"), F.col("v1")) & F.col("id").between(F.col("i0"), F.col("i1")))
 
     def share(v: str, lo: str, hi: str) -> Column:
@@ -121,7 +122,7 @@ def _counted(points: DataFrame, n: int, config: SpatialConfig) -> tuple[DataFram
             of, k = held.pop(node), level % 2
             for side, c, range_ in ((0, of["c"] // 2, (of["at"][k][0], v)), (1, of["c"] - of["c"] // 2 - 1, (v, of["at"][k][1]))):
                 held[2 * node + side] = of | {"c": c, "at": [range_ if i == k else r for i, r in enumerate(of["at"])]}
-        cuts = points.sparkSession.createDataFrame(found, f"node long, _v double, _i {kind}")
+        cuts = in_plan(points.sparkSession, found, f"node long, _v double, _i {kind}")
         v = _axis(level)
         below = (v < F.col("_v")) | ((v == F.col("_v")) & (F.col("id") < F.col("_i")))
         here = F.coalesce((v == F.col("_v")) & (F.col("id") == F.col("_i")), F.lit(False))

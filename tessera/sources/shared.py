@@ -1,11 +1,14 @@
-"""Tables that are written once to the folder that all executors share."""
+"""Tables that are written once to the folder that all executors share, and small ones that go out with the plan."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +27,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_plan(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a part of the plan itself; from a list alone, Spark would start Python workers on the executors to read them."""
+    struct = StructType.fromDDL(schema)
+    kinds = to_arrow_schema(struct)
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds), struct)

@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators.layout import verify_pages
 from ..schema import SpatialConfig, StorageError
+from .shared import in_plan
 
 FORMAT, VERSION = "tessera-index", 1
 
@@ -35,7 +36,7 @@ def save(path: str, laid: DataFrame, pages: DataFrame, blocks: DataFrame, config
     pages.write.mode("overwrite").parquet(f"{data}/pages")
     blocks.write.mode("overwrite").parquet(f"{data}/blocks")
     meta = json.dumps({"format": FORMAT, "version": VERSION, "config": dataclasses.asdict(config)})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{data}/meta")
+    in_plan(spark, [(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{data}/meta")
 
 
 def _folder(spark: SparkSession, path: str):

@@ -9,6 +9,7 @@ from tessera.functions import mbr as R
 from tessera.functions.geometry import features_from, make_polygon, point_features
 from tessera.operators import adjacency, join, layout, query, stats
 from tessera.schema import InvalidArgument, SpatialConfig
+from tessera.sources.shared import in_plan
 
 
 def pts(spark, rows):
@@ -229,3 +230,15 @@ def test_a_task_of_the_layout_is_small():
     assert found.schema.field("node").type == pa.int64() and np.array_equal(np.sort(found["id"].to_numpy()), ids)
     blocks, counts = np.unique(found["block_id"].to_numpy(), return_counts=True)
     assert list(blocks) == list(range(1, layout.leaves(n, 1024) + 1)) and counts.max() <= 1024 + 20
+
+
+def test_counting_of_medians_starts_no_python(spark):
+    """Split points go out with the plan: a layout's only Python on the executors is the split of its nodes."""
+    points = spark.range(3000).select("id", (F.col("id") * 37 % 1000).cast("double").alias("x"), (F.col("id") * 91 % 777).cast("double").alias("y"), F.lit(False).alias("pivot"))
+    found, levels, _ = layout._counted(points, 3000, SpatialConfig(block_size=10, exact_rows=400))
+    assert levels == 3 and found.where("pivot").count() == 7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    empty = in_plan(spark, [], "node long, _v double, _i string")
+    assert empty.collect() == [] and empty.dtypes == [("node", "bigint"), ("_v", "double"), ("_i", "string")]
+    assert [tuple(r) for r in in_plan(spark, [(1, -0.0, "a"), (2**62, 1e300, None)], "node long, _v double, _i string").collect()] == [(1, -0.0, "a"), (2**62, 1e300, None)]
